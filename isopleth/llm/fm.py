@@ -26,7 +26,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(index, value, ptr), -60, 60)))
 
 
-def _row_sums(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+def row_sums(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Sums of x over each row's entries; 0 for rows without entries."""
     out = np.zeros((len(ptr) - 1, *x.shape[1:]), np.float64)
     full = np.flatnonzero(ptr[1:] > ptr[:-1])
@@ -37,9 +37,9 @@ def _row_sums(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 def _forward(bias, linear, factors, index, value, ptr):
     vx = factors[index] * value[:, None]
-    sums = _row_sums(vx, ptr)
-    squares = _row_sums(vx * vx, ptr)
-    return bias + _row_sums(linear[index] * value, ptr) + 0.5 * (sums**2 - squares).sum(1), sums
+    sums = row_sums(vx, ptr)
+    squares = row_sums(vx * vx, ptr)
+    return bias + row_sums(linear[index] * value, ptr) + 0.5 * (sums**2 - squares).sum(1), sums
 
 
 def fit(index: np.ndarray, value: np.ndarray, ptr: np.ndarray, label: np.ndarray, buckets: int, rank: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, factor_decay: float = 1e-4, seed: int = 7, balance: bool = False) -> Machine:

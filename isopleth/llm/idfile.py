@@ -211,9 +211,9 @@ def write(docs: DataFrame, out: str, path: str | None = None) -> None:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    found = chunks.select("n", "width", "ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
-    total[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    found = chunks.select("n", "width", "ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row for each id of the vocabulary
+    total = np.zeros(int(found["id"].to_numpy().max()) + 1 if len(found) else 0, np.int64)
+    total[found["id"].to_numpy()] = found["n"].to_numpy()
     lengths = code_lengths(total)
     codes = canonical(lengths)
     # one number for each partition: where its ids begin
@@ -253,9 +253,9 @@ def read(spark: SparkSession, out: str) -> DataFrame:
 
 def _read(spark: SparkSession, out: str, digest: bool) -> DataFrame:
     common.ship(spark)
-    code = spark.read.parquet(f"{out}/codes").toPandas()  # at most one row for each id of the vocabulary
-    lengths = np.zeros(int(code["id"].max()) + 1 if len(code) else 1, np.uint8)
-    lengths[code["id"].to_numpy(np.int64)] = code["length"].to_numpy()
+    code = spark.read.parquet(f"{out}/codes").toArrow()  # at most one row for each id of the vocabulary
+    lengths = np.zeros(int(code["id"].to_numpy().max()) + 1 if len(code) else 1, np.uint8)
+    lengths[code["id"].to_numpy()] = code["length"].to_numpy()
 
     def run(batches):
         table = decoding_table(lengths)

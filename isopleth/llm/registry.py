@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import scorers
+from . import bpe, idfile, scorers
 
 QUERIES = {
     "op1_quality": scorers.op1_quality,
+    "op3_bpe": bpe.op3_bpe,
     "op5_toxicity": scorers.op5_toxicity,
+    "op8_id_files": idfile.op8_id_files,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from . import common, fm
 
 #: Labelled documents that are used for fitting, at most.
-TRAINING_ROWS = 40_000
+TRAINING_ROWS = 20_000
 #: Standard errors between the classes' rates from which a bucket is kept.
 SCREEN = 3.5
 TERM_BUCKETS = 1 << 18
+#: Buckets that are kept, at most.
+KEPT_BUCKETS = 4096
 #: Beyond the hashed terms: 32 bins for each of up to 32 statistics.
 STATISTICS, BINS = 32, 32
 BUCKETS = TERM_BUCKETS + STATISTICS * BINS
@@ -135,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
             yield pa.RecordBatch.from_arrays([pa.array(used * 2 + k), pa.array(total[k][used])], ["key", "n"])
 
     total = np.zeros((BUCKETS + 1, 2))
-    found = sample.mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     total.reshape(-1)[found["key"].to_numpy()] = found["n"].to_numpy()
     zeros, ones = total[BUCKETS]
     if not zeros or not ones:
@@ -144,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
     rate = (both + 0.5) / (zeros + ones + 1)
     z = (total[:BUCKETS, 1] / ones - total[:BUCKETS, 0] / zeros) / np.sqrt(rate * (1 - rate) * (1 / ones + 1 / zeros))
     weight = np.where((np.abs(z) >= SCREEN) & (both >= 4), np.minimum(np.abs(z), 12) / 12, 0)
+    weight[np.argsort(-np.abs(z) * (weight > 0), kind="stable")[KEPT_BUCKETS:]] = 0
     weight[TERM_BUCKETS:][both[TERM_BUCKETS:] > 0] = 1
 
     def kept(batches):
@@ -154,12 +157,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
             lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(index[own], pa.int32()))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), batch.column("label").slice(at, end - at).cast(pa.int32()), lists], ["doc_id", "label", "index"])
 
-    rows = sample.mapInArrow(kept, "doc_id long, label int, index array<int>").toPandas()
-    rows = rows.assign(key=[tuple(x) for x in rows["index"]]).sort_values(["doc_id", "key"], kind="stable")
-    index = np.concatenate([np.asarray(x, np.int64) for x in rows["index"]])
-    ptr = np.concatenate([[0], np.cumsum([len(x) for x in rows["index"]])])
-    label_of = rows["label"].to_numpy().clip(0, 1).astype(float)
-    machine = fm.fit(index, weight[index], ptr, label_of, BUCKETS, epochs=int(np.clip(120_000 // len(rows), 3, 12)), factor_decay=1e-3)
+    rows = sample.mapInArrow(kept, "doc_id long, label int, index array<int>").toArrow().combine_chunks()
+    lists = rows["index"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
+    flat, edge = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    digest = fm.row_sums(common.mix(flat.astype(np.uint64)) >> np.uint64(24), edge)
+    order = np.lexsort((digest, rows["doc_id"].to_numpy()))  # the same order whatever the partitions
+    lens = np.diff(edge)[order]
+    ptr = np.concatenate([[0], np.cumsum(lens)])
+    index = flat[np.repeat(edge[:-1][order] - ptr[:-1], lens) + np.arange(ptr[-1])].astype(np.int64)
+    label_of = rows["label"].to_numpy()[order].clip(0, 1).astype(float)
+    machine = fm.fit(index, weight[index], ptr, label_of, BUCKETS, epochs=int(np.clip(120_000 // len(label_of), 3, 12)), factor_decay=1e-3)
     return machine, weight
 
 
