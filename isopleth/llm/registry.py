@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, idfile, scorers
+from . import bpe, idfile, neardup, pii, rules, scorers
 
 QUERIES = {
     "op1_quality": scorers.op1_quality,
+    "op2_ngram_jaccard": neardup.op2_ngram_jaccard,
     "op3_bpe": bpe.op3_bpe,
+    "op4_rules": rules.op4_rules,
     "op5_toxicity": scorers.op5_toxicity,
+    "op6_pii": pii.op6_pii,
     "op8_id_files": idfile.op8_id_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_rules": rules.oracle(),
+}
