@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, idfile, neardup, pii, rules, scorers
+from . import bpe, chat, idfile, mixing, neardup, pii, rules, scorers
 
 QUERIES = {
     "op1_quality": scorers.op1_quality,
@@ -11,8 +11,11 @@ QUERIES = {
     "op4_rules": rules.op4_rules,
     "op5_toxicity": scorers.op5_toxicity,
     "op6_pii": pii.op6_pii,
+    "op7_mixing": mixing.op7_mixing,
     "op8_id_files": idfile.op8_id_files,
+    "op10_chat": chat.op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_rules": rules.oracle(),
+    "op10_chat": chat.oracle(),
 }
