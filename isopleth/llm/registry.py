@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, idfile, mixing, neardup, pii, rules, scorers
+from . import ann, bpe, chat, idfile, mixing, neardup, pii, rules, scorers
 
 QUERIES = {
     "op1_quality": scorers.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_mixing": mixing.op7_mixing,
     "op8_id_files": idfile.op8_id_files,
+    "op9_ann": ann.op9_ann,
     "op10_chat": chat.op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {
