@@ -24,6 +24,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import common
 
@@ -263,7 +264,7 @@ def _split(batch: pa.RecordBatch, column: str):
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """Adds a column of ids (array of int) to all rows; a column of that name is replaced."""
     kept = [c for c in df.columns if c != out]
-    schema = df.select(kept).schema.add(out, "array<int>")
+    schema = df.select(kept).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         e = encoder(path)

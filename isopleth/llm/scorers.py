@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,29 +173,60 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
     return machine, weight
 
 
-def score(docs: DataFrame, model: tuple[fm.Machine, np.ndarray], features: Features, lower: bool) -> DataFrame:
-    """doc_id and score of every row."""
+def _scorer(model: tuple[fm.Machine, np.ndarray]):
+    """Scores of rows of buckets. Only the kept buckets are sent along: their size does not grow with the corpus."""
     machine, weight = model
-    used = np.flatnonzero(weight)  # only what was kept is sent along: its size does not grow with the corpus
-    place = np.zeros(BUCKETS, np.int32)
+    used = np.flatnonzero(weight)
+    place = np.zeros(BUCKETS, np.int16)
     place[used] = np.arange(1, len(used) + 1)
     small = fm.Machine(machine.bias, np.concatenate([[0], machine.linear[used]]), np.concatenate([np.zeros((1, machine.factors.shape[1])), machine.factors[used]]))
     value = np.concatenate([[0], weight[used]])
 
+    def scores(index: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+        own = place[index]
+        hit = own > 0
+        return small.scores(own[hit], value[own[hit]], np.concatenate([[0], np.cumsum(hit)])[ptr])
+
+    return scores
+
+
+def score(docs: DataFrame, model: tuple[fm.Machine, np.ndarray], features: Features, lower: bool) -> DataFrame:
+    """doc_id and score of every row."""
+    scorer = _scorer(model)
+
     def scored(batches):
         for batch, at, end, index, ptr in _batches(batches, features):
-            own = place[index]
-            hit = own > 0
-            edge = np.concatenate([[0], np.cumsum(hit)])[ptr]
-            s = small.scores(own[hit], value[own[hit]], edge)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at).cast(pa.int64()), pa.array(s)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at).cast(pa.int64()), pa.array(scorer(index, ptr))], ["doc_id", "score"])
 
     return _texts(docs, lower).mapInArrow(scored, "doc_id long, score double")
 
 
+def train_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1):
+    return train(docs, labels, "quality", modulus, held, quality_features, False)
+
+
+def kept(docs: DataFrame, model: tuple[fm.Machine, np.ndarray], least: float = 0.5) -> DataFrame:
+    """The rows whose quality scores `least` or more, with all their columns: one pass, rows go by as they are scored."""
+    scorer = _scorer(model)
+    columns = docs.columns
+    meta = "n_chars" in columns
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            text = batch.column("text").cast(pa.string())
+            size = pc.fill_null(batch.column("n_chars").cast(pa.float64()) if meta else pc.utf8_length(text).cast(pa.float64()), 0).to_numpy(zero_copy_only=False)
+            good = np.zeros(n, bool)
+            for at, end, data, offs in common.slabs(text):
+                good[at:end] = scorer(*quality_features(data, offs, size[at:end])) >= least
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
     """Score of every document's quality, fitted on labels outside the held-out remainder."""
-    return score(docs, train(docs, labels, "quality", modulus, held, quality_features, False), quality_features, False)
+    return score(docs, train_quality(docs, labels, modulus, held), quality_features, False)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
