@@ -1,7 +1,476 @@
-"""Queries over the driver's tables and their oracles."""
+"""Queries over the driver's tables, each with its equivalent in DuckDB's SQL.
+
+Doubles are rounded on both sides, as sums come in different orders. The oracles are built from named blocks (CTEs).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.schema import ANCHOR_YEAR, INTERVAL, LATITUDE, LONGITUDE
+from ..functions.stats import METHODS
+from ..operators import alignment, cluster, rgdr, timeseries
+from ..operators import calendar as cal
+from ..operators.preprocess import Preprocessor
+from ..sources import tables
+from .session import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "preprocess_full"
+
+#: Settings of the clustering queries.
+EPS, ALPHA, AREA = 1200, 0.3, 600_000
+ONE, MANY = ([1], [-4]), ([1, 2, 3, 4], [-4, -3, -2, -1])
+
+
+def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+def query(sql: str | None = None, **digits: int):
+    """Registers a query; digits: columns to round."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return _rounded(f(spark, sf_dir), digits)
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# blocks of the oracles
+
+_CELL = "(47.5 - 5 * ((l_partkey % 65) // 13))::double AS latitude, (177.5 + 5 * ((l_partkey % 65) % 13))::double AS longitude"
+_MONTHS = "BETWEEN 1995 AND 2000"
+_TO_INTERVAL = "(CASE WHEN month({0}) >= 8 THEN month({0}) - 7 ELSE month({0}) - 8 END)::int"
+B = {
+    "daily": f"SELECT l_shipdate AS time, {_CELL}, avg(ln(l_extendedprice)) AS value FROM lineitem GROUP BY ALL",
+    "monthly": f"SELECT date_trunc('month', l_shipdate)::timestamp AS time, {_CELL}, avg(ln(l_extendedprice)) AS value FROM lineitem WHERE year(l_shipdate) {_MONTHS} GROUP BY ALL",
+    "event": "SELECT date_trunc('day', ts)::timestamp AS time, event_type, avg(value) AS value FROM events GROUP BY ALL",
+    "tmonthly": f"SELECT date_trunc('month', o_orderdate)::timestamp AS time, avg(ln(o_totalprice)) AS value FROM orders WHERE year(o_orderdate) {_MONTHS} GROUP BY ALL",
+    "precursor": f"SELECT year(l_shipdate)::int AS anchor_year, {_TO_INTERVAL.format('l_shipdate')} AS i_interval, {_CELL}, avg(ln(l_extendedprice)) AS value FROM lineitem WHERE year(l_shipdate) {_MONTHS} AND month(l_shipdate) BETWEEN 4 AND 11 GROUP BY ALL",
+    "target": f"SELECT year(o_orderdate)::int AS anchor_year, {_TO_INTERVAL.format('o_orderdate')} AS i_interval, avg(ln(o_totalprice)) AS value FROM orders WHERE year(o_orderdate) {_MONTHS} AND month(o_orderdate) BETWEEN 4 AND 11 GROUP BY ALL",
+}
+
+
+def _with(*names: str, **more: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS ({x})" for n, x in [*((n, B[n]) for n in names), *more.items()]) + " "
+
+
+_PERIODS = {"monthly": "month(time)::int", "weekly": "weekofyear(time)::int", "daily": "dayofyear(time)::int"}
+
+
+def _clim(table: str, scale: str) -> str:
+    return f"SELECT {_PERIODS[scale]} AS period, latitude, longitude, avg(value) AS value FROM {table} GROUP BY ALL"
+
+
+def _anomaly(table: str, clim: str, scale: str) -> str:
+    return f"SELECT d.time, d.latitude, d.longitude, d.value - c.value AS value FROM {table} d LEFT JOIN {clim} c ON {_PERIODS[scale].replace('time', 'd.time')} = c.period AND d.latitude = c.latitude AND d.longitude = c.longitude"
+
+
+_X = "(epoch(time)::double)"
+
+
+def _trend(table: str) -> str:
+    return f"SELECT latitude, longitude, CASE WHEN count(value) = (SELECT count(DISTINCT time) FROM {table}) THEN regr_slope(value, {_X}) END AS value_slope, CASE WHEN count(value) = (SELECT count(DISTINCT time) FROM {table}) THEN regr_intercept(value, {_X}) END AS value_intercept FROM {table} GROUP BY ALL"
+
+
+def _detrended(table: str, trend: str) -> str:
+    return f"SELECT d.time, d.latitude, d.longitude, d.value - (t.value_intercept + t.value_slope * {_X.replace('time', 'd.time')}) AS value FROM {table} d LEFT JOIN {trend} t USING (latitude, longitude)"
+
+
+def _rolled(table: str, dims: str, window: int, least: int) -> str:
+    frame = f"OVER (PARTITION BY {dims} ORDER BY time ROWS BETWEEN {window // 2} PRECEDING AND {(window - 1) // 2} FOLLOWING)"
+    dense = f"SELECT g.*, t.value FROM (SELECT * FROM (SELECT DISTINCT {dims} FROM {table}), (SELECT DISTINCT time FROM {table})) g LEFT JOIN {table} t USING ({dims}, time)"
+    return f"SELECT {dims}, time, CASE WHEN count(value) {frame} >= {least} THEN avg(value) {frame} END AS value FROM ({dense})"
+
+
+def _out(columns: str, digits: dict[str, int], table: str) -> str:
+    return "SELECT " + ", ".join(f"round({c}, {digits[c]}) AS {c}" if c in digits else c for c in columns.split()) + f" FROM {table}"
+
+
+_V = {"value": 6}
+_FIELD = "time latitude longitude value"
+
+# time series
+
+
+def _clim_query(scale: str, source: str):
+    def f(spark, sf_dir):
+        return timeseries.climatology(getattr(tables, f"field_{source}")(spark, sf_dir), scale)
+
+    f.__name__ = f"clim_{scale}"
+    query(_with(source, c=_clim(source, scale)) + _out("period latitude longitude value", _V, "c"), **_V)(f)
+
+
+for _scale, _source in (("monthly", "monthly"), ("weekly", "daily"), ("daily", "daily")):
+    _clim_query(_scale, _source)
+
+
+def _anomaly_query(scale: str):
+    def f(spark, sf_dir):
+        data = getattr(tables, f"field_{scale}")(spark, sf_dir)
+        return timeseries.subtract_climatology(data, scale, timeseries.climatology(data, scale))
+
+    f.__name__ = f"anomaly_{scale}"
+    query(_with(scale, c=_clim(scale, scale), a=_anomaly(scale, "c", scale)) + _out(_FIELD, _V, "a"), **_V)(f)
+
+
+for _scale in ("monthly", "daily"):
+    _anomaly_query(_scale)
+
+
+def _rolling_query(name: str, window: int, least: int):
+    def f(spark, sf_dir):
+        return timeseries.rolling_mean(tables.event_daily(spark, sf_dir), window, least)
+
+    f.__name__ = name
+    query(_with("event", r=_rolled("event", "event_type", window, least)) + _out("event_type time value", {"value": 6}, "r"), value=6)(f)
+
+
+for _args in (("rolling_mean_odd", 5, 1), ("rolling_mean_even", 4, 1), ("rolling_min_periods", 7, 5)):
+    _rolling_query(*_args)
+
+
+@query(_with("daily", r=_rolled("daily", "latitude, longitude", 25, 3)) + _out("latitude longitude time value", _V, "r"), **_V)
+def rolling_mean_gaps(spark, sf_dir):
+    """Daily field with gaps: absent days keep their place in the window."""
+    return timeseries.rolling_mean(tables.field_daily(spark, sf_dir), 25, 3)
+
+
+_SLOPE = {"value_slope": 15, "value_intercept": 6}
+
+
+@query(_with("monthly", t=_trend("monthly")) + _out("latitude longitude value_slope value_intercept", _SLOPE, "t"), **_SLOPE)
+def trend_linear(spark, sf_dir):
+    return timeseries.linear_trend(tables.field_monthly(spark, sf_dir))
+
+
+@query(_with("monthly", t=_trend("monthly"), d=_detrended("monthly", "t")) + _out(_FIELD, _V, "d"), **_V)
+def detrend_linear(spark, sf_dir):
+    data = tables.field_monthly(spark, sf_dir)
+    return timeseries.subtract_trend(data, "linear", timeseries.get_trend(data))
+
+
+@query(_with("monthly", t="SELECT DISTINCT time FROM monthly", s="SELECT epoch(time) - lag(epoch(time)) OVER (ORDER BY time) AS step FROM t") + "SELECT floor(median(step) / 86400)::int AS days FROM s")
+def resolution_median_days(spark, sf_dir):
+    return timeseries.resolution_days(tables.field_monthly(spark, sf_dir))
+
+
+@query("SELECT date_trunc('month', time)::timestamp AS time, event_type, round(avg(value), 6) AS value FROM (" + B["event"] + ") GROUP BY ALL", value=6)
+def resample_period(spark, sf_dir):
+    return timeseries.resample(tables.event_daily(spark, sf_dir), "month")
+
+
+_SMOOTH = _rolled("monthly", "latitude, longitude", 3, 1)
+
+
+@query(_with("monthly", r=_SMOOTH, c=_clim("r", "monthly"), a=_anomaly("r", "c", "monthly"), t=_trend("a"), f=_anomaly("monthly", "c", "monthly"), o=_detrended("f", "t")) + _out(_FIELD, _V, "o"), **_V)
+def preprocess_full(spark, sf_dir):
+    """Rolling mean, climatology and trend fitted, and removed from the raw field."""
+    return Preprocessor(3, "monthly").fit_transform(tables.field_monthly(spark, sf_dir))
+
+
+@query(_with("monthly", r=_SMOOTH, t=_trend("r"), o=_detrended("monthly", "t")) + _out(_FIELD, _V, "o"), **_V)
+def preprocess_no_clim(spark, sf_dir):
+    return Preprocessor(3, "monthly", subtract_climatology=False).fit_transform(tables.field_monthly(spark, sf_dir))
+
+
+@query(_with("monthly", r=_SMOOTH, c=_clim("r", "monthly"), o=_anomaly("monthly", "c", "monthly")) + _out(_FIELD, _V, "o"), **_V)
+def preprocess_no_detrend(spark, sf_dir):
+    return Preprocessor(3, "monthly", detrend=None).fit_transform(tables.field_monthly(spark, sf_dir))
+
+
+@query(_with("monthly", r="SELECT latitude, longitude, time, value FROM monthly", c=_clim("r", "monthly"), a=_anomaly("r", "c", "monthly"), t=_trend("a")) + _out("latitude longitude value_slope value_intercept", _SLOPE, "t"), **_SLOPE)
+def preprocess_trend(spark, sf_dir):
+    """The trend property of a fit without smoothing."""
+    return Preprocessor(None, "monthly").fit(tables.field_monthly(spark, sf_dir)).trend
+
+
+# geometry and correlation
+
+_AREA = "(sin(radians({lat} + {dlat} / 2)) - sin(radians({lat} - {dlat} / 2))) * radians({dlon}) / (4 * pi()) * 5.10072e8"
+
+
+@query(f"SELECT latitude, round({_AREA.format(lat='latitude', dlat='5.0', dlon='2.5')}, 3) AS area FROM (SELECT DISTINCT {_CELL} FROM lineitem) GROUP BY ALL", area=3)
+def spherical_area(spark, sf_dir):
+    return tables.field_daily(spark, sf_dir).select(LATITUDE).distinct().withColumn("area", geo.spherical_area(F.col(LATITUDE), 5, 2.5))
+
+
+@query(f"SELECT latitude, longitude, round({_AREA.format(lat='latitude', dlat='5.0', dlon='5.0')}, 3) AS area FROM (SELECT DISTINCT {_CELL} FROM lineitem)", area=3)
+def gridcell_area(spark, sf_dir):
+    return geo.add_gridcell_area(tables.field_daily(spark, sf_dir).select(LATITUDE, LONGITUDE).distinct())
+
+
+@query("SELECT i::int AS i_interval, n::int AS lag, (CASE WHEN i > 0 AND i - n <= 0 THEN i - n - 1 ELSE i - n END)::int AS lagged FROM range(-6, 7) a(i), range(0, 6) b(n) WHERE i <> 0")
+def interval_lag(spark, sf_dir):
+    intervals = spark.createDataFrame([(i,) for i in range(-6, 7) if i], "i_interval int")
+    lags = [intervals.select(INTERVAL, F.lit(n).alias("lag"), rgdr.interval_lag(INTERVAL, n).alias("lagged")) for n in range(6)]
+    out = lags[0]
+    for x in lags[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _pairs(which: tuple[list[int], list[int]]) -> str:
+    t, p = which
+    return f"SELECT p.anchor_year, list_position({p}, p.i_interval)::int AS pair, p.latitude, p.longitude, p.value AS x, t.value AS y FROM precursor p JOIN target t ON p.anchor_year = t.anchor_year AND list_position({p}, p.i_interval) = list_position({t}, t.i_interval) WHERE list_contains({p}, p.i_interval) AND list_contains({t}, t.i_interval)"
+
+
+_EVEN = "1 - abs(r) * list_sum(list_transform(range(0, (n - 4) // 2 + 1), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow(1 - r * r, k)))"
+_ODD = "1 - 2 / pi() * (asin(abs(r)) + CASE WHEN n >= 5 THEN abs(r) * sqrt(1 - r * r) * list_sum(list_transform(range(0, (n - 5) // 2 + 1), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(1 - r * r, k))) ELSE 0 END)"
+
+
+def _corr(pairs: str, size: str) -> str:
+    return f"SELECT latitude, longitude, r AS corr, CASE WHEN r IS NULL THEN NULL WHEN n = 2 THEN 1 WHEN n % 2 = 0 THEN {_EVEN} ELSE {_ODD} END AS p_val FROM (SELECT latitude, longitude, CASE WHEN count(*) = ({size}) AND stddev_pop(x) > 0 THEN corr(x, y) END AS r, count(*)::bigint AS n FROM {pairs} GROUP BY ALL)"
+
+
+def _size(which) -> str:
+    return f"SELECT count(*) FROM target WHERE list_contains({which[0]}, i_interval)"
+
+
+_R = {"corr": 6, "p_val": 6}
+_MAP = "latitude longitude corr p_val"
+
+
+def _model(which) -> rgdr.RGDR:
+    return rgdr.RGDR(which[0], lag=4, eps_km=EPS, alpha=ALPHA)
+
+
+def _inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return tables.precursor(spark, sf_dir), tables.target(spark, sf_dir)
+
+
+@query(_with("precursor", "target", s=_pairs(MANY)) + _out("anchor_year pair latitude longitude x y", {"x": 6, "y": 6}, "s"), x=6, y=6)
+def stack_pairs(spark, sf_dir):
+    return rgdr.stack_pairs(*_inputs(spark, sf_dir), MANY[1], MANY[0])
+
+
+def _corr_query(name: str, which):
+    def f(spark, sf_dir):
+        return _model(which).get_correlation(*_inputs(spark, sf_dir))
+
+    f.__name__ = name
+    query(_with("precursor", "target", s=_pairs(which), m=_corr("s", _size(which))) + _out(_MAP, _R, "m"), **_R)(f)
+
+
+_corr_query("corr_map", ONE)
+_corr_query("corr_multi_interval", MANY)
+
+
+@query(_with("monthly", "tmonthly", s="SELECT m.latitude, m.longitude, m.value AS x, t.value AS y FROM monthly m JOIN tmonthly t USING (time)", m=_corr("s", "SELECT count(*) FROM tmonthly")) + _out(_MAP, _R, "m"), **_R)
+def corr_pvalue(spark, sf_dir):
+    """Correlation over time of every cell with a series."""
+    month = F.date_trunc("month", F.col("time")).cast("timestamp_ntz")
+    orders = tables.table(spark, sf_dir, "orders").where(F.year("o_orderdate").between(*tables.YEARS)).select(F.col("o_orderdate").alias("time"), "o_totalprice")
+    return rgdr.correlation(tables.field_monthly(spark, sf_dir), orders.groupBy(month.alias("time")).agg(F.avg(F.log("o_totalprice")).alias("value")), "time")
+
+
+_CELLS = {"s": _pairs(MANY), "m": _corr("s", _size(MANY))}
+
+
+@query(_with("precursor", "target", **_CELLS, o=f"SELECT *, coalesce(p_val < {ALPHA}, false) AS significant FROM m") + _out(_MAP + " significant", _R, "o"), **_R)
+def significance_mask(spark, sf_dir):
+    return _model(MANY).preview_correlation(*_inputs(spark, sf_dir))
+
+
+# clusters
+
+_NUMBERED = "SELECT *, (dense_rank() OVER (ORDER BY latitude DESC) - 1) * (SELECT count(DISTINCT longitude) FROM m) + dense_rank() OVER (ORDER BY longitude) - 1 AS id FROM m"
+_POINTS = f"SELECT id, CASE WHEN corr >= 0 THEN 1 ELSE -1 END AS sign, latitude, longitude FROM g WHERE p_val < {ALPHA}"
+_HAVERSINE = "2 * 6371 * asin(least(1, sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))))"
+_EDGES = f"SELECT a.sign, a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.sign = b.sign AND a.id <= b.id AND {_HAVERSINE} <= {EPS}"
+_REACH = "SELECT sign, a AS id, a AS other FROM e UNION SELECT r.sign, r.id, CASE WHEN e.a = r.other THEN e.b ELSE e.a END FROM r JOIN e ON e.sign = r.sign AND (e.a = r.other OR e.b = r.other)"
+_LABELS = "SELECT id, (sign * dense_rank() OVER (PARTITION BY sign ORDER BY first))::smallint AS cluster_label FROM (SELECT sign, id, min(other) AS first FROM (SELECT sign, id, other FROM r UNION ALL SELECT sign, b, b FROM e) GROUP BY ALL)"
+_LABELLED = f"SELECT g.latitude, g.longitude, g.corr, g.p_val, coalesce(l.cluster_label, 0)::smallint AS cluster_label, {_AREA.format(lat='g.latitude', dlat='5.0', dlon='5.0')} AS area FROM g LEFT JOIN l ON g.id = l.id"
+_BOTH = "SELECT sign, a, b FROM e0 UNION ALL SELECT sign, b, a FROM e0"
+_CLUSTERS = _with("precursor", "target", **_CELLS, g=_NUMBERED, pt=_POINTS, e0=_EDGES, e=_BOTH, r=_REACH, l=_LABELS, c=_LABELLED).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _clusters(spark, sf_dir, area=None) -> DataFrame:
+    cells = _model(MANY).get_correlation(*_inputs(spark, sf_dir)).persist()
+    return cluster.spherical_clusters(cells, EPS, ALPHA, area)
+
+
+@query(_CLUSTERS + "SELECT sign::int AS sign, a::bigint AS a, b::bigint AS b FROM e0")
+def eps_edges(spark, sf_dir):
+    cells = _model(MANY).get_correlation(*_inputs(spark, sf_dir)).persist()
+    return cluster.eps_edges(cluster.significant(cluster.numbered(cells), ALPHA).select("id", "sign", LATITUDE, LONGITUDE), EPS).select("sign", "a", "b")
+
+
+@query(_CLUSTERS + "SELECT latitude, longitude, cluster_label FROM c")
+def dbscan_labels(spark, sf_dir):
+    return _model(MANY).get_clusters(*_inputs(spark, sf_dir)).select(LATITUDE, LONGITUDE, "cluster_label")
+
+
+@query(_CLUSTERS + "SELECT cluster_label, round(sum(area), 2) AS area FROM c GROUP BY ALL", area=2)
+def cluster_area(spark, sf_dir):
+    return cluster.cluster_area(_clusters(spark, sf_dir))
+
+
+_BIG = f"CASE WHEN sum(area) OVER (PARTITION BY cluster_label) > {AREA} THEN cluster_label ELSE 0 END::smallint"
+
+
+@query(_CLUSTERS + f"SELECT latitude, longitude, ({_BIG.replace('END::smallint', 'END')})::smallint AS cluster_label FROM c")
+def clusters_min_area(spark, sf_dir):
+    return _clusters(spark, sf_dir, AREA).select(LATITUDE, LONGITUDE, "cluster_label")
+
+
+_CENTERS = "SELECT cluster_label, sum(area * latitude) / sum(area) AS latitude, sum(area * longitude) / sum(area) AS longitude FROM c GROUP BY ALL"
+_REDUCED = f"SELECT p.anchor_year, p.i_interval, c.cluster_label, sum(area * value) / sum(area) AS value FROM precursor p JOIN c USING (latitude, longitude) WHERE cluster_label <> 0 AND list_contains({MANY[1]}, p.i_interval) GROUP BY ALL"
+_D = {"latitude": 6, "longitude": 6, "value": 6}
+
+
+@query(_CLUSTERS + f", red AS ({_REDUCED}), cen AS ({_CENTERS}), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT anchor_year, i_interval FROM precursor WHERE list_contains({MANY[1]}, i_interval))), ok AS (SELECT cluster_label FROM red GROUP BY ALL HAVING count(value) = (SELECT n FROM n)) SELECT anchor_year, i_interval, cluster_label, round(cen.latitude, 6) AS latitude, round(cen.longitude, 6) AS longitude, round(red.value, 6) AS value FROM red JOIN ok USING (cluster_label) JOIN cen USING (cluster_label)", **_D)
+def rgdr_transform(spark, sf_dir):
+    return _model(MANY).fit_transform(*_inputs(spark, sf_dir))
+
+
+@query(_CLUSTERS + f", cen AS ({_CENTERS}) " + _out("cluster_label latitude longitude", {"latitude": 6, "longitude": 6}, "cen"), latitude=6, longitude=6)
+def cluster_centers(spark, sf_dir):
+    return rgdr.cluster_centers(_clusters(spark, sf_dir))
+
+
+_SUMS = {"mean": "sum(l_quantity * l_extendedprice) / sum(l_quantity)", "sum": "sum(l_quantity * l_extendedprice)", "sum_of_weights": "sum(l_quantity)"}
+_SQUARES = "sum(l_quantity * (l_extendedprice - m) * (l_extendedprice - m))"
+_SUMS |= {"sum_of_squares": _SQUARES, "var": f"{_SQUARES} / sum(l_quantity)", "std": f"sqrt({_SQUARES} / sum(l_quantity))"}
+# sums of squares keep about ten digits over another order, so they are compared in relative terms
+_SCALE = {"sum_of_squares": 1e9, "var": 1e6, "sum": 1e3}
+
+
+def _weighted_query(method: str):
+    def f(spark, sf_dir):
+        rows = tables.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+        out = rgdr.weighted_groupby(rows, "l_returnflag", "l_quantity", method)
+        return out.select("l_returnflag", (F.col("l_extendedprice") / _SCALE.get(method, 1.0)).alias("value"))
+
+    f.__name__ = f"weighted_{method}"
+    sql = f"SELECT l_returnflag, round({_SUMS[method]} / {_SCALE.get(method, 1.0)}, 3) AS value FROM (SELECT *, sum(l_quantity * l_extendedprice) OVER (PARTITION BY l_returnflag) / sum(l_quantity) OVER (PARTITION BY l_returnflag) AS m FROM lineitem) GROUP BY ALL"
+    query(sql, value=3)(f)
+
+
+for _method in METHODS:
+    _weighted_query(_method)
+
+# alignment
+
+_CUBE = "SELECT * FROM (VALUES " + ", ".join(f"({s}, {y}::double, {x}::double, {v})" for s, y, x, v in tables.label_rows() if v) + ") t(split, latitude, longitude, label)"
+A = {
+    "lab": _CUBE,
+    "size": "SELECT split, label, count(*) AS n FROM lab GROUP BY ALL",
+    "shared": "SELECT a.split AS split_a, a.label AS label_a, b.split AS split_b, b.label AS label_b, count(*) AS n FROM lab a JOIN lab b USING (latitude, longitude) GROUP BY ALL",
+    "tab": "SELECT a.split AS split_a, a.label AS label_a, b.split AS split_b, b.label AS label_b, CASE WHEN a.split <> b.split AND sign(a.label) = sign(b.label) THEN coalesce(h.n, 0) / a.n END AS overlap FROM size a CROSS JOIN size b LEFT JOIN shared h ON h.split_a = a.split AND h.label_a = a.label AND h.split_b = b.split AND h.label_b = b.label",
+    "sets": "SELECT DISTINCT list_sort(list_distinct(list(m))) AS members FROM (SELECT split_a, label_a, split_b || '_' || label_b AS m FROM tab WHERE overlap > 0.1 UNION ALL SELECT split, label, split || '_' || label FROM size) GROUP BY split_a, label_a",
+    "maxi": "SELECT members FROM sets a WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE a.members <> b.members AND list_has_all(b.members, a.members))",
+    "ranked": "SELECT members, row_number() OVER (ORDER BY len(members), array_to_string(members, '|')) AS rk FROM maxi",
+    "disj": "SELECT list_sort(list(m)) AS members FROM (SELECT m, max(rk) AS rk FROM (SELECT rk, unnest(members) AS m FROM ranked) GROUP BY m) GROUP BY rk",
+    "keyed": "SELECT members, row_number() OVER (ORDER BY list_sum(list_transform(string_split(array_to_string(members, ''), ''), lambda c: ascii(c))) + 78 * len(members) + 76 * (len(members) - 1) DESC, array_to_string(members, '|')) - 1 AS p FROM disj",
+    "named": "SELECT CASE WHEN p < 26 THEN chr((65 + p)::int) ELSE chr((65 + (p - 26) // 26)::int) || chr((65 + (p - 26) % 26)::int) END AS name, members FROM keyed",
+    "ren": "SELECT string_split(m, '_')[1]::int AS split, string_split(m, '_')[2]::int AS label, name, (row_number() OVER (PARTITION BY string_split(m, '_')[1]::int ORDER BY length(name), name, abs(string_split(m, '_')[2]::int), string_split(m, '_')[2]::int))::int AS pos FROM (SELECT name, unnest(members) AS m FROM named)",
+    "uni": "SELECT split, label, CASE WHEN max(c) OVER (PARTITION BY name) > 1 THEN name || i ELSE name END AS name, pos FROM (SELECT *, count(*) OVER (PARTITION BY split, name) AS c, row_number() OVER (PARTITION BY split, name ORDER BY pos) AS i FROM ren)",
+}
+
+
+def _aligned(last: str, columns: str) -> str:
+    names = list(A)[: list(A).index(last) + 1]
+    return "WITH " + ", ".join(f"{n} AS ({A[n]})" for n in names) + f" SELECT {columns} FROM {last}"
+
+
+@query(_aligned("tab", "split_a, label_a, split_b, label_b, round(overlap, 9) AS overlap"), overlap=9)
+def overlap_table(spark, sf_dir):
+    return alignment.overlap_table(tables.label_cube(spark))
+
+
+def _sets(spark) -> DataFrame:
+    return alignment.overlapping_clusters(tables.label_cube(spark))
+
+
+def _text():
+    return F.array_join("members", " ").alias("members")
+
+
+_JOINED = "array_to_string(members, ' ') AS members"
+
+
+@query(_aligned("sets", _JOINED))
+def overlap_sets(spark, sf_dir):
+    return _sets(spark).select(_text())
+
+
+@query(_aligned("maxi", _JOINED))
+def maximal_sets(spark, sf_dir):
+    return alignment.remove_subsets(_sets(spark)).select(_text())
+
+
+def _disjoint(spark) -> DataFrame:
+    return alignment.remove_overlapping(alignment.remove_subsets(_sets(spark)))
+
+
+@query(_aligned("disj", _JOINED))
+def disjoint_sets(spark, sf_dir):
+    return _disjoint(spark).select(_text())
+
+
+@query(_aligned("named", "name, " + _JOINED))
+def named_sets(spark, sf_dir):
+    return alignment.name_clusters(_disjoint(spark)).select("name", _text())
+
+
+@query(_aligned("ren", "split, label, name, pos"))
+def renaming(spark, sf_dir):
+    return alignment.renaming(alignment.name_clusters(_disjoint(spark))).select("split", "label", "name", "pos")
+
+
+@query(_aligned("uni", "split, label, name, pos"))
+def unique_names(spark, sf_dir):
+    return alignment.aligned_names(tables.label_cube(spark)).select("split", "label", "name", "pos")
+
+
+@query(_aligned("uni", "u.name AS cluster_label, u.split, count(*)::bigint AS cells, round(avg(l.latitude), 6) AS latitude, round(avg(l.longitude), 6) AS longitude").replace("FROM uni", "FROM uni u JOIN lab l ON u.split = l.split AND u.label = l.label GROUP BY ALL"), latitude=6, longitude=6)
+def aligned_reduced(spark, sf_dir):
+    """Cluster centres of all splits under their common names."""
+    cube = tables.label_cube(spark).where("cluster_label <> 0")
+    names = alignment.aligned_names(cube).select("split", F.col("label").alias("cluster_label"), "name")
+    rows = cube.join(names, ["split", "cluster_label"])
+    return rows.groupBy(F.col("name").alias("cluster_label"), "split").agg(F.count("*").alias("cells"), F.avg(LATITUDE).alias(LATITUDE), F.avg(LONGITUDE).alias(LONGITUDE))
+
+
+# calendar
+
+
+def _calendar() -> cal.Calendar:
+    return cal.Calendar("08-01").add_intervals("target", "1M", 4).add_intervals("precursor", "1M", 4).map_years(1995, 2000)
+
+
+_SPELLED = (
+    "SELECT y::int AS anchor_year, i::int AS i_interval, (make_date(y, 8, 1) + (i - 1) * INTERVAL 1 MONTH)::date AS \"left\", (make_date(y, 8, 1) + i * INTERVAL 1 MONTH)::date AS \"right\", true AS is_target FROM range(1995, 2001) a(y), range(1, 5) b(i) "
+    "UNION ALL SELECT y::int, -i::int, (make_date(y, 8, 1) - i * INTERVAL 1 MONTH)::date, (make_date(y, 8, 1) - (i - 1) * INTERVAL 1 MONTH)::date, false FROM range(1995, 2001) a(y), range(1, 5) b(i)"
+)
+
+
+@query(f'SELECT anchor_year, i_interval, "left"::varchar AS "left", "right"::varchar AS "right", is_target FROM ({_SPELLED})')
+def calendar_intervals(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return _calendar().intervals(spark).select(ANCHOR_YEAR, INTERVAL, text("left"), text("right"), "is_target")
+
+
+@query(_with("daily", k=_SPELLED) + 'SELECT anchor_year, i_interval, latitude, longitude, round(avg(value), 6) AS value FROM daily JOIN k ON time >= "left" AND time < "right" GROUP BY ALL', **_V)
+def resample_mean(spark, sf_dir):
+    return cal.resample(_calendar(), tables.field_daily(spark, sf_dir))
+
+
+@query(_with("target", s="SELECT f::int AS split, y::int AS anchor_year, NOT ((y - 1995) >= f * 6 // 3 AND (y - 1995) < (f + 1) * 6 // 3) AS is_train FROM range(3) a(f), range(1995, 2001) b(y)") + "SELECT split, anchor_year, i_interval, is_train, round(value, 6) AS value FROM target JOIN s USING (anchor_year)", **_V)
+def train_test_rows(spark, sf_dir):
+    data = tables.target(spark, sf_dir)
+    return cal.split_rows(data, cal.kfold_splits(data, 3)).select("split", ANCHOR_YEAR, INTERVAL, "is_train", "value")
