@@ -11,7 +11,7 @@ PI = 3.141592653589793
 def pearson(x: Column, y: Column) -> Column:
     """Pearson correlation within [-1, 1]; NULL if either side is constant."""
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))  # greatest and least skip NULL
 
 
 def pearson_pvalue(r: Column, n: Column) -> Column:
