@@ -6,6 +6,8 @@ matches of ``[^\\x20\\x09-\\x0D]+`` on code points. All hashing is done on whole
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -14,25 +16,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import shared_dir, ship
+from ..plans.session import shared_dir
+from ..plans.session import ship as _ship
 
 #: Bytes of text that are processed together in a Python worker; a longer text is a slab of its own.
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 19
 #: Java regular expression of the separators between words.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """The package to the executors; and smaller Arrow batches, unless a number was set, as rows hold whole texts."""
+    _ship(spark)
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, "1024")
+
+
+def tidy(run):
+    """A function for `mapInArrow` that gives memory back at the end of a task.
+
+    Python workers live on between tasks; what the allocators keep would add up over the stages of a job.
+    """
+
+    def tidied(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and keep in the shared folder, so that a lost executor costs only its own tasks."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of tables that nothing refers to any more.
+
+    Spark removes them when the driver's garbage collector finds their handles, which a small driver heap delays.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it: like `cut`, but compressed by columns, and to be dropped."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a stored table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

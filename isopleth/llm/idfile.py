@@ -18,6 +18,8 @@ empty table gives files without blocks and an empty result.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -34,40 +36,130 @@ STEP = 128
 #: Longest code word in bits; the decoding table has 2**limit entries.
 LIMIT = 18
 
+#: Units that a worker remembers in each of two generations.
+UNITS = 300_000
+
 _CODEC = "zstd"
 
 
 class LibraryIds:
-    """Ids from the tokenizers library, word by word, with the words remembered.
+    """Ids from the tokenizers library, with the units it is given remembered.
 
-    Splitting at ASCII white space is exact for a tokenizer that drops white space, for the reasons given in `bpe`.
+    Units stand between white space, and full stops and commas are units of their own: for a tokenizer that drops white
+    space both cuts are exact (see `bpe`), the second where no other mark touches the stop or comma. Of new units those of letters only are one
+    pre-token each, which ends with the only token that has the word end; they are encoded together as one text, and the
+    ids cut there. Other texts are cut into runs of letters and of marks, which is exact without apostrophes, parts of
+    special tokens and characters beyond ASCII that are no letters; with one of those, at white space only.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # the same model for units that are normalised already and one pre-token each
+        self.normal = Tokenizer(self.library.model)
+        self.normal.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.library.model.end_of_word_suffix
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
+        self.units, self.older = {}, {}  # the older generation goes when the younger is full
         self.words: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = self.words
-        if len(words) > bpe.REMEMBERED:
-            words.clear()
-        split = [x.split() for x in texts]
-        new = {w for x in split for w in x if w not in words}
-        if new:
-            new = list(new)
-            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            words.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(new, found, strict=True))
-        out = [np.frombuffer(b"".join(map(words.__getitem__, x)), "<u4") for x in split]
+    def _each(self, parts: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in parts], add_special_tokens=False) if parts else []
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _learn(self, new: list[bytes]) -> None:
+        letters, normal, odd = [], [], []
+        for unit in new:
+            if unit.isalpha():  # ASCII, in lower case
+                letters.append(unit)
+                normal.append(unit)
+                continue
+            text = unicodedata.normalize("NFC", unit.decode("utf-8", "replace"))
+            low = text.lower()
+            if "\u03a3" not in text and low.isalpha():  # sigma: the library lowers each letter on its own
+                letters.append(unit)
+                normal.append(low.encode())
+            else:
+                odd.append(unit)
+        parts = [b" ".join(normal[i : i + 256]).decode() for i in range(0, len(normal), 256)]
+        ids = np.array([i for x in self.normal.encode_batch_fast(parts, add_special_tokens=False) for i in x.ids], "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) == len(letters):
+            raw, last = ids.tobytes(), 0
+            for unit, cut in zip(letters, cuts, strict=True):
+                self.units[unit] = raw[last : 4 * cut]
+                last = 4 * cut
+        else:  # not expected; one by one is always right
+            self.units.update(zip(letters, self._each(letters), strict=True))
+        # beside a character beyond ASCII that is no letter, a mark would not be a pre-token of its own
+        self.units.update((x, y if x.isascii() else None) for x, y in zip(odd, self._each(odd), strict=True))
+
+    def _by_words(self, text: bytes) -> np.ndarray:
+        split = text.split()
+        if len(self.words) > UNITS // 8:
+            self.words.clear()
+        new = list({w for w in split if w not in self.words})
+        self.words.update(zip(new, self._each(new), strict=True))
+        out = np.frombuffer(b"".join(map(self.words.__getitem__, split)), "<u4")
         for w in new:
             if len(w) > bpe.REMEMBERED_BYTES:
-                del words[w]
+                del self.words[w]
         return out
 
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a slab."""
+        raw, low = data.tobytes(), common.lowered(data).tobytes()
+        plain = np.ones(len(offs) - 1, bool)
+        if len(data):
+            stop = _STOP[data]
+            touched = np.zeros(len(data), bool)
+            touched[:-1] = (stop[:-1] & ~_MAY_FOLLOW[data[1:]]) | (stop[1:] & ~_MAY_PRECEDE[data[:-1]]) | ((data[:-1] == 60) & (data[1:] == 124))
+            plain = np.diff(np.concatenate([[0], np.cumsum(touched)])[offs]) == 0
+        split = []
+        for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+            own = low[a:b]
+            if plain[i]:
+                split.append(own.replace(b".", b" . ").replace(b",", b" , ").split())
+            else:  # runs of marks are units, but for contractions and special tokens
+                split.append(None if b"'" in own or b"<|" in own else _RUNS.findall(own))
+        if len(self.units) > UNITS:
+            self.units, self.older = {}, self.units
+        units, older, new = self.units, self.older, []
+        for unit in set().union(*(own for own in split if own)).difference(units):
+            if unit in older:
+                units[unit] = older[unit]
+            else:
+                new.append(unit)
+        if new:
+            self._learn(new)
+        out = []
+        for i, own in enumerate(split):
+            try:
+                found = None if own is None else b"".join(map(units.__getitem__, own))
+            except TypeError:  # a unit that may not be cut here
+                found = None
+            a, b = int(offs[i]), int(offs[i + 1])
+            out.append(self._by_words(raw[a:b]) if found is None else np.frombuffer(found, "<u4"))
+        for unit in new:
+            if len(unit) > bpe.REMEMBERED_BYTES:
+                del units[unit]
+        return out
+
+
+_RUNS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+_STOP = np.zeros(256, bool)
+_STOP[[44, 46]] = True
+_MAY_FOLLOW = np.zeros(256, bool)
+_MAY_FOLLOW[[9, 10, 11, 12, 13, 32, *range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MAY_PRECEDE = _MAY_FOLLOW.copy()
+_MAY_PRECEDE[128:] = True
+
 
 _libraries: dict[str, LibraryIds] = {}
 
@@ -136,33 +228,35 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     return (high + low).astype(np.uint32).astype(">u4").tobytes(), start[::STEP]
 
 
-def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """For each value of the next `limit` bits the id and its length."""
+def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """For each value of the next `limit` bits the id, shifted by 5, and its length."""
     limit = int(lengths.max(initial=1))
     codes = canonical(lengths)
     order = np.flatnonzero(lengths)
     order = order[np.argsort(codes[order] << (limit - lengths[order]).astype(np.uint64), kind="stable")]
     repeat = 1 << (limit - lengths[order].astype(np.int64))
-    size = 1 << limit
-    symbol, length = np.zeros(size, np.uint32), np.ones(size, np.uint8)
-    symbol[: repeat.sum()] = np.repeat(order, repeat)
-    length[: repeat.sum()] = np.repeat(lengths[order], repeat)
-    return symbol, length, limit
+    table = np.ones(1 << limit, np.uint32)
+    table[: repeat.sum()] = np.repeat((order << 5 | lengths[order]).astype(np.uint32), repeat)
+    return table, limit
 
 
-def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, int]) -> np.ndarray:
     """Ids of a block: all lanes between checkpoints advance by one id at a time."""
-    symbol, length, limit = table
+    found, limit = table
     words = np.frombuffer(payload, ">u4").astype(np.uint64)
     pairs = (words[:-1] << np.uint64(32)) | words[1:]  # the 64 bits from each word on
-    pairs = np.append(pairs, words[-1] << np.uint64(32))
+    pairs = np.concatenate([pairs, [words[-1] << np.uint64(32)], np.zeros(LIMIT + 14, np.uint64)])
     place = checkpoints.astype(np.int64)
     out = np.zeros((STEP, len(place)), np.uint32)
-    mask, last = np.uint64((1 << limit) - 1), len(pairs) - 1
+    mask, last = np.int64((1 << limit) - 1), len(words) << 5
+    shift = np.int64(64 - limit)
     for step in range(STEP):
-        window = (pairs[np.minimum(place >> 5, last)] >> (64 - limit - (place & 31)).astype(np.uint64)) & mask
-        out[step] = symbol[window]
-        place += length[window]
+        window = (pairs[place >> 5] >> (shift - (place & 31)).view(np.uint64)).view(np.int64) & mask
+        both = found[window]
+        out[step] = both >> np.uint32(5)
+        place += both & np.uint32(31)
+        if step % 32 == 31:  # lanes that are past the end stay there
+            np.minimum(place, last, out=place)
     return out.T.reshape(-1)[:n]
 
 
@@ -175,14 +269,13 @@ def _tokenised(docs: DataFrame, path: str | None) -> DataFrame:
         part, words = TaskContext.get().partitionId(), library(path)
         for batch in batches:
             for at, end, data, offs in common.slabs(batch.column("text"), 1 << 19):
-                raw = data.tobytes()
-                ids = words.encode([raw[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)])
+                ids = words.encode(data, offs)
                 both = np.concatenate([x for each in ids for x in (each, np.array([END_ID], "<u4"))]).astype("<u4")
                 narrow = both.astype("<u2") if both.max() < 1 << 16 else both
                 blob = pa.compress(narrow.tobytes(), codec=_CODEC, asbytes=True)
                 yield pa.RecordBatch.from_pylist([{"part": part, "doc_ids": batch.column("doc_id").slice(at, end - at).to_pylist(), "sizes": [len(x) + 1 for x in ids], "n": len(both), "width": narrow.itemsize, "ids": blob}], schema=_CHUNK)
 
-    return common.cut(rows.mapInArrow(run, "part int, doc_ids array<long>, sizes array<int>, n long, width int, ids binary"))
+    return common.cut(rows.mapInArrow(common.tidy(run), "part int, doc_ids array<long>, sizes array<int>, n long, width int, ids binary"))
 
 
 _CHUNK = pa.schema([("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
@@ -211,7 +304,7 @@ def write(docs: DataFrame, out: str, path: str | None = None) -> None:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    found = chunks.select("n", "width", "ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row for each id of the vocabulary
+    found = chunks.select("n", "width", "ids").mapInArrow(common.tidy(counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row for each id of the vocabulary
     total = np.zeros(int(found["id"].to_numpy().max()) + 1 if len(found) else 0, np.int64)
     total[found["id"].to_numpy()] = found["n"].to_numpy()
     lengths = code_lengths(total)
@@ -243,7 +336,7 @@ def write(docs: DataFrame, out: str, path: str | None = None) -> None:
         if held:
             yield block()
 
-    chunks.mapInArrow(blocks, _BLOCK_DDL).write.option("compression", "none").parquet(f"{out}/blocks")
+    chunks.mapInArrow(common.tidy(blocks), _BLOCK_DDL).write.option("compression", "none").option("parquet.block.size", 8 << 20).parquet(f"{out}/blocks")
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
@@ -271,7 +364,7 @@ def _read(spark: SparkSession, out: str, digest: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own["doc_ids"].values, pa.array(own["start"].as_py() + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary")
-    return spark.read.schema(_BLOCK_DDL).parquet(f"{out}/blocks").mapInArrow(run, schema)
+    return spark.read.schema(_BLOCK_DDL).parquet(f"{out}/blocks").mapInArrow(common.tidy(run), schema)
 
 
 def op8_id_files(spark, sf_dir: str) -> DataFrame:

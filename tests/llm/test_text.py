@@ -1,0 +1,232 @@
+"""Operators on texts: encoding, id files, rules, personal data, words."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from isopleth.llm import bpe, common, idfile, pii, rules
+
+ODD = ["", None, "  \n\t", "a<|endoftext|>b <|startoftext|>", "ΑΣ ΑΣΣ. İstanbul ǅ", "it's we'll I'd'll 'S 12ab34 x y\x85z \x1c q", "é ́e a̸", "😀😀 日本語テスト 한국어", "x" * 30_000, "ab" * 500 + "!?" * 300, "\x00\x01 �", "…. a é. ½. ²,", "word " * 20_000, "the cat.the,dog .., x.́ y"]
+
+
+def random_texts(n=300, seed=1):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(list("abcdethinor'<|>. 1é😀́.,  …É!\x01")) for _ in range(rng.choice([3, 20, 120]))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts(small):
+    return [*ODD, *random_texts(), *[r[0] for r in duckdb.sql(f"SELECT text FROM '{small}/documents.parquet'").fetchall()]]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.tokenizer_path(None))
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    # an extra column, a repeated row, a null id
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, "no id", "y")]
+    return spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(5)
+
+
+def test_words_and_hashes():
+    column = pa.array([*ODD, "one two", "two  one\n", "one"], pa.string())
+    seen = {}
+    for at, end, data, offs in common.slabs(column, 64):
+        starts, ends, first = common.word_spans(data, offs)
+        hashes = common.span_hashes(data, starts, ends)
+        raw = data.tobytes()
+        for i in range(at, end):
+            words = [raw[a:b] for a, b in zip(starts, ends)][first[i - at] : first[i - at + 1]]
+            assert words == re.findall(rb"[^\x20\x09-\x0D]+", (column[i].as_py() or "").encode())
+            for w, h in zip(words, hashes[first[i - at] : first[i - at + 1]]):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_bpe_equals_the_library(spark, docs, texts, library):
+    rows = {r["doc_id"]: r for r in bpe.round_trip(docs).collect()}
+    assert len(rows) == len(texts) + 1
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert rows[i]["n_tokens"] == len(ids)
+        assert rows[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert rows[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_bpe_operators_keep_columns(spark, docs):
+    encoded = bpe.encode(docs.where("doc_id < 20"))
+    assert encoded.columns == ["doc_id", "text", "ids"]
+    again = bpe.decode(encoded, out="spelled")
+    digests = {r["doc_id"]: r["decoded_sha256"] for r in bpe.round_trip(docs.where("doc_id < 20")).collect()}
+    for r in again.collect():
+        assert hashlib.sha256(r["spelled"].encode()).hexdigest() == digests[r["doc_id"]]
+    assert bpe.encode(docs.where("false")).count() == 0
+
+
+def test_every_token_is_reached():
+    e = bpe.encoder()
+    assert len(e.merges.longest) == len(e.merges.split)
+
+
+def test_backtracking_against_merging():
+    """Small merge tables with many traps: greedy longest match alone fails on them."""
+    rng = random.Random(3)
+    for _ in range(40):
+        base, pairs, words = 3, [], ["a", "b", "c"]
+        while len(pairs) < 14:
+            a, b = rng.randrange(len(words)), rng.randrange(len(words))
+            if words[a] + words[b] not in words:
+                pairs.append((a, b))
+                words.append(words[a] + words[b])
+        merges = bpe.Merges(base, pairs)
+        rank = {p: i for i, p in enumerate(pairs)}
+        for _ in range(60):
+            text = [rng.randrange(base) for _ in range(rng.randrange(1, 30))]
+            want = list(text)
+            while True:
+                best = min(((rank[p], i) for i, p in enumerate(zip(want, want[1:])) if p in rank), default=None)
+                if best is None:
+                    break
+                want[best[1] : best[1] + 2] = [base + best[0]]
+            assert merges.encode("".join(chr(s + 1) for s in text)) == want
+
+
+def test_id_files(spark, docs, texts, library, tmp_path):
+    out = str(tmp_path / "ids")
+    idfile.write(docs, out)
+    rows = idfile.read(spark, out).collect()
+    own = sorted([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], key=lambda x: x[0])
+    want = [(None, "no id"), *own]
+    rows.sort(key=lambda r: r["start"])
+    start = 0
+    assert len(rows) == len(want)
+    for r, (i, t) in zip(rows, want):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (i, start, len(ids))
+        assert bytes(r["ids"]) == ids.tobytes()
+        start += len(ids)
+    crc = {r["start"]: r["ids_crc32"] for r in idfile._read(spark, out, True).collect()}
+    assert all(crc[r["start"]] == zlib.crc32(bytes(r["ids"])) for r in rows)
+
+
+def test_id_files_of_an_empty_table(spark, docs, tmp_path):
+    idfile.write(docs.where("false"), str(tmp_path / "none"))
+    assert idfile.read(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("counts, limit", [([5], 8), ([1, 1], 8), ([2**i for i in range(30)], 8), (list(range(1, 300)), 9), ([0, 3, 0, 9, 1], 18)])
+def test_huffman(counts, limit):
+    counts = np.array(counts)
+    lengths = idfile.code_lengths(counts, limit)
+    assert ((lengths > 0) == (counts > 0)).all() and lengths.max() <= limit
+    assert (2.0 ** -lengths[lengths > 0].astype(float)).sum() <= 1
+    rng = np.random.default_rng(0)
+    ids = rng.choice(np.flatnonzero(counts), 1000)
+    payload, checkpoints = idfile.pack(ids, lengths, idfile.canonical(lengths))
+    assert (idfile.unpack(payload, checkpoints, len(ids), idfile.decoding_table(lengths)) == ids).all()
+    small = counts[counts > 0]
+    if 1 < len(small) < 40 and limit == 18:  # as short as without a limit
+        import heapq
+
+        heap, cost = [int(x) for x in small], 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += both
+            heapq.heappush(heap, both)
+        assert (lengths[counts > 0] * small).sum() == cost
+
+
+def test_rules_against_a_loop(spark, docs, texts):
+    rows = {r["doc_id"]: r for r in rules.judged(docs).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = [tuple(words[j : j + 3]) for j in range(len(words) - 2)]
+        seen, covered = {}, set()
+        for j, w in enumerate(windows):
+            seen.setdefault(w, []).append(j)
+        for places in seen.values():
+            if len(places) > 1:
+                covered |= {p + d for p in places for d in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = rows[i]
+        got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        assert got == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)), t[:80]
+        assert r["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
+        assert not (r["base_failed"] and r["kept"])
+    assert rules.judged(docs.where("false")).count() == 0
+
+
+def test_rules_keep_prose_and_drop_junk(spark, small):
+    con = duckdb.connect()
+    labels = dict(con.sql(f"SELECT doc_id, quality FROM '{small}/labels.parquet'").fetchall())
+    rows = [r for r in rules.judged(spark.read.parquet(f"{small}/documents.parquet")).collect() if r["doc_id"] in labels and not r["base_failed"]]
+    assert all(r["kept"] for r in rows if labels[r["doc_id"]] == 1)
+    assert not any(r["kept"] for r in rows if labels[r["doc_id"]] == 0)
+
+
+PRIVATE = "call +1 (017) 555-7713 or +1 (017) 555-7714, a.b@x.com A.B@X.COM; ip 97.51.17.173 card 9807915762804490 4111 1111 1111 1111 ssn 123-45-6789 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" Mr. John Smith met Mrs. Smith"
+CLEAN = "Version 2.0. on 2021-03-04 plain 12345 text, 3.14 1.2.3.4.5 and Mr. or 50% of it @ home. Frau? 10:30"
+
+
+def test_private_data(spark):
+    rows = [(1, PRIVATE, 7), (2, None, 7), (3, "", 7), (4, CLEAN, 7), (5, "a.b@x.com", 7), (5, "a.b@x.com", 7)]
+    out = pii.replaced(spark.createDataFrame(rows, "doc_id long, text string, _surrogates int"), count="n").orderBy("doc_id").collect()
+    text = {r["doc_id"]: r["text"] for r in out}
+    assert text[2] is None and text[3] == "" and text[4] == CLEAN and [r["_surrogates"] for r in out] == [7] * 6
+    assert [r["n"] for r in out] == [11, 0, 0, 0, 1, 1]
+    for secret in ("555-7713", "555-7714", "a.b@", "A.B@", "97.51.17.173", "9807915762804490", "1111 1111", "123-45-6789", "04dbebab", "Smith", "John"):
+        assert secret not in text[1]
+    new = text[1]
+    phones = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
+    emails = re.findall(r"\S+@\S+\.com", new, re.I)
+    assert len(phones) == 2 and phones[0] != phones[1]
+    assert emails[0].upper().rstrip(";") == emails[1].rstrip(";") and text[5] == emails[0].rstrip(";")
+    card = re.search(r"(?<!\d)(?:\d{4} ){3}\d{4}", new)[0].replace(" ", "")
+    digits = [int(c) for c in card][::-1]
+    assert sum(digits[0::2] + [sum(divmod(2 * d, 10)) for d in digits[1::2]]) % 10 == 0  # still valid
+    assert all(int(x) < 256 for x in re.search(r"ip ([\d.]+) ", new)[1].split("."))
+    assert re.search(r'token = "[0-9a-f]{40}"', new)
+    man, family, wife = re.search(r"Mr\. (\w+) (\w+) met Mrs\. (\w+)", new).groups()
+    assert man in pii.MALE and family != wife  # different entities: a full name and a family name
+
+
+def test_surrogates_are_distinct(spark):
+    numbers = [f"+1 (0{i % 90 + 10}) 555-{i:04d}" for i in range(900)] + [f"{i}.7.{i % 7}.9" for i in range(1, 250)] + [f"u{i}@a.org" for i in range(500)] + [f"{4000000000000000 + i}" for i in range(400)]
+    df = spark.createDataFrame([(x,) for x in numbers], "text string")
+    out = [r[0] for r in pii.replaced(df).collect()]
+    assert len(set(out)) == len(set(numbers)) and not set(out) & set(numbers)
+    other = [r[0] for r in pii.replaced(df, key="another").collect()]
+    assert sum(a == b for a, b in zip(out, other)) < 5
+
+
+def test_collisions_widen(spark, monkeypatch):
+    df = spark.createDataFrame([(f"u{i}@a.org",) for i in range(200)], "text string")
+    assert pii.enough_width(df, width=1) > 1
+    assert pii.enough_width(df, width=12) == 12
+
+
+def test_private_is_native(spark, docs):
+    from isopleth.llm import rules as r
+
+    for df in (pii.replaced(docs, width=12), r.judged(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|ArrowEval|Exchange", plan)
+    assert pii.replaced(docs.where(F.lit(False)), width=12).count() == 0
