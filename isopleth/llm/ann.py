@@ -165,7 +165,7 @@ def _entries(rows: DataFrame, index: Index, k: int) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(_hashes(vectors)), flat, _lists(vectors), pa.array([x.tobytes() for x in codes], pa.binary())], ["cell", "hash", "ids", "v", "codes"])
 
-    return rows.mapInArrow(run, _ENTRY)
+    return rows.mapInArrow(common.tidy(run), _ENTRY)
 
 
 def _probing(rows: DataFrame, index: Index, probes: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _probing(rows: DataFrame, index: Index, probes: int) -> DataFrame:
             each = np.repeat(np.arange(len(vectors)), cells.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(cells.reshape(-1), pa.int32()), pa.array(_hashes(vectors)[each]), _lists(vectors[each])], ["cell", "hash", "v"])
 
-    return rows.mapInArrow(run, "cell int, hash long, v array<double>").dropDuplicates(["cell", "hash"])
+    return rows.mapInArrow(common.tidy(run), "cell int, hash long, v array<double>").dropDuplicates(["cell", "hash"])
 
 
 _FOUND = "hash long, vec_id long, score double"
@@ -254,7 +254,7 @@ def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, id_: str = "v
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_hashes(_matrix(batch.column("v"))))], ["query_id", "hash"])
 
-    asked = queries.mapInArrow(hashed, "query_id long, hash long").distinct()
+    asked = queries.mapInArrow(common.tidy(hashed), "query_id long, hash long").distinct()
     own = asked.join(best, "hash").withColumn("best", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     out = own.select("query_id", F.posexplode("best").alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

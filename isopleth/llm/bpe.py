@@ -30,7 +30,7 @@ from . import common
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Words and pre-tokens that a worker remembers, at most, and their longest length in bytes.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 48
+REMEMBERED, REMEMBERED_BYTES = 120_000, 48
 
 #: Code points with the property White_Space.
 _WHITE = r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -275,7 +275,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(ends, flat)], [*kept, out])
 
     common.ship(df.sparkSession)
-    return df.select(kept).mapInArrow(run, schema)
+    return df.select(kept).mapInArrow(common.tidy(run), schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:
@@ -291,7 +291,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str | None
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary()).cast(pa.string())], [*kept, out])
 
     common.ship(df.sparkSession)
-    return df.select(kept).mapInArrow(run, schema)
+    return df.select(kept).mapInArrow(common.tidy(run), schema)
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -312,7 +312,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     common.ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), DIGESTS)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

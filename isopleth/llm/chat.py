@@ -110,7 +110,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
             last, chunk = ids[-1], chunks[-1]
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in heads], pa.int64()), pa.array(chunks, pa.int64()), pa.array(np.diff(np.append(heads, n))), text, pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), spans)], ["conv_id", "chunk", "n_turns", "formatted", "loss"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(common.tidy(run), SCHEMA)
 
 
 def parsed(text: bytes) -> list[tuple[bytes, bytes]]:
@@ -156,7 +156,7 @@ def digests(rows: DataFrame) -> DataFrame:
         if state is not None:
             yield batch_of([close()])
 
-    return rows.mapInArrow(run, _DIGESTS)
+    return rows.mapInArrow(common.tidy(run), _DIGESTS)
 
 
 _ADDED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]

@@ -9,9 +9,9 @@ Cube method. The vector of inclusion probabilities moves through the null space
 documents, number of words) until no more than two documents are undecided: with three undecided documents at hand there
 is a direction that changes neither total, and a step along it decides at least one of them. Documents go in descending
 order of size, so that what stays undecided at last is small. The flight runs within blocks of a source's documents;
-what each block leaves, two documents at most, goes through the next round of blocks, until a source has one block.
-There a dozen documents of all sizes wait while the others fly; the landing decides them and the last two by the
-smallest error of the words over all their subsets.
+what each block leaves, a few documents, goes through the next round of blocks, until a source has one block. There a
+dozen documents of all sizes wait while the others fly; the landing decides them and the last two by the smallest error
+of the words over all their subsets.
 
 Sizes are counts of words. Null and empty texts have size 0 and are never taken. The null source is a source, the last
 one. Repeated rows count and are decided each on its own. All random numbers come from hashes of ids, so that reruns
@@ -21,7 +21,7 @@ agree. Extra columns are ignored by the query. An empty table gives an empty res
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a block.
 BLOCK = 4096
-#: Documents of a source's last block that are left to the landing, besides the two of the flight.
+#: Documents of a source's last block that wait for the landing, besides the two of the flight; other blocks leave half.
 LANDING = 12
 
 
@@ -105,27 +105,28 @@ def landing(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return out
 
 
-def landed(size: np.ndarray, chance: np.ndarray, random: np.ndarray) -> np.ndarray:
-    """Flight and landing of a source's last block: documents of all sizes, `LANDING` of them, wait for the landing."""
+def later(size: np.ndarray, chance: np.ndarray, random: np.ndarray, most: int) -> np.ndarray:
+    """The flight of all but `most` undecided documents, of all sizes, which stay as they are."""
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
-    wait = np.unique(open_[np.linspace(0, len(open_) - 1, min(LANDING, len(open_))).astype(int)]) if len(open_) else open_
+    wait = np.unique(open_[np.linspace(0, len(open_) - 1, min(most, len(open_))).astype(int)]) if len(open_) else open_
     fly = np.setdiff1d(np.arange(len(chance)), wait)
     out = chance.astype(float)
     out[fly] = flight(size[fly], chance[fly], random[fly])
-    return landing(size, out)
+    return out
 
 
 _ROW = "doc_id long, size long, place int, chance double, draw long"
 
 
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _block(rows: pa.Table) -> pa.Table:
     """What one block does: the flight and, in a source's last block, the landing."""
-    pdf = pdf.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable", na_position="first")
-    size, draw = pdf["size"].to_numpy(), pdf["draw"].to_numpy().view(np.uint64)
-    random = (common.mix(draw + np.uint64(len(pdf))) >> np.uint64(11)).astype(float) / 2**53
-    pdf["chance"] = (landed if pdf["blocks"].iloc[0] == 1 else flight)(size, pdf["chance"].to_numpy(), random)
-    pdf["draw"] = common.mix(draw).view(np.int64)
-    return pdf[["doc_id", "size", "place", "chance", "draw"]].astype({"doc_id": "Int64"})
+    rows = rows.sort_by([("size", "descending"), ("draw", "ascending"), ("doc_id", "ascending")])
+    size, draw = rows["size"].to_numpy(), rows["draw"].to_numpy().view(np.uint64)
+    random = (common.mix(draw + np.uint64(len(size))) >> np.uint64(11)).astype(float) / 2**53
+    last = rows["blocks"][0].as_py() == 1
+    chance = later(size, rows["chance"].to_numpy(), random, LANDING if last else LANDING // 2)
+    chance = landing(size, chance) if last else chance
+    return pa.Table.from_arrays([rows["doc_id"], rows["size"], rows["place"], pa.array(chance), pa.array(common.mix(draw).view(np.int64))], ["doc_id", "size", "place", "chance", "draw"])
 
 
 def _decided(rows: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def _decided(rows: DataFrame) -> DataFrame:
         blocks = {r["place"]: max(1, -(-r["count"] // BLOCK)) for r in counts.collect()}
         number = spark.createDataFrame([(p, n) for p, n in blocks.items()], "place int, blocks int")
         parts = left.join(F.broadcast(number), "place").withColumn("block", F.pmod("draw", F.col("blocks")).cast("int"))
-        flown = common.cut(parts.groupBy("place", "block").applyInPandas(_block, _ROW))
+        flown = common.cut(parts.groupBy("place", "block").applyInArrow(_block, _ROW))
         settled = flown.where("chance = 0 or chance = 1")
         done = settled if done is None else done.unionByName(settled)
         if max(blocks.values(), default=1) == 1:  # every source has landed

@@ -1,7 +1,8 @@
 """Operator 2: n-gram Jaccard self-join by signature trees, exact, and its connected components.
 
 Texts are sets of hashed word shingles. Texts with equal sets are one class, represented by its smallest doc_id; only
-representatives are joined.
+representatives are joined. (Classes are told apart by 64 bits of a fingerprint, which coincide about three times among
+10**10 distinct sets.)
 
 Routing. The shingles of a set of n are dealt by hash into the parts of its size band. Two sets that link differ in at
 most D(n) shingles, so among the D(n) + 1 largest nonempty parts of either one, ordered by their contents, there is a
@@ -24,7 +25,8 @@ joins with pointer jumping. Nothing but row counts comes to the driver.
 
 Null, empty and blank texts have an empty set and link with nothing. Rows with a null doc_id take no part and have a
 null component. Repeated rows are in one class. Very long texts are whole sets. Rows that share a doc_id but not the
-text count as one document where that id represents their class. Extra columns are ignored.
+text have components of their own, and count as one document where that id represents a class. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -70,8 +72,15 @@ def _bands(n: int, percent: int) -> list[int]:
     return list(range(of(max(1, -(-percent * n // 100))), of(n) + 1))
 
 
+@lru_cache(maxsize=1 << 10)
 def _parts(band: int, percent: int) -> int:
-    return int(0.34 * (100 - percent) / 15 * _BAND**band) + 12
+    """So many parts that the largest sets of a band have more nonempty ones than they can differ in."""
+    top = _BAND ** (band + 1) * 100 / percent
+    differ = 1.03 * top * (100 - percent) / percent + 4
+    parts = differ
+    while parts < 64 * top and parts * (1 - np.exp(-top / parts)) < differ:
+        parts *= 1.04
+    return int(parts) + 1
 
 
 def routing_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -125,23 +134,29 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([x is None for x in arrays], pa.bool_()))
 
 
+def class_of(shingles: np.ndarray) -> int:
+    """Class of a set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, set size, 128-bit fingerprint of the set, and routing keys (null where this task gave them before)."""
+    """doc_id, set size, class, and routing keys (null where this task gave them before, and for rows without an id)."""
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
-            sizes, prints, keys = [], [], []
-            for x in shingle_sets(batch.column("text"), k):
+            named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            sizes, classes, keys = [], [], []
+            for i, x in enumerate(shingle_sets(batch.column("text"), k)):
                 sizes.append(len(x))
-                prints.append(own := hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                keys.append(None if own in seen else routing_keys(x, percent))
-                if len(seen) < _SEEN:
+                classes.append(own := class_of(x))
+                keys.append(routing_keys(x, percent) if named[i] and own not in seen else None)
+                if named[i] and len(seen) < _SEEN:
                     seen.add(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(keys)], ["doc_id", "n", "print", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(keys)], ["doc_id", "n", "class", "keys"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, print binary, keys array<long>")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, n long, class long, keys array<long>")
 
 
 def _stars(batches):
@@ -168,7 +183,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def _needed_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Sets and signatures of the documents in a list of ids; the texts are read again rather than all sets kept."""
+    """Sets and signatures of a list of documents; the texts are read again rather than all sets kept."""
     ids = common.cut(ids)
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(some, "id", "left_semi")
@@ -178,7 +193,7 @@ def _needed_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             sets = list(shingle_sets(batch.column("text"), k))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), _lists(sets), pa.array([signature(x) for x in sets], pa.binary())], ["id", "n", "shingles", "bits"])
 
-    return common.cut(rows.mapInArrow(run, "id long, n long, shingles array<long>, bits binary"))
+    return common.cut(rows.mapInArrow(common.tidy(run), "id long, n long, shingles array<long>, bits binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 64) -> DataFrame:
@@ -209,7 +224,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 64) -
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
-    return common.cut(rows.mapInArrow(run, "a long, b long").distinct())
+    return common.cut(rows.mapInArrow(common.tidy(run), "a long, b long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,8 +324,8 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     own = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     own = own.withColumn("piece", F.xxhash64("key", F.least("tile", "with"), F.greatest("tile", "with")))
-    own = own.withColumn("tile", F.when(F.col("tile") <= F.col("with"), 0).otherwise(1))
-    rows = own.select("piece", "id", "n", "bits", "label", "tile").repartition(common.n_tasks(members.sparkSession), "piece").sortWithinPartitions("piece")
+    own = own.withColumn("across", F.col("tile") != F.col("with")).withColumn("tile", F.when(F.col("tile") <= F.col("with"), 0).otherwise(1))
+    rows = own.select("piece", "id", "n", "bits", "label", "tile", "across").repartition(common.n_tasks(members.sparkSession), "piece").sortWithinPartitions("piece")
 
     def tree(table):
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
@@ -321,47 +336,81 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for group in _groups(batches, "piece"):
             side = group["tile"].to_numpy()
+            across = group["across"][0].as_py()
+            if across and (side.all() or not side.any()):  # the other tile has no members
+                continue
             left, ids = tree(group.filter(pa.array(side == 0)))
-            right, others = tree(group.filter(pa.array(side == 1))) if side.any() else (None, ids)
+            right, others = tree(group.filter(pa.array(side == 1))) if across else (None, ids)
             for i, j in tree_join(left, right, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], others[j])), pa.array(np.maximum(ids[i], others[j]))], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return rows.mapInArrow(common.tidy(run), "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     common.ship(spark)
-    rows = common.cut(described(docs, k, percent))
+    whole, whole_path = common.stored(described(docs, k, percent), "described")
+    rows = common.cut(whole.select("doc_id", "n", "class"))
     usable = rows.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("keys", ignorenulls=True).alias("keys"))
-    routed = classes.select("id", F.explode("keys").alias("key"))
+    named = common.cut(usable.groupBy("class").agg(F.min("doc_id").alias("id")))
+    routed = whole.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     routed = routed.repartition(common.n_tasks(spark), "key").sortWithinPartitions("key", "id")
-    stars = common.cut(routed.mapInArrow(_stars, "key long, a long, b long"))
+    given = common.cut(whole.where("keys is not null").select("doc_id", "class").join(named, "class").where("doc_id <> id").select("doc_id", "id").distinct())
+    stars, stars_path = common.stored(routed.mapInArrow(common.tidy(_stars), "key long, a long, b long"), "stars")
+    del whole, routed
+    common.drop(spark, whole_path)
+    common.release(spark)
+
+    # equal sets came from several tasks: their representative stands for them
+    for c in ("a", "b"):
+        stars = stars.join(given.select(F.col("doc_id").alias(c), F.col("id").alias(f"{c}_id")), c, "left").withColumn(c, F.coalesce(f"{c}_id", c)).drop(f"{c}_id")
+    stars = stars.where("a <> b").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # first pass: each member of a key with the key's first
     pairs = common.cut(stars.select("a", "b").distinct())
     sets = _needed_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
     links = verified(pairs, sets, percent)
+    common.release(spark)
     label = components(links)
 
-    # keys of three members or more that are not within one component
+    # second pass: keys of three members or more that are not within one component
     side = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
     open_rows = stars.join(side("b"), "b", "left").join(side("a"), "a", "left")
     open_rows = open_rows.select("key", "a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
     open_keys = open_rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("label_a") != F.col("label_b")).alias("open")).where("open and n > 1")
     open_keys = open_keys.select("key", (F.col("n") + 1).alias("members"))
-    members = open_rows.join(open_keys, "key")
+    members = common.cut(open_rows.join(open_keys, "key"))
+    common.drop(spark, stars_path)
+    common.release(spark)
     members = members.select("key", "members", F.col("b").alias("id"), F.col("label_b").alias("label")).unionByName(members.select("key", "members", F.col("a").alias("id"), F.col("label_a").alias("label")).distinct())
     members = members.join(sets.select("id", "n", "bits").dropDuplicates(["id"]), "id")
-    more = _tree_pairs(members, percent).join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(common.cut(more), sets, percent))
+    more = common.cut(_tree_pairs(members, percent).join(pairs, ["a", "b"], "left_anti"))
+    links = links.unionByName(verified(more, sets, percent))
     label = components(links)
 
-    named = usable.groupBy("print").agg(F.min("doc_id").alias("id")).join(label, "id", "left").select("print", F.coalesce("label", "id").alias("component_id"))
-    found = usable.select("doc_id", "n", "print").join(named, "print").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = named.join(label, "id", "left").select("class", F.coalesce("label", "id").alias("component_id"))
+    found = usable.join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rest = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
     return found.unionByName(rest)
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def oracle(k: int = 4, percent: int = 85) -> str:
+    """The same in SQL, by a join of all shingles; for small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= {k} THEN list_transform(range(1, len(words) - {k} + 2), lambda i: array_to_string(words[i : i + {k - 1}], ' '))
+      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles FROM w),
+e AS (SELECT doc_id, unnest(shingles) AS x FROM s),
+n AS (SELECT doc_id, len(shingles) AS n FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n p ON o.a = p.doc_id JOIN n q ON o.b = q.doc_id WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b)
+SELECT n.doc_id, n.n::bigint AS n_shingles, (SELECT min(b) FROM r WHERE r.a = n.doc_id)::bigint AS component_id FROM n"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": neardup.oracle(),
     "op4_rules": rules.oracle(),
     "op10_chat": chat.oracle(),
 }

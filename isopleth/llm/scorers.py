@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
             yield pa.RecordBatch.from_arrays([pa.array(used * 2 + k), pa.array(total[k][used])], ["key", "n"])
 
     total = np.zeros((BUCKETS + 1, 2))
-    found = sample.mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(common.tidy(counts), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     total.reshape(-1)[found["key"].to_numpy()] = found["n"].to_numpy()
     zeros, ones = total[BUCKETS]
     if not zeros or not ones:
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
             lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(index[own], pa.int32()))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), batch.column("label").slice(at, end - at).cast(pa.int32()), lists], ["doc_id", "label", "index"])
 
-    rows = sample.mapInArrow(kept, "doc_id long, label int, index array<int>").toArrow().combine_chunks()
+    rows = sample.mapInArrow(common.tidy(kept), "doc_id long, label int, index array<int>").toArrow().combine_chunks()
     lists = rows["index"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: tuple[fm.Machine, np.ndarray], features: Featu
         for batch, at, end, index, ptr in _batches(batches, features):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at).cast(pa.int64()), pa.array(scorer(index, ptr))], ["doc_id", "score"])
 
-    return _texts(docs, lower).mapInArrow(scored, "doc_id long, score double")
+    return _texts(docs, lower).mapInArrow(common.tidy(scored), "doc_id long, score double")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1):
@@ -221,7 +221,7 @@ def kept(docs: DataFrame, model: tuple[fm.Machine, np.ndarray], least: float = 0
                 good[at:end] = scorer(*quality_features(data, offs, size[at:end])) >= least
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
