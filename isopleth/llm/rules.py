@@ -45,7 +45,7 @@ RULES = (
     Rule("mean_word_length", "word_chars / n_words", 2, 25),
     Rule("symbols_to_words", "n_symbols / n_words", None, 0.1),
     Rule("stop_words_to_words", "n_stop_words / n_words", 0.02, None),
-    Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.3),
+    Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.5),
     Rule("cut_off_lines", "n_cut_lines / n_lines", None, 0.3),
     Rule("bullet_lines", "n_bullet_lines / n_lines", None, 0.9),
 )

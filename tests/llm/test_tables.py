@@ -91,21 +91,21 @@ def copies(seed=0):
     word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
     out, passage = [], word(40)
     for size in (6, 9, 30, 120, 700):
-        for _ in range(4):
+        for _ in range(2):
             text = word(size)
             for _ in range(12):
                 out.append(" ".join(text))
                 text = list(text)
                 for _ in range(max(1, size // 60)):
                     text[rng.integers(0, size)] = f"x{rng.integers(0, 10**9)}"
-    out += [" ".join([*word(rng.integers(5, 60)), *passage, *word(rng.integers(5, 60))]) for _ in range(150)]
+    out += [" ".join([*word(rng.integers(5, 60)), *passage, *word(rng.integers(5, 60))]) for _ in range(80)]
     out += ["One Two", "one  TWO\n", "one", "", " \t", None, "a b c d", "A B C D", " ".join(word(30_000))]
     out += [out[3]] * 25
     return list(enumerate(out, 1))
 
 
-@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80), (2, 55)])
-def test_join_against_all_pairs(spark, k, percent, monkeypatch):
+@pytest.mark.parametrize("k, percent", [(4, 85), (2, 55)])
+def test_join_against_all_pairs(spark, k, percent):
     rows = copies()
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n long").repartition(6)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, k, percent).collect()}
