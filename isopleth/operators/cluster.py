@@ -47,12 +47,13 @@ def eps_edges(points: DataFrame, eps_km: float) -> DataFrame:
 
 
 def numbered(cells: DataFrame, lat_order: str = "desc") -> DataFrame:
-    """Cells with their row-major number in the stored order of a grid: latitude, then longitude ascending."""
-    first = F.col(LATITUDE).desc() if lat_order == "desc" else F.col(LATITUDE).asc()
-    lats = cells.select(LATITUDE).distinct().withColumn("_row", F.row_number().over(Window.orderBy(first)))
-    lons = cells.select(LONGITUDE).distinct().withColumn("_col", F.row_number().over(Window.orderBy(LONGITUDE)))
-    size = lons.agg(F.count("*").alias("_n"))  # one row
-    return cells.join(lats, LATITUDE).join(lons, LONGITUDE).crossJoin(F.broadcast(size)).withColumn("id", (F.col("_row").cast("long") - 1) * F.col("_n") + F.col("_col") - 1).drop("_row", "_col", "_n")
+    """Cells with an `id` that follows the stored order of a grid: latitude by latitude, then longitude ascending.
+
+    The id is made of the coordinates in millionths of a degree, so that numbering needs no shuffle.
+    """
+    south = (90 - F.col(LATITUDE)) if lat_order == "desc" else (90 + F.col(LATITUDE))
+    micro = lambda c: F.round(c * 1e6).cast("long")
+    return cells.withColumn("id", micro(south) * (1 << 31) + micro(F.col(LONGITUDE) + 360))
 
 
 def cluster_labels(cells: DataFrame, eps_km: float, alpha: float, lat_order: str = "desc") -> DataFrame:
@@ -60,13 +61,14 @@ def cluster_labels(cells: DataFrame, eps_km: float, alpha: float, lat_order: str
 
     With one point enough for a cluster, density clustering is the components of the graph of neighbourhoods.
     """
-    points = significant(numbered(cells, lat_order), alpha).select("id", "sign", LATITUDE, LONGITUDE)
+    cells = cells if "id" in cells.columns else numbered(cells, lat_order)
+    points = significant(cells, alpha).select("id", "sign", LATITUDE, LONGITUDE)
     edges = eps_edges(points, eps_km).withColumnRenamed("sign", "part")
     found = connected_components(edges)
     number = F.dense_rank().over(Window.partitionBy("part").orderBy("component"))
     labels = found.select("id", (F.col("part") * number).cast("smallint").alias(LABEL))
-    out = numbered(cells, lat_order).join(labels, "id", "left").withColumn(LABEL, F.coalesce(F.col(LABEL), F.lit(0)).cast("smallint"))
-    return out.select(*[c for c in cells.columns if c != LABEL], LABEL)
+    out = cells.drop(LABEL).join(labels, "id", "left").withColumn(LABEL, F.coalesce(F.col(LABEL), F.lit(0)).cast("smallint"))
+    return out.select(*[c for c in cells.columns if c not in (LABEL, "id")], LABEL)
 
 
 def cluster_area(cells: DataFrame) -> DataFrame:
@@ -92,5 +94,6 @@ def assert_clusters_present(cells: DataFrame) -> bool:
 
 def spherical_clusters(cells: DataFrame, eps_km: float, alpha: float, min_area_km2: float | None = None, lat_order: str = "desc") -> DataFrame:
     """Cell map (latitude, longitude, corr, p_val) with area and cluster_label."""
-    out = cluster_labels(add_gridcell_area(cells, lat_order), eps_km, alpha, lat_order)
+    cells = numbered(add_gridcell_area(cells, lat_order), lat_order).persist()  # read for the points, their edges and the map
+    out = cluster_labels(cells, eps_km, alpha, lat_order)
     return out if min_area_km2 is None else remove_small_area_clusters(out, min_area_km2)

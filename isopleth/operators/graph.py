@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     ship(spark)
     shared_dir(spark)
-    edges = edges.select(F.col("part").cast("int").alias("part"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    edges = edges.select(F.col("part").cast("int").alias("part"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).persist()
     if edges.count() <= UNION_FIND_EDGES:
         return edges.groupBy("part").applyInPandas(_union_find, "part int, id long, component long")
     both = edges.unionByName(edges.select("part", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()

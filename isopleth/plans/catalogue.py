@@ -287,7 +287,7 @@ def significance_mask(spark, sf_dir):
 
 # clusters
 
-_NUMBERED = "SELECT *, (dense_rank() OVER (ORDER BY latitude DESC) - 1) * (SELECT count(DISTINCT longitude) FROM m) + dense_rank() OVER (ORDER BY longitude) - 1 AS id FROM m"
+_NUMBERED = "SELECT *, round((90 - latitude) * 1000000)::bigint * 2147483648 + round((longitude + 360) * 1000000)::bigint AS id FROM m"
 _POINTS = f"SELECT id, CASE WHEN corr >= 0 THEN 1 ELSE -1 END AS sign, latitude, longitude FROM g WHERE p_val < {ALPHA}"
 _HAVERSINE = "2 * 6371 * asin(least(1, sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))))"
 _EDGES = f"SELECT a.sign, a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.sign = b.sign AND a.id <= b.id AND {_HAVERSINE} <= {EPS}"
@@ -299,7 +299,7 @@ _CLUSTERS = _with("precursor", "target", **_CELLS, g=_NUMBERED, pt=_POINTS, e0=_
 
 
 def _clusters(spark, sf_dir, area=None) -> DataFrame:
-    cells = _model(MANY).get_correlation(*_inputs(spark, sf_dir)).persist()
+    cells = _model(MANY).get_correlation(*_inputs(spark, sf_dir))
     return cluster.spherical_clusters(cells, EPS, ALPHA, area)
 
 
