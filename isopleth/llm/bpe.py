@@ -174,16 +174,20 @@ class Encoder:
         self.decimals = OffsetTable([b"%d " % i for i in range(size)])
         self.words = _Remembered(self)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         if (found := self.known.get(piece)) is not None:
             return found
+        if (found := self.older.get(piece)) is not None:
+            self.known[piece] = found
+            return found
         raw = piece.encode()
         symbols = "".join(map(chr, [b + 1 for b in raw[:-1]])) + chr(257 + raw[-1])
         found = np.array([self.ids[t] for t in self.merges.encode(symbols)], "<i4").tobytes()
         if len(raw) <= REMEMBERED_BYTES:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known  # the older generation goes
             self.known[piece] = found
         return found
 
@@ -192,6 +196,9 @@ class Encoder:
             part = part.lower()
         else:
             part = "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
+        stem = part.rstrip(".,;:!?")
+        if stem.isalpha():  # the usual word: letters, then marks
+            return self._piece(stem) + (self._piece(part[len(stem) :]) if len(stem) < len(part) else b"")
         return b"".join([self._piece(x) for x in self.pre_token.findall(part)])
 
     def word(self, word: bytes) -> bytes:
