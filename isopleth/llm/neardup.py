@@ -245,7 +245,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Levels from the leaves up; arrays of a level: bits, fewest bits, smallest and largest set, component or -1."""
+    """Levels from the leaves up; arrays of a level: bits, fewest bits, smallest and largest set, component or -1.
+
+    Components are numbered from 0.
+    """
 
     def __init__(self, bits: np.ndarray, n: np.ndarray, label: np.ndarray):
         self.levels = [(bits, np.bitwise_count(bits).sum(1).astype(np.int64), n, n, label)]
@@ -327,9 +330,9 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     own = own.withColumn("across", F.col("tile") != F.col("with")).withColumn("tile", F.when(F.col("tile") <= F.col("with"), 0).otherwise(1))
     rows = own.select("piece", "id", "n", "bits", "label", "tile", "across").repartition(common.n_tasks(members.sparkSession), "piece").sortWithinPartitions("piece")
 
-    def tree(table):
+    def tree(table, label):
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
-        n, label, ids = (table[c].to_numpy() for c in ("n", "label", "id"))
+        n, ids = table["n"].to_numpy(), table["id"].to_numpy()
         order = np.lexsort((*bits.T, n, label))
         return Tree(bits[order], n[order], label[order]), ids[order]
 
@@ -339,8 +342,9 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
             across = group["across"][0].as_py()
             if across and (side.all() or not side.any()):  # the other tile has no members
                 continue
-            left, ids = tree(group.filter(pa.array(side == 0)))
-            right, others = tree(group.filter(pa.array(side == 1))) if across else (None, ids)
+            label = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
+            left, ids = tree(group.filter(pa.array(side == 0)), label[side == 0])
+            right, others = tree(group.filter(pa.array(side == 1)), label[side == 1]) if across else (None, ids)
             for i, j in tree_join(left, right, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], others[j])), pa.array(np.maximum(ids[i], others[j]))], ["a", "b"])
 
