@@ -5,6 +5,12 @@ secrets (long hexadecimal strings and common key formats) and names after a titl
 match is replaced by an expression of itself and a key, and the pieces are joined again; what is not matched stays as
 it was, byte for byte.
 
+A name is any number of capitalised words, initials and particles after one or more titles, in one line; the family
+name of such a name is replaced in the whole text, also without a title, with known given names before it.
+Telephone numbers have a '+', or are North American (ten digits, or eleven with a 1, with or without separators). Cards
+have 13 to 19 digits. Not found: names that have no title anywhere in the text, given names alone, names in scripts
+without capitals, national numbers of other countries, and local numbers of seven digits.
+
 Surrogates keep type and format:
 
 - digits of telephone, card and social-security numbers go through a keyed Feistel network over their decimal digits,
@@ -40,18 +46,24 @@ SYLLABLES = "ba be bi bo da de di do fa fe ga go ha ka ke ko la le li lo ma me m
 
 _TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora"), "n": ("Dr", "Prof")}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_ANY_TITLE = "(?:" + "|".join(x for some in _TITLES.values() for t in some for x in (t, t.upper())) + ")"
+_SPACE = r"[ \t\u00a0]+"
+_PARTICLES = "van von vom der den dem de del della di da das do dos du la le zu zum zur ten ter af av al el bin ibn ben".split()
+# a word of two letters or more, without the possessive; suffixes are none; no loop over a group may go back, as Java's stack is short
+_WORD = r"(?!(?:Jr|JR|Sr|SR|II|III|IV)(?!\p{L}))\p{Lu}(?:[\p{L}\p{M}]|(?!['’][sS](?!\p{L}))['’-]\p{L})++"
+_BEFORE = rf"(?:\p{{Lu}}\.-?[ \t\u00a0]*|\p{{Lu}}{_SPACE}|(?:{'|'.join(_PARTICLES)}){_SPACE}|[dl]['’](?=\p{{Lu}}))*+"
+_TITLED = rf"{_ANY_TITLE}\.?(?:{_SPACE}|\r?\n[ \t]*)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z]{20,})(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,18})(?![\d-])",
-    "name": r"(?<!\p{L})(?:" + "|".join(t for some in _TITLES.values() for t in some) + rf")\.? {_NAME}(?: {_NAME})?",
+    "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])(?:(?<![\d.-])1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])(?:1[ .-])?(?:\d{3}[.-]\d{3}[.-]|[2-9]\d{2} \d{3}[ .-])\d{4}(?![\d-])|(?<![\d.-])1?[2-9]\d{9}(?![\d-]|\.\d)",
+    "card": r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?![\d-])",
+    "name": rf"(?<!\p{{L}})(?:{_TITLED})++(?:{_BEFORE}{_WORD}(?:{_SPACE}{_BEFORE}{_WORD})*+|(?:\p{{Lu}}\.)++|\p{{Lu}}(?![\p{{L}}\p{{M}}'’-]))",
 }
 PATTERN = "|".join(PATTERNS.values())
-_TITLE_HINT = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.? \p{Lu}"
+_TITLE_HINT = rf"{_TITLED}[\p{{Lu}}\p{{Ll}}]"
 
 
 def _hash(key: str, *parts) -> Column:
@@ -117,11 +129,100 @@ def kind(match: Column) -> Column:
 def normal(match: Column) -> Column:
     """What is the same for all mentions of an entity."""
     type_ = kind(match)
-    return F.when(type_.isin("email", "secret"), F.lower(match)).when(type_ == "name", F.lower(F.regexp_replace(match, r"^\S+ ", ""))).when(type_ == "ip", match).otherwise(F.regexp_replace(match, r"\D", ""))
+    return F.when(type_.isin("email", "secret"), F.lower(match)).when(type_ == "name", F.lower(F.trim(F.regexp_replace(_rest(match), r"[.\s\u00a0]+", " ")))).when(type_ == "ip", match).otherwise(F.regexp_replace(match, r"\D", ""))
+
+
+def _rest(name: Column) -> Column:
+    """A name without its titles."""
+    return F.regexp_replace(name, rf"^(?:{_TITLED})+", "")
+
+
+def _family(name: Column) -> Column:
+    """The last word of a name, as it is written."""
+    return F.regexp_extract(name, r"([\p{L}\p{M}'’-]+)\.?$", 1)
+
+
+def _titled(matches: Column) -> Column:
+    """Those matches that are names after a title."""
+    return F.filter(matches, lambda m: m.rlike(rf"^{_TITLED}") & (kind(m) == "name"))
+
+
+def _pattern(titled: Column) -> Column:
+    """PATTERN, and for a text with titled names also their family names without the title, with known names before."""
+
+    def bare(names):
+        words = F.array_distinct(F.flatten(F.transform(names, lambda n: F.regexp_extract_all(_rest(n), F.lit(_WORD), F.lit(0)))))
+        last = F.array_distinct(F.filter(F.transform(names, _family), lambda f: F.length(f) > 1))
+        either = lambda some: F.array_join(some, "|")
+        ahead = F.concat(F.lit("(?:(?:"), either(words), F.lit(rf"){_SPACE}){{0,99}}"))
+        out = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{M}\p{N}])(?=\p{Lu})(?iu:"), ahead, F.lit("(?:"), either(last), F.lit(r"))(?![\p{L}\p{M}\p{N}])"))
+        return F.when(F.size(last) > 0, out).otherwise(F.lit(PATTERN))
+
+    return F.when(F.size(titled) > 0, bare(titled)).otherwise(F.lit(PATTERN))
+
+
+def _gender(name: Column) -> Column:
+    """m, f or n by the titles."""
+    titles = F.regexp_extract(name, rf"^((?:{_TITLED})+)", 1)
+    some = lambda g: titles.rlike("(?:" + "|".join(x for t in _TITLES[g] for x in (t, t.upper())) + r")(?!\p{L})")
+    return F.when(some("m"), "m").when(some("f"), "f").otherwise("n")
+
+
+def _gender_in(match: Column, titled: Column) -> Column:
+    """A titled name's gender, or that of the first titled name with the family name; null if the match is no name."""
+    alike = F.filter(titled, lambda n: F.lower(_family(n)) == F.lower(_family(match)))
+    return F.when(match.rlike(rf"^{_TITLED}"), _gender(match)).when(kind(match) == "name", _gender(F.get(alike, F.lit(0))))
+
+
+def searched(text: Column) -> Column:
+    """struct(pattern, found): the pattern for a text and its matches in order, as structs of the match m and a name's gender g."""
+
+    def all_of(matches, titled, pattern):
+        plain = F.transform(matches, lambda m: F.struct(m.alias("m"), F.lit(None).cast("string").alias("g")))
+        more = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.struct(m.alias("m"), _gender_in(m, titled).alias("g")))
+        return F.struct(pattern.alias("pattern"), F.when(F.size(titled) == 0, plain).otherwise(more).alias("found"))
+
+    return let(found(text), lambda m: let(_titled(m), lambda t: let(_pattern(t), lambda p: all_of(m, t, p))))
+
+
+def _syllables(key: str, tag: str, of: Column, n: int) -> Column:
+    """n keyed syllables."""
+    if not n:
+        return F.lit("")
+    one = lambda i: F.get(F.array(*[F.lit(x) for x in SYLLABLES]), F.pmod(F.xxhash64(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(tag), of, i.cast("string")), 256)), F.lit(len(SYLLABLES))).cast("int"))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), one), "")
+
+
+def _initial(key: str, letter: Column, of: Column) -> Column:
+    """Another letter; distinct for distinct ones of the alphabet."""
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    turn = F.pmod(_hash(key, "initial", of), F.lit(len(abc) - 1)) + 1
+    at = F.when(F.position(letter, F.lit(abc)) > 0, F.position(letter, F.lit(abc)) - 1).otherwise(F.pmod(_hash(key, "letter", letter), F.lit(len(abc))))
+    return F.lit(abc).substr((F.pmod(at + turn, F.lit(len(abc))) + 1).cast("int"), F.lit(1))
+
+
+def _renamed(name: Column, gender: Column, key: str, width: int) -> Column:
+    """A name with a keyed family name, given names and initials; titles, particles and spaces as they are."""
+
+    def of(rest, family, own):
+        before = F.regexp_replace(rest, r"[\p{L}\p{M}'’-]+\.?$", "")
+        dot = F.regexp_extract(rest, r"(\.?)$", 1)
+
+        def given(w):
+            pick = lambda some: F.get(F.array(*[F.lit(x) for x in some]), F.pmod(_hash(key, "given", F.lower(w)), F.lit(len(some))).cast("int"))
+            short = F.when(gender == "m", pick(MALE)).when(gender == "f", pick(FEMALE)).otherwise(pick(NEUTRAL))
+            return _cased(w, F.concat(short, _syllables(key, "given", F.lower(w), (width - 12) // 6 if width > 12 else 0)))
+
+        parts = F.regexp_extract_all(before, F.lit(r"\p{L}[\p{L}\p{M}'’-]*|[^\p{L}]+"), F.lit(0))
+        new = F.transform(parts, lambda w: F.when(~w.rlike(r"^\p{Lu}"), w).when(F.length(w) == 1, _initial(key, w, own)).otherwise(given(w)))
+        last = F.initcap(_syllables(key, "family", own, width // 3))
+        return F.concat(name.substr(F.lit(1), F.length(name) - F.length(rest)), F.array_join(new, ""), F.when(F.length(family) > 1, _cased(family, last)).otherwise(last), dot)
+
+    return let(_rest(name), lambda r: let(_family(r), lambda f: let(F.concat(gender, F.lower(f)), lambda own: of(r, f, own))))
 
 
-def surrogate(match: Column, key: str = KEY, width: int = 12) -> Column:
-    """The replacement of one match."""
+def surrogate(match: Column, key: str = KEY, width: int = 12, gender: Column | None = None) -> Column:
+    """The replacement of one match; gender: of a name, by its title if not given."""
 
     def of(m):
         digits = F.regexp_replace(m, r"\D", "")
@@ -150,13 +251,7 @@ def surrogate(match: Column, key: str = KEY, width: int = 12) -> Column:
         blocks = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(size / 128).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("secret"), F.lower(m), i.cast("string"), F.lit(str(width))), 512)), "")
         secret = F.concat(prefix, _cased(m.substr(F.length(prefix) + 1, size), blocks.substr(F.lit(1), size)))
 
-        title = F.regexp_extract(m, r"^(\S+) ", 1)
-        bare = F.regexp_replace(title, r"\.", "")
-        own = normal(m)
-        pick = lambda some: F.get(F.array(*[F.lit(x) for x in some]), F.pmod(_hash(key, "given", own), F.lit(len(some))).cast("int"))
-        given = F.when(bare.isin(*_TITLES["m"]), pick(MALE)).when(bare.isin(*_TITLES["f"]), pick(FEMALE)).otherwise(pick(NEUTRAL))
-        family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(width // 3)), lambda i: F.get(F.array(*[F.lit(x) for x in SYLLABLES]), F.pmod(F.xxhash64(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("family"), own, i.cast("string")), 256)), F.lit(len(SYLLABLES))).cast("int"))), ""))
-        name = F.concat_ws(" ", title, F.when(F.size(F.split(m, " ")) > 2, given), family)
+        name = _renamed(m, _gender(m) if gender is None else gender, key, width)
         return let(kind(m), lambda k: F.when(k == "email", email).when(k == "secret", secret).when(k == "ip", ip).when(k == "ssn", ssn).when(k == "card", card).when(k == "phone", phone).otherwise(name))
 
     return let(match, of)
@@ -174,10 +269,10 @@ def found(text: Column) -> Column:
 
 def enough_width(docs: DataFrame, key: str = KEY, width: int = 12, most: int = 60) -> int:
     """A width at which no two distinct entities of the corpus share a surrogate."""
-    all_of = docs.select(F.explode(found(F.col("text"))).alias("m")).where(kind(F.col("m")).isin("email", "secret", "name"))
-    entities = common.cut(all_of.groupBy(kind(F.col("m")).alias("kind"), normal(F.col("m")).alias("entity")).agg(F.min("m").alias("m")))
+    all_of = docs.select(F.explode(searched(F.col("text"))["found"]).alias("x")).select("x.*").where(kind(F.col("m")).isin("email", "secret", "name"))
+    entities = common.cut(all_of.groupBy(kind(F.col("m")).alias("kind"), normal(F.col("m")).alias("entity")).agg(F.min(F.struct("m", "g")).alias("x")).select("kind", "entity", "x.*"))
     while width < most:
-        shared = entities.select("kind", F.lower(F.regexp_replace(surrogate(F.col("m"), key, width), r"^(\w+)\.? ", "")).alias("s")).groupBy("kind", "s").count().where("count > 1")
+        shared = entities.select("kind", let(surrogate(F.col("m"), key, width, F.col("g")), normal).alias("s")).groupBy("kind", "s").count().where("count > 1")
         if shared.isEmpty():
             return width
         width += 12
@@ -193,11 +288,11 @@ def replaced(docs: DataFrame, key: str = KEY, width: int | None = None, text: st
         width = enough_width(docs.select(F.col(text).alias("text")), key)
     one = F.col(text)
 
-    def joined(matches):
-        pieces = F.split(one, PATTERN, -1)
-        return F.when(F.size(matches) == 0, one).otherwise(F.array_join(F.zip_with(pieces, matches, lambda p, m: F.concat(p, F.when(m.isNull(), "").otherwise(surrogate(m, key, width)))), ""))
+    def joined(matches, pattern):
+        pieces = F.split(one, pattern, -1)
+        return F.when(F.size(matches) == 0, one).otherwise(F.array_join(F.zip_with(pieces, matches, lambda p, x: F.concat(p, F.when(x.isNull(), "").otherwise(surrogate(x["m"], key, width, x["g"])))), ""))
 
-    both = F.when(one.isNotNull(), let(found(one), lambda m: F.struct(joined(m).alias("text"), F.size(m).cast("long").alias("n"))))
+    both = F.when(one.isNotNull(), let(searched(one), lambda s: F.struct(joined(s["found"], s["pattern"]).alias("text"), F.size(s["found"]).cast("long").alias("n"))))
     name = "_surrogates"
     while name in docs.columns:
         name += "_"

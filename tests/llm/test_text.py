@@ -208,6 +208,42 @@ def test_private_data(spark):
     assert man in pii.MALE and family != wife  # different entities: a full name and a family name
 
 
+@pytest.mark.parametrize(
+    "text, gone",
+    [
+        ("saw Dr Anna Maria Schmidt today", "Anna Maria Schmidt"),
+        ("saw Mr J. Smith today", "J. Smith"),
+        ("saw Prof. Dr. J.-P. von der Leyen-Lee's son", "J.-P. Leyen-Lee"),
+        ("saw MR JOHN SMITH", "JOHN SMITH"),
+        ("saw Mr.  Smith and Mr.\nJones", "Smith Jones"),
+        ("Smith wrote. Mr John Smith met Smith, SMITH's and John Smith", "Smith SMITH John"),
+        ("saw Frau O'Brien and O'Brien", "O'Brien"),
+        ("call 1-800-555-1234 now", "800-555-1234"),
+        ("call 555 123 4567 now", "555 123 4567"),
+        ("call 5551234567 or 15551234567 now", "5551234567"),
+        ("call 1 (555) 123-4567 now", "123-4567"),
+        ("card 6304000000000000123 now", "6304000000000000123"),
+        ("card 6304 0000 0000 0000 123 now", "6304 0000 123"),
+    ],
+)
+def test_forms_of_private_data(spark, text, gone):
+    new = pii.replaced(spark.createDataFrame([(text,)], "text string"), width=12).first()[0]
+    assert not [w for w in [gone] + gone.split() if re.search(rf"(?<!\w){re.escape(w)}(?!\w)", new)], new
+    shape = lambda t: re.sub(r"[A-Z]+(?:['’-]?[A-Za-z])*", "W", re.sub(r"\d", "0", t))
+    assert shape(new) == shape(text)
+
+
+def test_later_mention_has_the_same_family_name(spark):
+    new = pii.replaced(spark.createDataFrame([("Mr John Smith met Smith. SMITH left; smith stays",)], "text string"), width=12).first()[0]
+    one, two, three = re.fullmatch(r"Mr \w+ (\w+) met (\w+)\. (\w+) left; smith stays", new).groups()
+    assert one == two and one.upper() == three
+
+
+def test_long_names(spark):
+    text = "MR " + "A.B.C. SMITH-LEE " * 5_000
+    assert pii.replaced(spark.createDataFrame([(text,)], "text string"), width=12, count="n").first()["n"] == 1
+
+
 def test_surrogates_are_distinct(spark):
     numbers = [f"+1 (0{i % 90 + 10}) 555-{i:04d}" for i in range(900)] + [f"{i}.7.{i % 7}.9" for i in range(1, 250)] + [f"u{i}@a.org" for i in range(500)] + [f"{4000000000000000 + i}" for i in range(400)]
     df = spark.createDataFrame([(x,) for x in numbers], "text string")
