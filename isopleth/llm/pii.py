@@ -16,10 +16,14 @@ Surrogates keep type and format:
 - digits of telephone, card and social-security numbers go through a keyed Feistel network over their decimal digits,
   so that distinct numbers stay distinct; separators, a telephone's country code and the validity of a card's check
   digit are kept. IPv4 addresses go through one over 2 x 16 bits;
-- e-mail addresses get a keyed local part of letters, at a reserved domain; names get a given name of the title's
-  gender and a keyed family name; secrets get keyed characters of the same length, alphabet and case;
+- e-mail addresses get a keyed local part of letters, at a reserved domain; names get given names of the title's
+  gender and a keyed family name, in Latin, Cyrillic or Greek letters as the original (other scripts: Latin); secrets get
+  keyed characters of the same length, alphabet and case;
 - the same entity (addresses and names regardless of case) has the same surrogate everywhere: coreference holds within
-  and between texts. Case follows the original.
+  and between texts. Case follows the original. A family name is keyed by the last word of a name and the title's gender
+  (Mr Smith and Mrs Smith are different entities), a given name by its word and that gender. Dr, Prof and mentions
+  without a title take the gender of a name in the same text, and else none: between texts, Dr Lee and Frau Lee are
+  coreferent only if each text has a title that tells the gender.
 
 Collision check: keyed strings of addresses, names and secrets could coincide. All distinct entities of the corpus are
 compared with their surrogates by a count, and if two entities share one the keyed part is lengthened for all (the
@@ -42,6 +46,21 @@ KEY = "isopleth"
 MALE = "James John Robert Michael David William Thomas Daniel Paul Mark George Peter Henry Frank Simon Oliver".split()
 FEMALE = "Mary Linda Susan Karen Nancy Lisa Sarah Anna Emma Laura Julia Alice Helen Clara Diana Sophie".split()
 NEUTRAL = "Alex Robin Kim Sasha Jordan Taylor Casey Morgan Jamie Avery Riley Quinn Dana Kerry Leslie Drew".split()
+CYRILLIC = {
+    "m": "Иван Пётр Павел Олег Игорь Антон Денис Роман Фёдор Юрий Глеб Борис Максим Виктор Андрей Сергей".split(),
+    "f": "Анна Мария Ольга Ирина Елена Нина Вера Юлия Дарья Софья Лидия Алина Раиса Тамара Полина Галина".split(),
+    "n": "Саша Женя Валя Слава Шура Паша Тоня Стася Миша Лёка Ника Вася Гриня Лёля Тося Саня".split(),
+}
+GREEK = {
+    "m": "Γιώργος Νίκος Κώστας Γιάννης Πέτρος Παύλος Ανδρέας Μάρκος Λουκάς Στέφανος Θωμάς Ηλίας Σπύρος Λεωνίδας Μιχάλης Φώτης".split(),
+    "f": "Μαρία Ελένη Άννα Σοφία Κατερίνα Ειρήνη Δήμητρα Βασιλική Ζωή Χριστίνα Ιωάννα Δέσποινα Αγγελική Φωτεινή Όλγα Λυδία".split(),
+}
+GREEK["n"] = GREEK["m"] + GREEK["f"]
+#: Scripts beside Latin: a pattern, given names, the letters of syllables (for abdefghiklmnoprst) and of addresses (for a-p), the alphabet of initials.
+SCRIPTS = (
+    (r"\p{IsCyrillic}", CYRILLIC, "абдефгхиклмнопрст", "абвгдежзиклмнопр", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"),
+    (r"\p{IsGreek}", GREEK, "αβδεφγχικλμνοπρστ", "αβγδεζηθικλμνξοπ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+)
 SYLLABLES = "ba be bi bo da de di do fa fe ga go ha ka ke ko la le li lo ma me mi mo na ne no pa ra re sa ta".split()
 
 _TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora"), "n": ("Dr", "Prof")}
@@ -168,10 +187,20 @@ def _gender(name: Column) -> Column:
     return F.when(some("m"), "m").when(some("f"), "f").otherwise("n")
 
 
+def _gender_or_null(name: Column) -> Column:
+    return F.when(name.isNotNull(), _gender(name))
+
+
 def _gender_in(match: Column, titled: Column) -> Column:
-    """A titled name's gender, or that of the first titled name with the family name; null if the match is no name."""
-    alike = F.filter(titled, lambda n: F.lower(_family(n)) == F.lower(_family(match)))
-    return F.when(match.rlike(rf"^{_TITLED}"), _gender(match)).when(kind(match) == "name", _gender(F.get(alike, F.lit(0))))
+    """The gender of a name's title; without one, that of the first name of the text with the family name and such a title, equal names first; null if the match is no name."""
+
+    def of(own, whole, family):
+        known = F.filter(titled, lambda n: (F.lower(_family(n)) == family) & (_gender(n) != "n"))
+        same = F.filter(known, lambda n: normal(n) == whole)
+        return F.when(own != "n", own).otherwise(F.coalesce(let(F.get(same, F.lit(0)), _gender_or_null), let(F.get(known, F.lit(0)), _gender_or_null), F.lit("n")))
+
+    resolved = let(_gender(match), lambda g: let(normal(match), lambda w: let(F.lower(_family(match)), lambda f: of(g, w, f))))
+    return F.when(kind(match) == "name", resolved)
 
 
 def searched(text: Column) -> Column:
@@ -193,9 +222,16 @@ def _syllables(key: str, tag: str, of: Column, n: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), one), "")
 
 
-def _initial(key: str, letter: Column, of: Column) -> Column:
+def _by_script(original: Column, of) -> Column:
+    """of(None) for an original in Latin letters, of(entry of SCRIPTS) for others."""
+    out = F
+    for script in SCRIPTS:
+        out = out.when(original.rlike(script[0]), of(script))
+    return out.otherwise(of(None))
+
+
+def _initial(key: str, letter: Column, of: Column, abc: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> Column:
     """Another letter; distinct for distinct ones of the alphabet."""
-    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     turn = F.pmod(_hash(key, "initial", of), F.lit(len(abc) - 1)) + 1
     at = F.when(F.position(letter, F.lit(abc)) > 0, F.position(letter, F.lit(abc)) - 1).otherwise(F.pmod(_hash(key, "letter", letter), F.lit(len(abc))))
     return F.lit(abc).substr((F.pmod(at + turn, F.lit(len(abc))) + 1).cast("int"), F.lit(1))
@@ -210,12 +246,16 @@ def _renamed(name: Column, gender: Column, key: str, width: int) -> Column:
 
         def given(w):
             pick = lambda some: F.get(F.array(*[F.lit(x) for x in some]), F.pmod(_hash(key, "given", F.lower(w)), F.lit(len(some))).cast("int"))
-            short = F.when(gender == "m", pick(MALE)).when(gender == "f", pick(FEMALE)).otherwise(pick(NEUTRAL))
-            return _cased(w, F.concat(short, _syllables(key, "given", F.lower(w), (width - 12) // 6 if width > 12 else 0)))
+            lists = lambda x: x[1] if x else {"m": MALE, "f": FEMALE, "n": NEUTRAL}
+            short = _by_script(w, lambda x: F.when(gender == "m", pick(lists(x)["m"])).when(gender == "f", pick(lists(x)["f"])).otherwise(pick(lists(x)["n"])))
+            return _cased(w, F.concat(short, written(w, _syllables(key, "given", F.lower(w), (width - 12) // 6 if width > 12 else 0))))
+
+        written = lambda w, latin: _by_script(w, lambda x: F.translate(latin, "abdefghiklmnoprst", x[2]) if x else latin)
+        initial = lambda w: _by_script(w, lambda x: _initial(key, w, own, x[4]) if x else _initial(key, w, own))
 
         parts = F.regexp_extract_all(before, F.lit(r"\p{L}[\p{L}\p{M}'’-]*|[^\p{L}]+"), F.lit(0))
-        new = F.transform(parts, lambda w: F.when(~w.rlike(r"^\p{Lu}"), w).when(F.length(w) == 1, _initial(key, w, own)).otherwise(given(w)))
-        last = F.initcap(_syllables(key, "family", own, width // 3))
+        new = F.transform(parts, lambda w: F.when(~w.rlike(r"^\p{Lu}"), w).when(F.length(w) == 1, initial(w)).otherwise(given(w)))
+        last = F.initcap(written(family, _syllables(key, "family", own, width // 3)))
         return F.concat(name.substr(F.lit(1), F.length(name) - F.length(rest)), F.array_join(new, ""), F.when(F.length(family) > 1, _cased(family, last)).otherwise(last), dot)
 
     return let(_rest(name), lambda r: let(_family(r), lambda f: let(F.concat(gender, F.lower(f)), lambda own: of(r, f, own))))
@@ -226,7 +266,7 @@ def surrogate(match: Column, key: str = KEY, width: int = 12, gender: Column | N
 
     def of(m):
         digits = F.regexp_replace(m, r"\D", "")
-        email = _cased(m, F.concat(_letters(key, "email", F.lower(m), width), F.lit("@mail.example.com")))
+        email = _cased(m, F.concat(let(_letters(key, "email", F.lower(m), width), lambda a: _by_script(F.substring_index(m, "@", 1), lambda x: F.translate(a, "abcdefghijklmnop", x[3]) if x else a)), F.lit("@mail.example.com")))
 
         # the national number of a telephone: up to ten last digits; what is before, the country code, stays
         tail = F.least(F.length(digits), F.lit(10))

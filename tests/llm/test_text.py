@@ -239,6 +239,16 @@ def test_later_mention_has_the_same_family_name(spark):
     assert one == two and one.upper() == three
 
 
+def test_names_keep_script_and_coreference(spark):
+    texts = ["Dr. Иван Петров, иван@почта.рф", "Mr John Smith and Mr Smith", "Dr Anna Lee, Frau Anna Lee, Lee", "Mr Smith"]
+    new = [r[0] for r in pii.replaced(spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1)).collect()]
+    assert re.fullmatch(r"Dr\. [А-Яа-яё]+ [А-Яа-я]+, [а-я]+@mail\.example\.com", new[0])
+    man = re.fullmatch(r"Mr \w+ (\w+) and Mr (\w+)", new[1]).groups()
+    assert man[0] == man[1] == new[3].split()[1]
+    a, b, c, d, e = re.fullmatch(r"Dr (\w+) (\w+), Frau (\w+) (\w+), (\w+)", new[2]).groups()
+    assert a == c and b == d == e and a in pii.FEMALE
+
+
 def test_long_names(spark):
     text = "MR " + "A.B.C. SMITH-LEE " * 5_000
     assert pii.replaced(spark.createDataFrame([(text,)], "text string"), width=12, count="n").first()["n"] == 1
