@@ -82,7 +82,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_TITLED})++(?:{_BEFORE}{_WORD}(?:{_SPACE}{_BEFORE}{_WORD})*+|(?:\p{{Lu}}\.)++|\p{{Lu}}(?![\p{{L}}\p{{M}}'’-]))",
 }
 PATTERN = "|".join(PATTERNS.values())
-_TITLE_HINT = rf"{_TITLED}[\p{{Lu}}\p{{Ll}}]"
+# matches without a digit or an '@': names, and secrets of letters
+_HINT = rf"{_TITLED}[\p{{Lu}}\p{{Ll}}]|AKIA[A-Z]|gh[pousr]_|sk-[A-Za-z]|[a-f]{{32}}|[A-F]{{32}}"
 
 
 def _hash(key: str, *parts) -> Column:
@@ -299,7 +300,7 @@ def surrogate(match: Column, key: str = KEY, width: int = 12, gender: Column | N
 
 def _may_have(text: Column) -> Column:
     """A cheap test that all texts with a match pass."""
-    return (F.length(F.translate(text, "0123456789@", "")) < F.length(text)) | text.rlike(_TITLE_HINT)
+    return (F.length(F.translate(text, "0123456789@", "")) < F.length(text)) | text.rlike(_HINT)
 
 
 def found(text: Column) -> Column:
