@@ -26,7 +26,7 @@ Surrogates keep type and format:
   coreferent only if each text has a title that tells the gender.
 
 Collision check: keyed strings of addresses, names and secrets could coincide. All distinct entities of the corpus are
-compared with their surrogates by a count, and if two entities share one the keyed part is lengthened for all (the
+compared with their surrogates by a count (a name once for each gender it occurs with, and its family name alone), and if two entities share one the keyed part is lengthened for all (the
 `width`), until none do. The digit networks are one-to-one by construction.
 
 Null texts stay null, empty ones empty. Texts of any length are searched whole. Repeated rows get equal results. All
@@ -234,8 +234,9 @@ def _by_script(original: Column, of) -> Column:
 def _initial(key: str, letter: Column, of: Column, abc: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> Column:
     """Another letter; distinct for distinct ones of the alphabet."""
     turn = F.pmod(_hash(key, "initial", of), F.lit(len(abc) - 1)) + 1
-    at = F.when(F.position(letter, F.lit(abc)) > 0, F.position(letter, F.lit(abc)) - 1).otherwise(F.pmod(_hash(key, "letter", letter), F.lit(len(abc))))
-    return F.lit(abc).substr((F.pmod(at + turn, F.lit(len(abc))) + 1).cast("int"), F.lit(1))
+    at = F.position(letter, F.lit(abc))
+    rare = F.concat(F.lit("X"), F.translate(F.pmod(F.ascii(letter) + turn, F.lit(1 << 21)).cast("string"), "0123456789", "abcdefghij"))  # a letter beyond the alphabet
+    return F.when(at > 0, F.lit(abc).substr((F.pmod(at - 1 + turn, F.lit(len(abc))) + 1).cast("int"), F.lit(1))).otherwise(rare)
 
 
 def _renamed(name: Column, gender: Column, key: str, width: int) -> Column:
@@ -311,7 +312,9 @@ def found(text: Column) -> Column:
 def enough_width(docs: DataFrame, key: str = KEY, width: int = 12, most: int = 60) -> int:
     """A width at which no two distinct entities of the corpus share a surrogate."""
     all_of = docs.select(F.explode(searched(F.col("text"))["found"]).alias("x")).select("x.*").where(kind(F.col("m")).isin("email", "secret", "name"))
-    entities = common.cut(all_of.groupBy(kind(F.col("m")).alias("kind"), normal(F.col("m")).alias("entity")).agg(F.min(F.struct("m", "g")).alias("x")).select("kind", "entity", "x.*"))
+    # family names also stand alone
+    all_of = all_of.select(F.explode(F.when(kind(F.col("m")) == "name", F.array("m", _family(F.col("m")))).otherwise(F.array("m"))).alias("m"), "g")
+    entities = common.cut(all_of.groupBy(kind(F.col("m")).alias("kind"), F.col("g"), normal(F.col("m")).alias("entity")).agg(F.min("m").alias("m")))
     while width < most:
         shared = entities.select("kind", let(surrogate(F.col("m"), key, width, F.col("g")), normal).alias("s")).groupBy("kind", "s").count().where("count > 1")
         if shared.isEmpty():

@@ -275,6 +275,23 @@ def test_collisions_widen(spark, monkeypatch):
     assert pii.enough_width(df, width=12) == 12
 
 
+def test_all_titles_are_compared(spark, monkeypatch):
+    # of Mr and Mrs Lee and Mr Cox, only Mrs Lee shares a surrogate with another
+    def shared(match, key, width, gender):
+        return F.when((match == "Mrs Lee") & (width == 12), "Mr Cox").otherwise(F.concat(match, F.lit("")))
+
+    monkeypatch.setattr(pii, "surrogate", shared)
+    df = spark.createDataFrame([("Mr Lee",), ("Mrs Lee",), ("Mr Cox",)], "text string")
+    assert pii.enough_width(df.where("text <> 'Mrs Lee'")) == 12
+    with pytest.raises(ValueError):  # these surrogates are the names themselves, so that two genders share one at any width
+        pii.enough_width(df)
+
+
+def test_initials_are_distinct(spark):
+    df = spark.createDataFrame([(f"Mr {x}. Lee",) for x in "ABÉÈÖ"], "text string")
+    assert len({r[0] for r in pii.replaced(df).collect()}) == 5
+
+
 def test_private_is_native(spark, docs):
     from isopleth.llm import rules as r
 
