@@ -6,6 +6,7 @@ Doubles are rounded on both sides, as sums come in different orders. The oracles
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,9 @@ def query(sql: str | None = None, **digits: int):
     """Registers a query; digits: columns to round."""
 
     def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def run(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
             ship(spark)
-            return _rounded(f(spark, sf_dir), digits)
+            return _rounded(f(spark, sf_dir, **more), digits)
 
         run.__doc__ = f.__doc__
         QUERIES[f.__name__] = run
@@ -107,8 +108,8 @@ _FIELD = "time latitude longitude value"
 
 
 def _clim_query(scale: str, source: str):
-    def f(spark, sf_dir):
-        return timeseries.climatology(getattr(tables, f"field_{source}")(spark, sf_dir), scale)
+    def f(spark, sf_dir, **years):
+        return timeseries.climatology(getattr(tables, f"field_{source}")(spark, sf_dir, **years), scale)
 
     f.__name__ = f"clim_{scale}"
     query(_with(source, c=_clim(source, scale)) + _out("period latitude longitude value", _V, "c"), **_V)(f)
@@ -119,8 +120,8 @@ for _scale, _source in (("monthly", "monthly"), ("weekly", "daily"), ("daily", "
 
 
 def _anomaly_query(scale: str):
-    def f(spark, sf_dir):
-        data = getattr(tables, f"field_{scale}")(spark, sf_dir)
+    def f(spark, sf_dir, **years):
+        data = getattr(tables, f"field_{scale}")(spark, sf_dir, **years)
         return timeseries.subtract_climatology(data, scale, timeseries.climatology(data, scale))
 
     f.__name__ = f"anomaly_{scale}"
@@ -153,13 +154,13 @@ _SLOPE = {"value_slope": 15, "value_intercept": 6}
 
 
 @query(_with("monthly", t=_trend("monthly")) + _out("latitude longitude value_slope value_intercept", _SLOPE, "t"), **_SLOPE)
-def trend_linear(spark, sf_dir):
-    return timeseries.linear_trend(tables.field_monthly(spark, sf_dir))
+def trend_linear(spark, sf_dir, years=tables.YEARS):
+    return timeseries.linear_trend(tables.field_monthly(spark, sf_dir, years=years))
 
 
 @query(_with("monthly", t=_trend("monthly"), d=_detrended("monthly", "t")) + _out(_FIELD, _V, "d"), **_V)
-def detrend_linear(spark, sf_dir):
-    data = tables.field_monthly(spark, sf_dir)
+def detrend_linear(spark, sf_dir, years=tables.YEARS):
+    data = tables.field_monthly(spark, sf_dir, years=years)
     return timeseries.subtract_trend(data, "linear", timeseries.get_trend(data))
 
 
@@ -177,25 +178,25 @@ _SMOOTH = _rolled("monthly", "latitude, longitude", 3, 1)
 
 
 @query(_with("monthly", r=_SMOOTH, c=_clim("r", "monthly"), a=_anomaly("r", "c", "monthly"), t=_trend("a"), f=_anomaly("monthly", "c", "monthly"), o=_detrended("f", "t")) + _out(_FIELD, _V, "o"), **_V)
-def preprocess_full(spark, sf_dir):
+def preprocess_full(spark, sf_dir, years=tables.YEARS):
     """Rolling mean, climatology and trend fitted, and removed from the raw field."""
-    return Preprocessor(3, "monthly").fit_transform(tables.field_monthly(spark, sf_dir))
+    return Preprocessor(3, "monthly").fit_transform(tables.field_monthly(spark, sf_dir, years=years))
 
 
 @query(_with("monthly", r=_SMOOTH, t=_trend("r"), o=_detrended("monthly", "t")) + _out(_FIELD, _V, "o"), **_V)
-def preprocess_no_clim(spark, sf_dir):
-    return Preprocessor(3, "monthly", subtract_climatology=False).fit_transform(tables.field_monthly(spark, sf_dir))
+def preprocess_no_clim(spark, sf_dir, years=tables.YEARS):
+    return Preprocessor(3, "monthly", subtract_climatology=False).fit_transform(tables.field_monthly(spark, sf_dir, years=years))
 
 
 @query(_with("monthly", r=_SMOOTH, c=_clim("r", "monthly"), o=_anomaly("monthly", "c", "monthly")) + _out(_FIELD, _V, "o"), **_V)
-def preprocess_no_detrend(spark, sf_dir):
-    return Preprocessor(3, "monthly", detrend=None).fit_transform(tables.field_monthly(spark, sf_dir))
+def preprocess_no_detrend(spark, sf_dir, years=tables.YEARS):
+    return Preprocessor(3, "monthly", detrend=None).fit_transform(tables.field_monthly(spark, sf_dir, years=years))
 
 
 @query(_with("monthly", r="SELECT latitude, longitude, time, value FROM monthly", c=_clim("r", "monthly"), a=_anomaly("r", "c", "monthly"), t=_trend("a")) + _out("latitude longitude value_slope value_intercept", _SLOPE, "t"), **_SLOPE)
-def preprocess_trend(spark, sf_dir):
+def preprocess_trend(spark, sf_dir, years=tables.YEARS):
     """The trend property of a fit without smoothing."""
-    return Preprocessor(None, "monthly").fit(tables.field_monthly(spark, sf_dir)).trend
+    return Preprocessor(None, "monthly").fit(tables.field_monthly(spark, sf_dir, years=years)).trend
 
 
 # geometry and correlation
@@ -474,3 +475,9 @@ def resample_mean(spark, sf_dir):
 def train_test_rows(spark, sf_dir):
     data = tables.target(spark, sf_dir)
     return cal.split_rows(data, cal.kfold_splits(data, 3)).select("split", ANCHOR_YEAR, INTERVAL, "is_train", "value")
+
+# the monthly queries over all rows, without a choice of years
+
+for _name in "clim_monthly anomaly_monthly trend_linear detrend_linear preprocess_full preprocess_no_clim preprocess_no_detrend preprocess_trend".split():
+    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], years=None)
+    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(f" WHERE year(l_shipdate) {_MONTHS}", "")

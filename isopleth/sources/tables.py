@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.schema import ANCHOR_YEAR, INTERVAL, LATITUDE, LONGITUDE, TIME
 
 CELLS, ROW = 65, 13
+#: Years of the monthly queries whose SQL names them; the queries `*_whole` have all rows.
 YEARS = (1995, 2000)
 
 
@@ -25,13 +26,25 @@ def field_daily(spark: SparkSession, sf_dir: str, cells: int = CELLS) -> DataFra
     return _cells(table(spark, sf_dir, "lineitem"), cells).groupBy(TIME, LATITUDE, LONGITUDE).agg(F.avg("value").alias("value"))
 
 
-def _years(column: str):
-    return F.year(column).between(*YEARS)
+def _years(column: str, years: tuple[int, int]):
+    return F.year(column).between(*years)
 
 
-def field_monthly(spark: SparkSession, sf_dir: str, cells: int = CELLS) -> DataFrame:
+def field_monthly(spark: SparkSession, sf_dir: str, cells: int = CELLS, years: tuple[int, int] | None = YEARS) -> DataFrame:
+    """years: None for all rows."""
     month = F.date_trunc("month", F.col(TIME)).cast("timestamp_ntz")
-    return _cells(table(spark, sf_dir, "lineitem"), cells).where(_years(TIME)).groupBy(month.alias(TIME), LATITUDE, LONGITUDE).agg(F.avg("value").alias("value"))
+    rows = _cells(table(spark, sf_dir, "lineitem"), cells)
+    rows = rows.where(_years(TIME, years)) if years else rows
+    return rows.groupBy(month.alias(TIME), LATITUDE, LONGITUDE).agg(F.avg("value").alias("value"))
+
+
+def anchor_years(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last year of which both tables span April 1st to November 30th."""
+    spans = [table(spark, sf_dir, t).agg(F.min(c).cast("date"), F.max(c).cast("date")).first() for t, c in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"))]
+    if any(None in span for span in spans):
+        return 1, 0
+    low, high = max(a for a, _ in spans), min(b for _, b in spans)
+    return low.year + ((low.month, low.day) > (4, 1)), high.year - ((high.month, high.day) < (11, 30))
 
 
 def target_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +58,12 @@ def _interval(column: str):
 
 def precursor(spark: SparkSession, sf_dir: str, cells: int = CELLS) -> DataFrame:
     """anchor_year, i_interval (-4 to 4 around August 1st), latitude, longitude, value."""
-    rows = _cells(table(spark, sf_dir, "lineitem"), cells).where(_years(TIME) & F.month(TIME).between(4, 11))
+    rows = _cells(table(spark, sf_dir, "lineitem"), cells).where(_years(TIME, anchor_years(spark, sf_dir)) & F.month(TIME).between(4, 11))
     return rows.groupBy(F.year(TIME).alias(ANCHOR_YEAR), _interval(TIME).alias(INTERVAL), LATITUDE, LONGITUDE).agg(F.avg("value").alias("value"))
 
 
 def target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where(_years("o_orderdate") & F.month("o_orderdate").between(4, 11))
+    rows = table(spark, sf_dir, "orders").where(_years("o_orderdate", anchor_years(spark, sf_dir)) & F.month("o_orderdate").between(4, 11))
     return rows.groupBy(F.year("o_orderdate").alias(ANCHOR_YEAR), _interval("o_orderdate").alias(INTERVAL)).agg(F.avg(F.log("o_totalprice")).alias("value"))
 
 

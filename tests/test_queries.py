@@ -38,3 +38,18 @@ def test_entry(spark):
     assert not entry.entry(spark).isEmpty()
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.QUERIES) <= set(entry.queries())
+
+
+def test_monthly_queries_over_all_rows(spark, small, duck):
+    last = duck.sql("SELECT max(date_trunc('month', l_shipdate))::timestamp FROM lineitem").limit(1).fetchall()[0][0]
+    assert catalogue.QUERIES["preprocess_full_whole"](spark, small).selectExpr("max(time)").first()[0] == last
+
+
+def test_anchor_years_come_from_the_tables(spark, tmp_path):
+    from isopleth.sources import tables
+
+    for name, column, value, days in (("lineitem", "l_shipdate", "l_extendedprice", ("2010-02-01", "2012-11-30")), ("orders", "o_orderdate", "o_totalprice", ("2010-04-02", "2013-05-01"))):
+        spark.sql(f"SELECT 7 AS l_partkey, 10D AS {value}, explode(sequence(timestamp_ntz'{days[0]}', timestamp_ntz'{days[1]}', interval 1 day)) AS {column}").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert tables.anchor_years(spark, str(tmp_path)) == (2011, 2012)
+    for rows in (tables.precursor, tables.target):
+        assert {r[0] for r in rows(spark, str(tmp_path)).select("anchor_year").distinct().collect()} == {2011, 2012}
