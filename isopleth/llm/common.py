@@ -105,6 +105,11 @@ def crc_rest(col: str, modulus: int):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def text_print(text: str = "text"):
+    """64 bits that tell a row's text, and null from the empty one."""
+    return F.xxhash64(F.col(text).cast("binary"), F.col(text).isNull())
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string or binary column; nulls are empty."""
     if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type):

@@ -1,32 +1,35 @@
 """Operator 2: n-gram Jaccard self-join by signature trees, exact, and its connected components.
 
-Texts are sets of hashed word shingles. Texts with equal sets are one class, represented by its smallest doc_id; only
-representatives are joined. (Classes are told apart by 64 bits of a fingerprint, which coincide about three times among
-10**10 distinct sets.)
-
-Routing. The shingles of a set of n are dealt by hash into the parts of its size band. Two sets that link differ in at
-most D(n) shingles, so among the D(n) + 1 largest nonempty parts of either one, ordered by their contents, there is a
-part with the same contents in both (the parts before the first shared one all differ). A hash of each such part's
-contents is a key, and linked sets share a key: no link is lost. A key has several shingles, so a passage that many
-texts share rarely makes one. (A set with D(n) nonempty parts or fewer also takes a key for its band.)
-
-First pass. Within a key, members are checked against the key's first member only; links give components. This is a
-stream over sorted rows, and a key with a third of all rows holds nothing but its first member. Keys whose members are
-now all in one component, as with groups of near copies, are finished.
-
-Second pass. The members of each remaining key form a signature tree: a leaf has a text's token bitmap, set size and
-component; a node has the OR of the bitmaps below it, the ranges of size and of number of set bits, and the component
-if there is only one. A dual traversal from (root, root) drops pairs of nodes whose maximum possible overlap is below
-what the threshold needs, whose sizes don't match, or that are within one component. Pairs of leaves that are left are
-checked exactly. Keys with more than `TILE` members are cut into tiles that are joined by pairs.
-
-Links are verified on the full sets of 64-bit shingle hashes, streamed past one set at a time; components are found by
-joins with pointer jumping. Nothing but row counts comes to the driver.
+Texts are sets of hashed word shingles. Texts with equal sets are one class, known by 64 bits of a fingerprint (which
+coincide about three times among 10**10 distinct sets); only classes are joined.
+
+Families. Which texts need a common tree is found without loss: the shingles of a set of n are dealt by hash into the
+parts of its size band. Two sets that link differ in at most D(n) shingles, so among the D(n) + 1 largest nonempty parts
+of either one, ordered by their contents, there is a part with the same contents in both (the parts before the first
+shared one all differ). A hash of each such part's contents is a key, and linked sets share a key. (A set with D(n)
+nonempty parts or fewer also takes a key for its band.) Classes that share a key, directly or over others, are a family.
+Keys tell nothing of a link. They are reduced within each batch before the shuffle, so that a key with a third of all
+rows comes to its reducer as one row for each batch, and are a stream there.
+
+Signature trees. A family's classes form one tree. Its bitmaps have a bit for each shingle that two members share (up to
+`BITS`; beyond, bits are shared by hash); leaves go by size band, then bitmap. A node has the OR of the bitmaps below it,
+the fewest bits, the ranges of size, the most shared shingles, and the component if there is only one. A dual traversal
+from (root, root) drops pairs of nodes whose largest possible overlap is below what the threshold needs, whose sizes
+don't match, or that are within one component. Leaves that meet are decided on the spot: by the bitmaps where each
+shared shingle has its own bit, else by the whole sorted sets. A link merges components (union-find), so that a tree
+gives fewer links than it has members.
+
+Large families. A family of more than `TILE` members or `TILE_SHINGLES` shingles is dealt into trees by hash, and about
+`LANDMARKS` of its members are in all of these, which ties together the components of the trees. What is then left, and
+lost by neither: keys whose members are not within one component get trees of their own, in blocks that are joined by
+pairs, without pairs of blocks that are within one component. The pairs of classes that share a key there and don't
+link are the one cost that can grow faster than the input.
+
+Components are found by joins with pointer jumping. Nothing but row counts comes to the driver.
 
 Null, empty and blank texts have an empty set and link with nothing. Rows with a null doc_id take no part and have a
 null component. Repeated rows are in one class. Very long texts are whole sets. Rows that share a doc_id but not the
-text have components of their own, and count as one document where that id represents a class. Extra columns are
-ignored.
+text are rows of their own, and each may be in another component. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,15 +45,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of a leaf's signature.
-BITS = 512
+#: Bits of a tree's bitmaps, at most.
+BITS = 8192
 #: Children of a node.
 FANOUT = 8
-#: Members of a key that are joined in one piece.
-TILE = 20_000
+#: Members of a tree, and their shingles together (32 MB), at most.
+TILE, TILE_SHINGLES = 8192, 1 << 22
+#: Members of a large family that are in all of its trees, about.
+LANDMARKS = 64
 #: Ids up to which a list of documents is broadcast (16 MB); beyond, the join is a shuffle.
 BROADCAST_IDS = 2_000_000
 _BAND = 1.5
+#: Classes and members that a task remembers so as not to give them twice; equal rows beyond are dropped later.
 _SEEN = 100_000
 _FOLD = np.uint64(0x9FB21C651E98DF25)
 
@@ -127,11 +133,11 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
-    """Arrow lists of 64-bit numbers; None is null."""
-    ends = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in arrays])])
-    flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in arrays if x is not None)]))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([x is None for x in arrays], pa.bool_()))
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of 64-bit numbers."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])])
+    flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in arrays)]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -139,8 +145,33 @@ def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _first_of_key(keys: list[np.ndarray], classes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each set its keys that no other of the batch had before, and its other keys with the set that had them."""
+    size = np.array([len(x) for x in keys])
+    if not size.sum():
+        none = np.zeros(0, np.int64)
+        return [(none, none, none)] * len(keys)
+    owner, flat = np.repeat(np.arange(len(keys)), size), np.concatenate(keys)
+    order = np.lexsort((owner, flat))
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    first = np.empty(len(flat), np.int64)
+    first[order] = owner[order][np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))]
+    ends, out = np.cumsum(size), []
+    for i, (k, a, b) in enumerate(zip(keys, ends - size, ends, strict=True)):
+        own = first[a:b] == i
+        out.append((k[own], k[~own], classes[first[a:b][~own]]))
+    return out
+
+
+_DESCRIBED = "doc_id long, print long, n long, class long, keys array<long>, met array<long>, by array<long>"
+
+
 def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, set size, class, and routing keys (null where this task gave them before, and for rows without an id)."""
+    """doc_id, a print of the text, set size, class, and routing keys.
+
+    Keys are given once for each class and task, and not for rows without an id. Those that an earlier row of the batch
+    has are in `met`, with that row's class in `by`.
+    """
 
     def run(batches):
         seen: set[int] = set()
@@ -150,158 +181,183 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for i, x in enumerate(shingle_sets(batch.column("text"), k)):
                 sizes.append(len(x))
                 classes.append(own := class_of(x))
-                keys.append(routing_keys(x, percent) if named[i] and own not in seen else None)
+                keys.append(routing_keys(x, percent) if named[i] and own not in seen else np.zeros(0, np.int64))
                 if named[i] and len(seen) < _SEEN:
                     seen.add(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(keys)], ["doc_id", "n", "class", "keys"])
+            new, met, by = zip(*_first_of_key(keys, np.array(classes, np.int64)), strict=True) if keys else ((), (), ())
+            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(list(new)), _lists(list(met)), _lists(list(by))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n", "class", "keys", "met", "by"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(common.tidy(run), "doc_id long, n long, class long, keys array<long>")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), common.text_print().alias("print"))
+    return rows.mapInArrow(common.tidy(run), _DESCRIBED)
 
 
 def _stars(batches):
-    """From rows sorted by (key, id): each later member of a key with the key's first one."""
+    """From rows sorted by (key, class): each later member of a key with the key's first one."""
     key = first = last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+        k, ids = batch.column("key").to_numpy(), batch.column("class").to_numpy()
         new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
         begin = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
         heads = np.where(begin >= 0, ids[np.maximum(begin, 0)], first if first is not None else 0)
-        before = np.concatenate([[last if last is not None else -1], ids[:-1]])
+        before = np.concatenate([[last if last is not None else ids[0]], ids[:-1]])
         rest = ~new & (ids != heads) & (ids != before)
         yield pa.RecordBatch.from_arrays([pa.array(k[rest]), pa.array(heads[rest]), pa.array(ids[rest])], ["key", "a", "b"])
         key, first, last = k[-1], heads[-1], ids[-1]
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """Bitmap of a set's tokens."""
-    bits = np.zeros(BITS, bool)
-    bits[(shingles & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
-
-
-def _needed_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Sets and signatures of a list of documents; the texts are read again rather than all sets kept."""
-    ids = common.cut(ids)
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(some, "id", "left_semi")
-
-    def run(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), k))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), _lists(sets), pa.array([signature(x) for x in sets], pa.binary())], ["id", "n", "shingles", "bits"])
-
-    return common.cut(rows.mapInArrow(common.tidy(run), "id long, n long, shingles array<long>, bits binary"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 64) -> DataFrame:
-    """The pairs (a, b) whose sets link: each b's set streams past its a's."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    own = sets.select("id", "shingles")
-    heads = pairs.select("a", "salt").distinct().join(own.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
-    others = pairs.join(own.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "shingles")
-    rows = heads.unionByName(others).repartition(common.n_tasks(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-
-    def run(batches):
-        head, held = None, []
-        for batch in batches:
-            a, b, lists = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles")
-            flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
-            links = []
-            for i in range(batch.num_rows):
-                x = flat[offs[i] : offs[i + 1]]
-                if b[i] is None:
-                    if head != a[i]:
-                        head, held = a[i], []
-                    held.append(np.sort(x))
-                    continue
-                for y in held if head == a[i] else ():
-                    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) if len(y) else 0
-                    if 100 * both >= percent * (len(x) + len(y) - both) and both:
-                        links.append((a[i], b[i]))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
-
-    return common.cut(rows.mapInArrow(common.tidy(run), "a long, b long").distinct())
-
-
 def components(links: DataFrame) -> DataFrame:
-    """id and the smallest id of its component, for all ids in the links."""
-    both = common.cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    label = common.cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("label")))
+    """id and the smallest id of its component, for all ids in the links (a, b).
+
+    Each round every component so far goes to the smallest one that a link leads to, and pointers jump; the number of
+    rounds is about the logarithm of the longest path. Tables are written and read again each round: a checkpoint keeps
+    the size that the optimizer had guessed, and guesses of joins of joins grow without end.
+    """
+    spark, jumps = links.sparkSession, 3
+    both, both_path = common.stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    label, path = common.stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("label")), "labels")
+    paths = [both_path, path]
     while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
-        step = label.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = label.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        step = common.cut(step.join(up, "label").select("id", "was", F.least("label", "up").alias("label")))
-        if step.where("label <> was").isEmpty():
-            return step.select("id", "label")
-        label = step.select("id", "label")
+        step = label.join(near, "id").groupBy("label").agg(F.min("near").alias("near")).select("label", F.least("label", "near").alias("up"))
+        step, path = common.stored(step, "steps")
+        paths.append(path)
+        if step.where("label <> up").isEmpty():
+            break
+        for _ in range(jumps):
+            on = step.select(F.col("label").alias("up"), F.col("up").alias("next"))
+            step, path = common.stored(step.join(on, "up").select("label", F.col("next").alias("up")), "steps")
+            paths.append(path)
+        label, path = common.stored(label.join(step, "label").select("id", F.col("up").alias("label")), "labels")
+        paths.append(path)
+    label = common.cut(label)
+    for path in paths:
+        common.drop(spark, path)
+    return label
 
 
 # the signature tree
 
 
 class Tree:
-    """Levels from the leaves up; arrays of a level: bits, fewest bits, smallest and largest set, component or -1.
+    """The leaves in tree order, and levels of nodes from the leaves up.
 
-    Components are numbered from 0.
+    sets: sorted shingle hashes of each member; component: a number for each, equal for members known to be connected;
+    side: members with the same side, if it is not negative, need not be compared.
     """
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, label: np.ndarray):
-        self.levels = [(bits, np.bitwise_count(bits).sum(1).astype(np.int64), n, n, label)]
-        while len(self.levels[-1][0]) > 1:
-            bits, few, low, high, label = self.levels[-1]
-            at = np.arange(0, len(bits), FANOUT)
-            first, last = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
-            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(few, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.where(first == last, first, -1)))
-
-
-def _possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether some pair below the nodes may link, by the largest overlap their bitmaps and sizes allow."""
-    common_bits = np.bitwise_count(x[0][i] & y[0][j]).sum(1).astype(np.int64)
-    most = np.minimum(x[3][i] - np.maximum(0, x[1][i] - common_bits), y[3][j] - np.maximum(0, y[1][j] - common_bits))
-    least = x[2][i] + y[2][j]  # 100 o >= p (a + b - o)
-    fits = (100 + percent) * most >= percent * least
-    fits &= (100 * x[3][i] >= percent * y[2][j]) & (100 * y[3][j] >= percent * x[2][i])
-    return fits & ((x[4][i] < 0) | (x[4][i] != y[4][j]))
-
-
-def tree_join(left: Tree, right: Tree | None, percent: int, piece: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaves that may link, of one tree with itself (right: None) or of two; in pieces."""
-    other = right or left
-    top = max(len(left.levels), len(other.levels)) - 1
-    todo = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    at = lambda tree, depth: tree.levels[min(depth, len(tree.levels) - 1)]
-    while todo:
-        depth, i, j = todo.pop()
-        if len(i) > piece:
-            todo += [(depth, i[piece:], j[piece:]), (depth, i[:piece], j[:piece])]
-            continue
-        fits = _possible(at(left, depth), i, at(other, depth), j, percent)
+    def __init__(self, sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, most_bits: int | None = None):
+        n = np.array([len(x) for x in sets], np.int64)
+        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times > 1
+        own = shared[token]
+        leaf, bit = np.repeat(np.arange(len(n)), n)[own], (np.cumsum(shared) - 1)[token][own]
+        words = max(1, min(-(-int(shared.sum()) // 64), (most_bits or BITS) // 64))
+        self.exact = int(shared.sum()) <= 64 * words
+        bits = np.zeros((len(n), words), np.uint64)
+        ends = np.searchsorted(leaf, np.arange(0, len(n) + 1024, 1024))
+        for at, a, b in zip(range(0, len(n), 1024), ends[:-1], ends[1:], strict=False):
+            some = np.zeros((min(1024, len(n) - at), 64 * words), bool)
+            some[leaf[a:b] - at, bit[a:b] % (64 * words)] = True
+            bits[at : at + 1024] = np.packbits(some, axis=1).view(np.uint64)
+        band = np.where(n > 0, np.log(np.maximum(n, 1)) * 20, -1).astype(np.int64)
+        self.order = np.lexsort((n, *bits.T[:4][::-1], band, side))
+        o = self.order
+        most = np.bincount(leaf, minlength=len(n))
+        self.sets = [sets[i] for i in o]
+        level = {"bits": bits[o], "fewest": np.bitwise_count(bits[o]).sum(1, dtype=np.int64), "most": most[o], "low": n[o], "high": n[o], "side": side[o]}
+        self.levels = [level]
+        while len(level["low"]) > 1:
+            at = np.arange(0, len(level["low"]), FANOUT)
+            sides = np.minimum.reduceat(level["side"], at), np.maximum.reduceat(level["side"], at)
+            level = {
+                "bits": np.bitwise_or.reduceat(level["bits"], at, axis=0),
+                "fewest": np.minimum.reduceat(level["fewest"], at),
+                "most": np.maximum.reduceat(level["most"], at),
+                "low": np.minimum.reduceat(level["low"], at),
+                "high": np.maximum.reduceat(level["high"], at),
+                "side": np.where(sides[0] == sides[1], sides[0], -1),
+            }
+            self.levels.append(level)
+        self.parent = np.unique(component[o], return_index=True, return_inverse=True)
+        self.parent = self.parent[1][self.parent[2]].tolist()
+        self.compared = 0
+        self._fresh()
+
+    def _fresh(self) -> None:
+        """Component of each node, -1 if there are several."""
+        found = np.array(self.parent)
+        while (found != found[found]).any():
+            found = found[found]
+        self.levels[0]["of"] = found
+        for below, level in zip(self.levels, self.levels[1:], strict=False):
+            at = np.arange(0, len(below["of"]), FANOUT)
+            first, last = np.minimum.reduceat(below["of"], at), np.maximum.reduceat(below["of"], at)
+            level["of"] = np.where(first == last, first, -1)
+
+    def _root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def _apart(self, level: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        of, side = level["of"], level["side"]
+        return ((of[i] < 0) | (of[i] != of[j])) & ((side[i] < 0) | (side[i] != side[j]))
+
+    def possible(self, depth: int, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those pairs of nodes below which two members may link, by sizes and the overlap that the bitmaps allow."""
+        x = self.levels[depth]
+        most, low, high = x["most"], x["low"], x["high"]
+        fits = self._apart(x, i, j) & (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+        fits &= (100 + percent) * np.minimum(most[i], most[j]) >= percent * (low[i] + low[j])  # 100 o >= p (a + b - o)
         i, j = i[fits], j[fits]
-        if not len(i):
-            continue
-        if depth == 0:
-            if right is None:
-                i, j = i[i < j], j[i < j]
-            yield i, j
-            continue
+        both = np.bitwise_count(x["bits"][i] & x["bits"][j]).sum(1, dtype=np.int64)
+        overlap = np.minimum(most[i] - np.maximum(0, x["fewest"][i] - both), most[j] - np.maximum(0, x["fewest"][j] - both))
+        if self.exact:
+            overlap = np.minimum(overlap, both)
+        fits = (overlap > 0) & ((100 + percent) * overlap >= percent * (low[i] + low[j]))
+        return i[fits], j[fits]
+
+    def links(self, percent: int, piece: int | None = None) -> list[tuple[int, int]]:
+        """Links (as places in the given order) that connect all members that links connect: fewer than members."""
+        out: list[tuple[int, int]] = []
+        piece = piece or max(256, (1 << 24) // self.levels[0]["bits"][0].nbytes)  # 16 MB of bitmaps at a time
+        todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while todo:
+            depth, i, j = todo.pop()
+            if len(i) > piece:
+                todo += [(depth, i[piece:], j[piece:]), (depth, i[:piece], j[:piece])]
+                continue
+            self.compared += len(i) if depth == 0 else 0
+            i, j = self.possible(depth, i, j, percent)
+            if not len(i):
+                continue
+            if depth:
+                down = np.arange(FANOUT)
+                a, b = np.broadcast_arrays((i[:, None] * FANOUT + down)[:, :, None], (j[:, None] * FANOUT + down)[:, None, :])
+                last = len(self.levels[depth - 1]["low"])
+                some = (a < last) & (b < last) & ((a < b) if depth == 1 else (a <= b))
+                a, b = a[some], b[some]
+                near = np.argsort(b - a, kind="stable")  # neighbours first: they are the likeliest to merge
+                todo.append((depth - 1, a[near], b[near]))
+                continue
+            before = len(out)
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                one, two = self._root(x), self._root(y)
+                if one != two and (self.exact or _linked(self.sets[x], self.sets[y], percent)):
+                    self.parent[max(one, two)] = min(one, two)
+                    out.append((int(self.order[x]), int(self.order[y])))
+            if len(out) > before:
+                self._fresh()
+        return out
 
-        def below(tree, nodes, depth=depth):
-            if depth > len(tree.levels) - 1:  # the other tree is higher
-                return nodes[:, None], np.ones((len(nodes), 1), bool)
-            down = nodes[:, None] * FANOUT + np.arange(FANOUT)
-            return down, down < len(tree.levels[depth - 1][0])
 
-        (a, a_is), (b, b_is) = below(left, i), below(other, j)
-        pairs_a, pairs_b = np.broadcast_arrays(a[:, :, None], b[:, None, :])
-        some = a_is[:, :, None] & b_is[:, None, :]
-        if right is None:
-            some = some & (pairs_a <= pairs_b)
-        todo.append((depth - 1, pairs_a[some], pairs_b[some]))
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _groups(batches, column: str):
@@ -309,95 +365,152 @@ def _groups(batches, column: str):
     held = []
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        while table.num_rows:
-            values = table[column].to_numpy()
-            n = int(np.searchsorted(values, values[0], side="right"))
-            if held and held[-1][column][0].as_py() != values[0]:
+        values = table[column].to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else []
+        for a, b in zip(edge, [*edge[1:], len(values)], strict=True):
+            if held and held[-1][column][0].as_py() != values[a]:
                 yield pa.concat_tables(held)
                 held = []
-            held.append(table.slice(0, n))
-            table = table.slice(n)
+            held.append(table.slice(a, b - a))
     if held:
         yield pa.concat_tables(held)
 
 
-def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may link within each key; members: key, id, n, bits, label, and the number of the key's members."""
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    own = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    own = own.withColumn("piece", F.xxhash64("key", F.least("tile", "with"), F.greatest("tile", "with")))
-    own = own.withColumn("across", F.col("tile") != F.col("with")).withColumn("tile", F.when(F.col("tile") <= F.col("with"), 0).otherwise(1))
-    rows = own.select("piece", "id", "n", "bits", "label", "tile", "across").repartition(common.n_tasks(members.sparkSession), "piece").sortWithinPartitions("piece")
-
-    def tree(table, label):
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
-        n, ids = table["n"].to_numpy(), table["id"].to_numpy()
-        order = np.lexsort((*bits.T, n, label))
-        return Tree(bits[order], n[order], label[order]), ids[order]
-
-    def run(batches):
-        for group in _groups(batches, "piece"):
-            side = group["tile"].to_numpy()
-            across = group["across"][0].as_py()
-            if across and (side.all() or not side.any()):  # the other tile has no members
-                continue
-            label = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
-            left, ids = tree(group.filter(pa.array(side == 0)), label[side == 0])
-            right, others = tree(group.filter(pa.array(side == 1)), label[side == 1]) if across else (None, ids)
-            for i, j in tree_join(left, right, percent):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], others[j])), pa.array(np.maximum(ids[i], others[j]))], ["a", "b"])
+def tree_links(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of classes, from one signature tree for each tile: of each component's smallest class with the others.
 
-    return rows.mapInArrow(common.tidy(run), "a long, b long").where("a <> b").distinct()
+    assigned: doc_id, class, and an array of (tile, component, side); the texts are read again, and only sets of these
+    classes are shuffled, once for each tile.
+    """
+    assigned = common.cut(assigned)
+    some = F.broadcast(assigned) if assigned.count() <= BROADCAST_IDS else assigned
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(some, "doc_id").select("class", "tiles", "text")
 
+    def sets(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            wanted, keep, found = batch.column("class").to_pylist(), [], []
+            for i, x in enumerate(shingle_sets(batch.column("text"), k)):
+                if wanted[i] not in seen and class_of(x) == wanted[i]:  # else another row with this doc_id
+                    keep.append(i)
+                    found.append(x)
+                    if len(seen) < _SEEN:
+                        seen.add(wanted[i])
+            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(keep, pa.int64())), batch.column("tiles").take(pa.array(keep, pa.int64())), _lists(found)], ["class", "tiles", "shingles"])
+
+    kind = "array<struct<tile:bigint,component:bigint,side:int>>"
+    rows = rows.select("class", F.col("tiles").cast(kind).alias("tiles"), "text").mapInArrow(common.tidy(sets), f"class long, tiles {kind}, shingles array<long>")
+    rows = rows.select("class", "shingles", F.explode("tiles").alias("x")).select("x.*", "class", "shingles")
+    rows = rows.repartition(common.n_tasks(docs.sparkSession), "tile").sortWithinPartitions("tile")
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    def run(batches):
+        a, b = [], []
+        for tile in _groups(batches, "tile"):
+            classes = tile["class"].to_numpy()
+            lists = tile["shingles"].combine_chunks()
+            flat, offs = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            _, one = np.unique(np.stack([classes, tile["side"].to_numpy()]), axis=1, return_index=True)  # equal rows of several tasks
+            tree = Tree([np.sort(flat[offs[i] : offs[i + 1]]) for i in one], tile["component"].to_numpy()[one], tile["side"].to_numpy()[one])
+            if tree.links(percent):
+                own, of = classes[one][tree.order], tree.levels[0]["of"]
+                low = np.full(len(own), np.iinfo(np.int64).max)
+                np.minimum.at(low, of, own)
+                rest = low[of] != own
+                a.append(low[of][rest])
+                b.append(own[rest])
+        none = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
+
+    return common.cut(rows.mapInArrow(common.tidy(run), "a long, b long"))
+
+
+def _pieces(members, shingles):
+    """Trees that so many members with so many shingles need."""
+    return F.greatest(F.ceil(members / TILE), F.ceil(shingles / TILE_SHINGLES), F.lit(1)).cast("int")
+
+
+def _tile(tile, component, side):
+    return F.struct(tile.alias("tile"), component.alias("component"), side.cast("int").alias("side"))
+
+
+def _first_tiles(members: DataFrame) -> DataFrame:
+    """One tree for each family, or several that have landmarks in common; members: doc_id, class, n, family, pieces."""
+    own = F.pmod(F.xxhash64("class", F.lit(1)), F.col("pieces")).cast("int")
+    landmark = F.pmod(F.xxhash64("class", F.lit(2)), F.ceil(F.col("members") / LANDMARKS)) == 0
+    numbers = F.when(landmark, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(own))
+    return members.select("doc_id", "class", F.transform(numbers, lambda i: _tile(F.xxhash64("family", i), F.col("class"), F.lit(-1))).alias("tiles"))
+
+
+def _later_tiles(stars: DataFrame, members: DataFrame, label: DataFrame) -> DataFrame:
+    """Trees for those keys within large families whose members are not within one component; members: of these families."""
+    within = stars.join(members.select(F.col("class").alias("a")), "a", "left_semi")
+    rows = within.select("key", F.col("a").alias("class")).union(within.select("key", "b")).distinct()
+    rows = rows.join(members.select("class", "n"), "class").join(label.withColumnRenamed("id", "class"), "class", "left")
+    rows = rows.withColumn("label", F.coalesce("label", "class"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("s"), F.min("label").alias("l"), F.max("label").alias("h"))
+    keys = keys.where("l <> h").groupBy("m", "s").agg(F.min("key").alias("key")).select("key")  # equal lists of members are one
+    rows = common.cut(rows.join(keys, "key"))
+
+    # blocks: of one large component, or of many small ones
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    by_label = by_label.withColumn("own", _pieces(F.col("m"), F.col("s")))
+    small = by_label.where("own = 1").groupBy("key").agg(_pieces(F.sum("m"), F.sum("s")).alias("small"))
+    by_label = by_label.join(small, "key", "left").select("key", "label", "own", "small")
+    block = F.when(F.col("own") > 1, F.xxhash64("label", F.pmod(F.xxhash64("class"), F.col("own")))).otherwise(F.pmod(F.xxhash64("label"), F.col("small")).cast("long"))
+    rows = common.cut(rows.join(by_label, ["key", "label"]).select("key", "class", "label", block.alias("block")))
+    blocks = rows.groupBy("key", "block").agg(F.min("label").alias("l"), F.max("label").alias("h"))
+    other = blocks.select("key", F.col("block").alias("other"), F.col("l").alias("ol"), F.col("h").alias("oh"))
+    pairs = blocks.join(other, "key").where("block <= other and not (l = h and ol = oh and l = ol)").select("key", "block", "other")
+    sides = pairs.select("key", "block", F.xxhash64("key", "block", "other").alias("tile"), F.when(F.col("block") == F.col("other"), -1).otherwise(0).alias("side"))
+    sides = sides.union(pairs.where("block <> other").select("key", F.col("other").alias("block"), F.xxhash64("key", "block", "other").alias("tile"), F.lit(1).alias("side")))
+    tiles = rows.join(sides, ["key", "block"]).groupBy("class").agg(F.collect_list(_tile(F.col("tile"), F.col("label"), F.col("side"))).alias("tiles"))
+    return tiles.join(members.select("doc_id", "class"), "class").select("doc_id", "class", "tiles")
+
+
+def families(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (doc_id, print, n, class); classes that share a key (key, a, b); members of families (doc_id, class, n, family)."""
     spark = docs.sparkSession
-    common.ship(spark)
     whole, whole_path = common.stored(described(docs, k, percent), "described")
-    rows = common.cut(whole.select("doc_id", "n", "class"))
-    usable = rows.where("n > 0 and doc_id is not null")
-    named = common.cut(usable.groupBy("class").agg(F.min("doc_id").alias("id")))
-    routed = whole.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    routed = routed.repartition(common.n_tasks(spark), "key").sortWithinPartitions("key", "id")
-    given = common.cut(whole.where("keys is not null").select("doc_id", "class").join(named, "class").where("doc_id <> id").select("doc_id", "id").distinct())
-    stars, stars_path = common.stored(routed.mapInArrow(common.tidy(_stars), "key long, a long, b long"), "stars")
-    del whole, routed
+    rows = common.cut(whole.select("doc_id", "print", "n", "class"))
+    routed = whole.select("class", F.explode("keys").alias("key")).repartition(common.n_tasks(spark), "key").sortWithinPartitions("key", "class")
+    stars = routed.mapInArrow(common.tidy(_stars), "key long, a long, b long")
+    met = whole.select("class", F.explode(F.arrays_zip("met", "by")).alias("x")).select(F.col("x.met").alias("key"), F.col("x.by").alias("a"), F.col("class").alias("b"))
+    stars = common.cut(stars.unionByName(met.where("a <> b")))
     common.drop(spark, whole_path)
     common.release(spark)
+    family = components(stars.select("a", "b").distinct()).select(F.col("id").alias("class"), F.col("label").alias("family"))
+    named = rows.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    return rows, stars, common.cut(named.join(family, "class"))
 
-    # equal sets came from several tasks: their representative stands for them
-    for c in ("a", "b"):
-        stars = stars.join(given.select(F.col("doc_id").alias(c), F.col("id").alias(f"{c}_id")), c, "left").withColumn(c, F.coalesce(f"{c}_id", c)).drop(f"{c}_id")
-    stars = stars.where("a <> b").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    # first pass: each member of a key with the key's first
-    pairs = common.cut(stars.select("a", "b").distinct())
-    sets = _needed_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
-    links = verified(pairs, sets, percent)
-    common.release(spark)
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, print of the text, n_shingles, component (a number of its own for each) and component_id of every row."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    rows, stars, members = families(docs, k, percent)
+    sizes = members.groupBy("family").agg(F.count("*").alias("members"), _pieces(F.count("*"), F.sum("n")).alias("pieces"))
+    members = members.join(sizes, "family")
+    links = tree_links(docs, _first_tiles(members), k, percent)
     label = components(links)
-
-    # second pass: keys of three members or more that are not within one component
-    side = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
-    open_rows = stars.join(side("b"), "b", "left").join(side("a"), "a", "left")
-    open_rows = open_rows.select("key", "a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
-    open_keys = open_rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("label_a") != F.col("label_b")).alias("open")).where("open and n > 1")
-    open_keys = open_keys.select("key", (F.col("n") + 1).alias("members"))
-    members = common.cut(open_rows.join(open_keys, "key"))
-    common.drop(spark, stars_path)
+    large = common.cut(members.where("pieces > 1"))
+    if not large.isEmpty():
+        links = links.unionByName(tree_links(docs, _later_tiles(stars, large, label), k, percent))
+        label = components(links)
     common.release(spark)
-    members = members.select("key", "members", F.col("b").alias("id"), F.col("label_b").alias("label")).unionByName(members.select("key", "members", F.col("a").alias("id"), F.col("label_a").alias("label")).distinct())
-    members = members.join(sets.select("id", "n", "bits").dropDuplicates(["id"]), "id")
-    more = common.cut(_tree_pairs(members, percent).join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(more, sets, percent))
-    label = components(links)
 
-    named = named.join(label, "id", "left").select("class", F.coalesce("label", "id").alias("component_id"))
-    found = usable.join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
-    return found.unionByName(rest)
+    usable = rows.where("n > 0 and doc_id is not null")
+    low = usable.groupBy("class").agg(F.min("doc_id").alias("low"))
+    found = label.select(F.col("id").alias("class"), F.col("label").alias("component")).join(members.select("class", F.col("doc_id").alias("low")), "class")
+    found = found.join(found.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("class", "component", "component_id")
+    low = low.join(found, "class", "left").select("class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "low").alias("component_id"))
+    joined = usable.join(low, "class").select("doc_id", "print", F.col("n").alias("n_shingles"), "component", "component_id")
+    rest = rows.where("n = 0 or doc_id is null").select("doc_id", "print", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
+    return joined.unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return grouped(docs, k, percent).drop("print", "component")
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

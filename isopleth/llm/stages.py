@@ -17,19 +17,41 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scorers.kept(docs, scorers.train_quality(docs, common.table(spark, sf_dir, "labels")))
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column has."""
+    out = []
+    for name in names:
+        while name.lower() in (c.lower() for c in docs.columns):
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _with(docs: DataFrame, name: str, rows: DataFrame, names: list[str], how: str) -> DataFrame:
+    """Documents (with the print `name`) joined to rows (doc_id, print, ...) by both, null ids included; names: for the first two."""
+    rows = common.cut(rows.toDF(*names, *rows.columns[2:]))
+    if rows.count() <= neardup.BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    return docs.join(rows, docs["doc_id"].eqNullSafe(F.col(names[0])) & (docs[name] == F.col(names[1])), how)
+
+
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id; others go, and repeated rows too.
 
-    Five words and a similarity of 0.8. Documents with a null id stay.
+    Five words and a similarity of 0.8. Rows are told apart by id and text: an id may stand for several texts, and each
+    is decided on its own. Documents with a null id stay.
     """
-    found = common.cut(neardup.near_duplicates(docs, k=5, percent=80))
-    gone = common.cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    some = F.broadcast(gone) if gone.count() <= neardup.BROADCAST_IDS else gone
-    left = docs.join(some, "doc_id", "left_anti").select(docs.columns)
-    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    unnamed = left.where("doc_id is null")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    found = common.cut(neardup.grouped(docs, k=5, percent=80).where("doc_id is not null"))
+    row = F.struct("doc_id", "print")
+    linked = found.where("component is not null")
+    gone = linked.join(linked.groupBy("component").agg(F.min(row).alias("best")), "component").where(row != F.col("best")).select("doc_id", "print").distinct()
+    text, id_, print_ = _free(docs, "_text", "_id", "_print")
+    left = _with(docs.withColumn(text, common.text_print()), text, gone, [id_, print_], "left_anti")
+    repeated = found.groupBy("doc_id", "print").count().where("count > 1").select("doc_id", "print")
+    if repeated.isEmpty():
+        return left.select(docs.columns)
+    once = _with(left, text, repeated, [id_, print_], "left_semi").dropDuplicates(["doc_id", text])
+    return _with(left, text, repeated, [id_, print_], "left_anti").unionByName(once).select(docs.columns)
 
 
 def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

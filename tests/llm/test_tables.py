@@ -134,38 +134,102 @@ def test_routing_loses_no_link():
                     assert set(neardup.routing_keys(np.sort(a), percent)) & set(neardup.routing_keys(np.sort(b), percent))
 
 
-def test_tree_loses_no_pair():
-    rng = np.random.default_rng(4)
-    base = [rng.integers(0, 1 << 62, rng.integers(5, 200)) for _ in range(12)]
+def near_sets(rng, groups, count, longest=200):
+    base = [rng.integers(0, 1 << 62, rng.integers(5, longest)) for _ in range(groups)]
     sets = []
-    for i in range(300):
-        x = base[i % 12].copy()
+    for i in range(count):
+        x = base[i % groups].copy()
         x[rng.permutation(len(x))[: rng.integers(0, 1 + len(x) // 4)]] = rng.integers(0, 1 << 62)
         sets.append(np.unique(x).astype(np.uint64))
-    bits = np.frombuffer(b"".join(neardup.signature(x) for x in sets), np.uint64).reshape(300, -1)
-    n, label = np.array([len(x) for x in sets]), np.arange(300) // 2
-    links = {(i, j) for i in range(300) for j in range(i) if label[i] != label[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    return sets
+
 
-    def made(rows):
-        order = rows[np.lexsort((n[rows], label[rows]))]
-        return neardup.Tree(bits[order], n[order], label[order]), order
+def connected(pairs, component):
+    """Members to the smallest member that pairs or equal components connect them with."""
+    parent = list(range(len(component)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
 
-    whole, order = made(np.arange(300))
-    found = {(max(order[a], order[b]), min(order[a], order[b])) for i, j in neardup.tree_join(whole, None, 80, piece=64) for a, b in zip(i, j)}
-    assert links and links <= found and len(found) < 300 * 299 / 4
-    (left, l_ids), (right, r_ids) = made(np.arange(0, 100)), made(np.arange(100, 300))
-    across = {(max(l_ids[a], r_ids[b]), min(l_ids[a], r_ids[b])) for i, j in neardup.tree_join(left, right, 80) for a, b in zip(i, j)}
-    assert {(i, j) for i, j in links if (i < 100) != (j < 100)} <= across
+    for i, j in [*pairs, *((i, int(np.flatnonzero(component == c)[0])) for i, c in enumerate(component))]:
+        x, y = root(i), root(j)
+        parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(component))]
 
 
-def test_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("bits, piece", [(8192, None), (8192, 16), (64, 16), (256, None)])
+def test_tree_finds_all_components(bits, piece):
+    rng = np.random.default_rng(4)
+    sets = near_sets(rng, 12, 300)
+    pairs = [(i, j) for i in range(300) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    for component, side in [(np.arange(300), np.full(300, -1)), (np.arange(300) // 2, np.full(300, -1)), (np.arange(300), np.arange(300) // 12 % 2)]:
+        links = neardup.Tree(sets, component, side, bits).links(80, piece)
+        wanted = [(i, j) for i, j in pairs if side[i] < 0 or side[i] != side[j]]
+        assert wanted and set(links) <= {*wanted, *((j, i) for i, j in wanted)}
+        assert len(links) < 300 and connected(links, component) == connected(wanted, component)
+
+
+def test_tree_prunes_nodes():
+    """Most pairs of leaves are never met, and a passage that all sets share doesn't change that."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1 << 62, 40)
+    sets = [np.unique(np.concatenate([x, passage.astype(np.uint64)])) for x in near_sets(rng, 200, 2000)]
+    tree = neardup.Tree(sets, np.arange(2000), np.full(2000, -1))
+    links = tree.links(85)
+    assert len(links) > 100 and tree.compared < 2000 * 1999 / 2 / 10
+
+
+def test_links_come_from_the_trees(spark, monkeypatch):
+    rows = copies(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found, stars, members = neardup.families(docs, 4, 85)
+    family = {r["doc_id"]: r["family"] for r in members.collect()}
+    wanted = brute(rows, 4, 85)
+    by_class = {}
+    for r in found.where("n > 0").collect():
+        by_class.setdefault(r["class"], []).append(r["doc_id"])
+    linked = {i for i, (_, c) in wanted.items() if c in family and i in family}
+    for i in linked:  # whatever links is in one family ...
+        if texts[i] and wanted[i][1] != i:
+            assert family[i] == family[wanted[i][1]]
+    unlinked = [(i, j) for i in family for j in family if i < j and family[i] == family[j] and wanted[i][1] != wanted[j][1]]
+    assert unlinked  # ... but not the other way round
+    monkeypatch.setattr(neardup, "tree_links", lambda *args: spark.createDataFrame([], "a long, b long"))
+    alone = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 4, 85).collect()}
+    assert all(alone[i] == min(x for own in by_class.values() if i in own for x in own) for i in family)
+
+
+def trees_alone(sets, percent):
+    return neardup.Tree(sets, np.arange(len(sets)), np.full(len(sets), -1)).links(percent)
+
+
+def test_odd_trees():
+    none = np.zeros(0, np.uint64)
+    assert trees_alone([none], 80) == [] and trees_alone([none, none], 80) == []
+    assert trees_alone([np.array([1], np.uint64), np.array([2], np.uint64)], 80) == []
+    assert trees_alone([np.array([7], np.uint64)] * 3, 80) == [(0, 1), (0, 2)] or len(trees_alone([np.array([7], np.uint64)] * 3, 80)) == 2
+
+
+@pytest.mark.parametrize("tile, landmarks", [(3, 1), (12, 4)])
+def test_large_families(spark, monkeypatch, tile, landmarks):
     rows = copies(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(neardup, "TILE", 3)
+    monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "LANDMARKS", landmarks)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 3, 70).collect()}
     assert got == {i: c for i, (_, c) in brute(rows, 3, 70).items()}
 
 
+def test_rows_that_share_an_id(spark):
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(5, one), (5, other), (5, other), (7, one), (3, other + " end"), (9, None), (9, "c")], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs, 4, 85).collect())
+    assert rows == [(3, 3), (5, 3), (5, 3), (5, 5), (7, 5), (9, 9), (9, 9)]
+
+
 # mixing
 
 
@@ -347,3 +411,13 @@ def test_stages_of_odd_tables(spark):
 
 def test_rule_table():
     assert all(" / " in r.value and (r.low is not None or r.high is not None) for r in rules.RULES)
+
+
+def test_duplicates_are_decided_by_id_and_text(spark):
+    from isopleth.llm import stages
+
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, other), (5, other), (7, one), (3, other + " end"), (9, None), (9, ""), (9, ""), (None, one), (8, "c"), (8, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _id", "2 as _PRINT", "3 as _text", "4 as component")
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in stages.near_duplicates(spark, docs, None).collect())
+    assert kept == collections.Counter([(5, one), (3, other + " end"), (9, None), (9, ""), (None, one), (8, "c"), (8, "d")])
