@@ -4,12 +4,15 @@ Encoding. A text is split at the white space that the tokenizer drops anyway; ea
 then looked up. A word that is not known yet is normalised, cut into pre-tokens, and each pre-token is encoded by
 backtracking: an Aho-Corasick automaton gives the longest token at every place, and a token may follow another only if
 the pair is compatible, that is, if merging their joined text by rank would leave the border between them. The first
-complete sequence of compatible tokens is the result of the merges, found in time linear in the pre-token.
+complete sequence of compatible tokens is the result of the merges, found in time linear in the pre-token. (The pair test
+and the loop follow the publicly described algorithm of the `bpe` crate in GitHub's rust-gems, MIT licence.)
 
 Decoding. One table holds the bytes of all tokens and their offsets; the ids' spans are gathered with numpy.
 
 Splitting at ASCII white space is exact: the normaliser (NFC, white space to a space, lower case of each character)
-never joins characters over it and no pre-token or special token contains it.
+never joins characters over it and no pre-token or special token contains it. Words of plain Latin letters, digits and
+marks (`_PLAIN`, whose classes and cases all versions of Unicode share) are normalised and cut here; all other words by
+the library's own normaliser and pre-tokenizer, so that its version of the Unicode tables decides.
 
 Null texts count as empty; empty texts have no ids and decode to an empty text. Texts of any length are encoded whole,
 one at a time. Repeated rows are encoded each. Extra columns are kept by `encode` and `decode`, and ignored by the query.
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,10 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Words and pre-tokens that a worker remembers, at most, and their longest length in bytes.
 REMEMBERED, REMEMBERED_BYTES = 120_000, 48
 
-#: Code points with the property White_Space.
-_WHITE = r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+"
+_PLAIN = re.compile("[\\x21-\\x7e¡-¬®-ĮıĲ-ňŊ-ž‐-―‘-„†-•…€]*")
+#: The file's pattern for plain words; digits and number signs stand alone.
+_LETTER, _NUMBER = "a-zªµºÀ-ÖØ-öø-ž", "0-9²³¹¼-¾"
+_PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -143,6 +147,7 @@ class Encoder:
 
     def __init__(self, path: str):
         import regex
+        import tokenizers
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -165,7 +170,9 @@ class Encoder:
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.pre_token = regex.compile(_PRE_TOKEN)
+        whole = tokenizers.Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
+        self.byte = {c: b for b, c in enumerate(chars)}
         size = max([*vocab.values(), *special.values()]) + 1
         strings = [""] * size
         for x, i in (vocab | special).items():
@@ -173,33 +180,32 @@ class Encoder:
         self.tokens = OffsetTable([x.encode() + b" " for x in strings])
         self.decimals = OffsetTable([b"%d " % i for i in range(size)])
         self.words = _Remembered(self)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        if (found := self.known.get(piece)) is not None:
+    def _piece(self, raw: bytes) -> bytes:
+        if (found := self.known.get(raw)) is not None:
             return found
-        if (found := self.older.get(piece)) is not None:
-            self.known[piece] = found
+        if (found := self.older.get(raw)) is not None:
+            self.known[raw] = found
             return found
-        raw = piece.encode()
         symbols = "".join(map(chr, [b + 1 for b in raw[:-1]])) + chr(257 + raw[-1])
         found = np.array([self.ids[t] for t in self.merges.encode(symbols)], "<i4").tobytes()
         if len(raw) <= REMEMBERED_BYTES:
             if len(self.known) >= REMEMBERED:
                 self.known, self.older = {}, self.known  # the older generation goes
-            self.known[piece] = found
+            self.known[raw] = found
         return found
 
     def _plain(self, part: str) -> bytes:
-        if part.isascii():
-            part = part.lower()
-        else:
-            part = "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
+        if not _PLAIN.fullmatch(part):
+            pieces = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))
+            return b"".join([self._piece(bytes([self.byte[c] for c in x])) for x, _ in pieces])
+        part = part.lower()
         stem = part.rstrip(".,;:!?")
         if stem.isalpha():  # the usual word: letters, then marks
-            return self._piece(stem) + (self._piece(part[len(stem) :]) if len(stem) < len(part) else b"")
-        return b"".join([self._piece(x) for x in self.pre_token.findall(part)])
+            return self._piece(stem.encode()) + (self._piece(part[len(stem) :].encode()) if len(stem) < len(part) else b"")
+        return b"".join([self._piece(x.encode()) for x in _PRE_TOKEN.findall(part)])
 
     def word(self, word: bytes) -> bytes:
         """Little-endian 32-bit ids of what stands between white space."""
