@@ -1,16 +1,19 @@
 """Operator 9: approximate nearest neighbours by cosine, with an inverted file and product-quantised residuals.
 
-Fit, on a bounded hash-ordered sample (`SAMPLE`): coarse centroids by k-means on unit vectors, and for each of the
-`PARTS` sub-vectors of the residuals a codebook of up to 256 words. Index, every row: the nearest centroid's cell and
-one byte for each part. Search: a query probes so many of the cells nearest to it as the sample's true
-neighbours call for (few where vectors form groups, many where they don't); in each it builds its asymmetric distance table, ranks the cell's rows by the sum of table
-entries, and the best `RERANK` of each block are scored exactly, in double precision on the original vectors.
-
-Scale and skew. Only centroids, codebooks and the number of rows of each cell are on the driver. Cells with more than
-`BLOCK` rows are cut into blocks by a hash of the vector, so that a crowded cell is searched by many tasks. Vectors that
-occur many times stand for one entry with their `k + 1` smallest ids, reduced within each batch before the shuffle, and
+Fit, on a bounded hash-ordered sample (`SAMPLE`): coarse centroids by k-means on unit vectors, twice the square root of
+the number of rows, and for each of the `PARTS` sub-vectors of the residuals a codebook of up to 256 words. Index, every
+row: the nearest centroid's cell and one byte for each part. Search: a query probes so many of the cells nearest to it
+as the sample's true neighbours call for (few where vectors form groups, many where they don't: of random directions in
+64 dimensions, about four tenths); in each it builds its asymmetric distance table, ranks the cell's rows by the sum of
+table entries, and the best `RERANK` of each block are scored exactly, in double precision on the original vectors. A
+query that finds fewer than k this way, though there are more, is searched again in all cells.
+
+Scale and skew. Only centroids, codebooks and the number of rows of each cell are on the driver. (A quarter of the sample
+is the most centroids; from 6 million rows on cells grow instead.) Cells with more than `BLOCK` rows are cut into blocks
+by a hash of the vector, so that a crowded cell is searched by many tasks. Vectors that occur many times stand for one
+entry with their `k + 1` smallest ids, reduced within each batch, then over batches in two steps, before cells are cut;
 equal query vectors are searched once: a vector with a third of all rows costs no more than another, and ties go to the
-smaller id.
+smaller id. (Equal vectors are told by 64 bits of a hash.)
 
 Vectors that are null, zero, or hold null or non-finite components take no part, neither do vectors of another length
 than the most frequent one (the longer, in a tie) and rows with a null id. With fewer candidates than k a query gets
@@ -33,11 +36,12 @@ SAMPLE = 20_000
 PARTS, WORDS = 16, 256
 #: Rows of a block of a cell, and candidates of a block that are scored exactly for each query.
 BLOCK, RERANK = 4096, 64
-#: Cells at most, and rows of a cell aimed at.
-CELLS, CELL_ROWS = 1024, 256
-#: Share of the sample's true neighbours that must be in the probed cells; queries of the sample used for that, and the
-#: least number of cells.
-COVERED, CALIBRATING, LEAST_PROBED = 0.97, 512, 8
+#: Share of the sample's true neighbours that must be in the probed cells, and queries of the sample used for that.
+COVERED, CALIBRATING = 0.97, 512
+#: First steps of the reduction of a vector that many batches have.
+SALTS = 64
+#: Hashes of repeated vectors up to which they are broadcast (8 MB); beyond, the joins are shuffles.
+BROADCAST_HASHES = 1_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -65,7 +69,7 @@ class Index:
 
     def __init__(self, sample: np.ndarray, rows: int):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.centroids = kmeans(unit, int(np.clip(rows // CELL_ROWS, 1, min(CELLS, len(unit)))))
+        self.centroids = kmeans(unit, int(np.clip(2 * np.sqrt(rows), 1, max(1, len(unit) // 4))))
         residual = unit - self.centroids[nearest(unit, self.centroids)]
         self.edges = np.linspace(0, unit.shape[1], min(PARTS, unit.shape[1]) + 1).astype(int)
         self.books = [kmeans(residual[:, a:b], min(WORDS, len(unit)), rounds=5) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
@@ -83,7 +87,7 @@ class Index:
         cell = nearest(unit, self.centroids)[best]
         place = np.argsort(self.probes(some, len(self.centroids)), axis=1)
         ranks = np.sort(np.take_along_axis(place, cell, 1).reshape(-1))
-        return max(LEAST_PROBED, int(ranks[int(COVERED * (len(ranks) - 1))]) + 1)
+        return int(ranks[int(COVERED * (len(ranks) - 1))]) + 1
 
     def assign(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and codes of each vector."""
@@ -133,8 +137,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 def _distinct(ids: np.ndarray, vectors: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct vectors with their `most` smallest ids."""
-    raw = np.ascontiguousarray(vectors).view([("", vectors.dtype)] * vectors.shape[1]).reshape(-1)
-    _, first, group = np.unique(raw, return_index=True, return_inverse=True)
+    _, first, group = np.unique(_hashes(vectors), return_index=True, return_inverse=True)
     order = np.lexsort((ids, group))
     cut = np.concatenate([[0], np.cumsum(np.bincount(group))])
     sorted_ids = ids[order]
@@ -186,6 +189,20 @@ def _probing(rows: DataFrame, index: Index, probes: int) -> DataFrame:
 _FOUND = "hash long, vec_id long, score double"
 
 
+def _once(entries: DataFrame, k: int) -> DataFrame:
+    """One entry for each vector: those that several batches have are reduced in two steps."""
+    repeated = common.cut(entries.groupBy("hash").count().where("count > 1").select("hash"))
+    if repeated.isEmpty():
+        return entries
+    few = F.broadcast(repeated) if repeated.count() <= BROADCAST_HASHES else repeated
+    some = entries.join(few, "hash", "left_semi").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")
+    # equal vectors may be written with 0 or -0, so that any of them stands for all
+    one = [F.min("cell").alias("cell"), best, F.min_by("v", "cell").alias("v"), F.min_by("codes", "cell").alias("codes")]
+    some = some.groupBy("hash", "salt").agg(*one).groupBy("hash").agg(*one).select(entries.columns)
+    return entries.join(few, "hash", "left_anti").select(entries.columns).unionByName(some)
+
+
 def _searching(index: Index, k: int):
     """Best candidates of one block for all queries that probe its cell."""
 
@@ -193,15 +210,10 @@ def _searching(index: Index, k: int):
         schema = pa.schema([("hash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not block.num_rows or not queries.num_rows:
             return schema.empty_table()
-        vectors, lists = _matrix(block["v"]), block["ids"].to_pylist()
-        ids, vectors = _distinct(np.concatenate([np.asarray(x) for x in lists]), vectors[np.repeat(np.arange(len(lists)), [len(x) for x in lists])], k + 1)
-        cell, codes = block["cell"][0].as_py(), index.assign(vectors)[1] if len(ids) != block.num_rows else None
-        if codes is None:
-            codes = np.frombuffer(b"".join(block["codes"].to_pylist()), np.uint8).reshape(block.num_rows, -1)
-            order = _order_of(_matrix(block["v"]), vectors)
-            codes = codes[order]
+        ids, vectors, cell = block["ids"].to_pylist(), _matrix(block["v"]), block["cell"][0].as_py()
+        codes = np.frombuffer(b"".join(block["codes"].to_pylist()), np.uint8).reshape(block.num_rows, -1)
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-        smallest = np.array([x[0] for x in ids])
+        smallest = np.array([min(x) for x in ids])
         hashes, wanted = queries["hash"].to_numpy(), _matrix(queries["v"])
         out = []
         for at in range(0, len(wanted), 64):
@@ -218,12 +230,6 @@ def _searching(index: Index, k: int):
     return run
 
 
-def _order_of(block: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-    """Rows of a block of distinct vectors in the order of `distinct`."""
-    view = lambda x: np.ascontiguousarray(x).view([("", x.dtype)] * x.shape[1]).reshape(-1)
-    return np.argsort(view(block), kind="stable")[np.argsort(np.argsort(view(distinct), kind="stable"))]
-
-
 def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each row whose id is divisible by `every`."""
     spark = embeddings.sparkSession
@@ -236,18 +242,22 @@ def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, id_: str = "v
     sample = rows.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(SAMPLE).toArrow()
     sample = _matrix(sample["v"])
     index = Index(sample, total)
-    entries = common.cut(_entries(rows, index, k))
-    sizes = {r["cell"]: r["count"] for r in entries.groupBy("cell").count().collect()}  # one row for each of CELLS cells at most
+    entries = common.cut(_once(common.cut(_entries(rows, index, k)), k))
+    sizes = {r["cell"]: r["count"] for r in entries.groupBy("cell").count().collect()}  # one row for each cell
     blocks = spark.createDataFrame([(c, -(-n // BLOCK)) for c, n in sizes.items()], "cell int, blocks int")
     entries = entries.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod("hash", F.col("blocks")).cast("int")).drop("blocks")
     queries = rows.where(F.col("id") % every == 0)
-    probing = _probing(queries, index, index.enough_probes(sample, k)).join(F.broadcast(blocks.withColumnRenamed("blocks", "n")), "cell")
-    probing = probing.select("cell", "hash", "v", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("block"))
-    found = entries.groupBy("cell", "block").cogroup(probing.groupBy("cell", "block")).applyInArrow(_searching(index, k), _FOUND)
 
-    # the k + 1 best of each query vector, so that k are left without the query's own row
-    best = found.groupBy("hash", "vec_id").agg(F.max("score").alias("score"))
-    best = best.groupBy("hash").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("best"))
+    def best_of(some: DataFrame, probes: int) -> DataFrame:
+        """The k + 1 best of each query vector, so that k are left without the query's own row."""
+        probing = _probing(some, index, probes).join(F.broadcast(blocks.withColumnRenamed("blocks", "n")), "cell")
+        probing = probing.select("cell", "hash", "v", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("block"))
+        found = entries.groupBy("cell", "block").cogroup(probing.groupBy("cell", "block")).applyInArrow(_searching(index, k), _FOUND)
+        best = found.groupBy("hash", "vec_id").agg(F.max("score").alias("score"))
+        return best.groupBy("hash").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("best"))
+
+    probes = index.enough_probes(sample, k)
+    best = common.cut(best_of(queries, probes))
 
     def hashed(batches):
         for batch in batches:
@@ -255,6 +265,13 @@ def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, id_: str = "v
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_hashes(_matrix(batch.column("v"))))], ["query_id", "hash"])
 
     asked = queries.mapInArrow(common.tidy(hashed), "query_id long, hash long").distinct()
+    if probes < len(index.centroids):
+        # too few in the probed cells: all cells, for these queries only
+        short = best.where(F.size("best") < min(k + 1, total)).select("hash")
+        short = common.cut(asked.join(short, "hash").select(F.col("query_id").alias("id")))
+        if not short.isEmpty():
+            more = best_of(queries.join(short, "id", "left_semi"), len(index.centroids))
+            best = best.join(more.select("hash"), "hash", "left_anti").unionByName(more)
     own = asked.join(best, "hash").withColumn("best", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     out = own.select("query_id", F.posexplode("best").alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
