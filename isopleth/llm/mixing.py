@@ -9,20 +9,27 @@ Cube method. The vector of inclusion probabilities moves through the null space
 documents, number of words) until no more than two documents are undecided: with three undecided documents at hand there
 is a direction that changes neither total, and a step along it decides at least one of them. Documents go in descending
 order of size, so that what stays undecided at last is small. The flight runs within blocks of a source's documents;
-what each block leaves, a few documents, goes through the next round of blocks, until a source has one block. There a
-dozen documents of all sizes wait while the others fly; the landing decides them and the last two by the smallest error
-of the words over all their subsets.
+what each block leaves, a few documents, goes through the next round of blocks, until a source has one block. There some
+documents of all sizes wait while the others fly. The landing decides them and the last two: of `DRAWS` draws by their
+inclusion probabilities it takes the one with the smallest error in words.
+
+Repeated rows (equal in id, source and text) are one unit of the sample: of c such rows with a chance p each, the whole
+part of c p is taken for certain, and the rest is one document's chance. A row with a third of all copies is so counted
+within each input partition first, and is one row in its block.
+
+Plan. Sources are numbered by a range partition and numbers within it, and targets are found by a few passes over the
+table of sources, each of which gives one row to the driver; the number of sources has no bound.
 
 Sizes are counts of words. Null and empty texts have size 0 and are never taken. The null source is a source, the last
-one. Repeated rows count and are decided each on its own. All random numbers come from hashes of ids, so that reruns
-agree. Extra columns are ignored by the query. An empty table gives an empty result; sources of size 0 have target 0.
+one. All random numbers come from hashes of ids, so that reruns agree. Extra columns are ignored by the query. An empty
+table gives an empty result; sources of size 0 have target 0.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,7 +41,11 @@ MOST = 3
 #: Documents of a block.
 BLOCK = 4096
 #: Documents of a source's last block that wait for the landing, besides the two of the flight; other blocks leave half.
-LANDING = 12
+LANDING = 24
+#: Draws of the landing.
+DRAWS = 1024
+#: Sources up to which their table is broadcast; beyond, the joins are shuffles.
+BROADCAST_SOURCES = 100_000
 
 
 def size_of(text):
@@ -93,12 +104,12 @@ def flight(size: np.ndarray, chance: np.ndarray, random: np.ndarray) -> np.ndarr
     return np.array(out)
 
 
-def landing(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Decides what is left by the smallest error in words, then in documents, over all subsets."""
+def landing(size: np.ndarray, chance: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Decides what is left: of many draws by the inclusion probabilities, the one with the smallest error in words, then in documents."""
     out = chance.copy()
     left = np.flatnonzero((out > 0) & (out < 1))
     if len(left):
-        options = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        options = np.random.default_rng(seed).random((DRAWS, len(left))) < out[left]
         words = np.abs(options @ size[left] - (size[left] * out[left]).sum())
         docs = np.abs(options.sum(1) - out[left].sum())
         out[left] = options[np.lexsort((docs, words))[0]]
@@ -115,7 +126,7 @@ def later(size: np.ndarray, chance: np.ndarray, random: np.ndarray, most: int) -
     return out
 
 
-_ROW = "doc_id long, size long, place int, chance double, draw long"
+_ROW = "doc_id long, print long, size long, place long, chance double, draw long"
 
 
 def _block(rows: pa.Table) -> pa.Table:
@@ -125,45 +136,94 @@ def _block(rows: pa.Table) -> pa.Table:
     random = (common.mix(draw + np.uint64(len(size))) >> np.uint64(11)).astype(float) / 2**53
     last = rows["blocks"][0].as_py() == 1
     chance = later(size, rows["chance"].to_numpy(), random, LANDING if last else LANDING // 2)
-    chance = landing(size, chance) if last else chance
-    return pa.Table.from_arrays([rows["doc_id"], rows["size"], rows["place"], pa.array(chance), pa.array(common.mix(draw).view(np.int64))], ["doc_id", "size", "place", "chance", "draw"])
+    chance = landing(size, chance, int(np.bitwise_xor.reduce(draw))) if last else chance
+    return pa.Table.from_arrays([rows["doc_id"], rows["print"], rows["size"], rows["place"], pa.array(chance), pa.array(common.mix(draw).view(np.int64))], ["doc_id", "print", "size", "place", "chance", "draw"])
+
+
+def row_print(text: str = "text", source: str = "source"):
+    """64 bits that tell a row's text and source."""
+    return F.xxhash64(F.col(text).cast("binary"), F.col(text).isNull(), F.col(source), F.col(source).isNull())
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
 
 
 def _decided(rows: DataFrame) -> DataFrame:
     """Rows with chances of 0 or 1; by rounds of blocks within places (sources)."""
-    spark = rows.sparkSession
     done, left = None, common.cut(rows)
     while True:
-        counts = left.groupBy("place").count()  # one row for each source
-        blocks = {r["place"]: max(1, -(-r["count"] // BLOCK)) for r in counts.collect()}
-        number = spark.createDataFrame([(p, n) for p, n in blocks.items()], "place int, blocks int")
-        parts = left.join(F.broadcast(number), "place").withColumn("block", F.pmod("draw", F.col("blocks")).cast("int"))
+        counts = common.cut(left.groupBy("place").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks")))
+        most = counts.agg(F.max("blocks")).first()[0] or 1
+        parts = left.join(_few(counts), "place").withColumn("block", F.pmod("draw", F.col("blocks")).cast("int"))
         flown = common.cut(parts.groupBy("place", "block").applyInArrow(_block, _ROW))
         settled = flown.where("chance = 0 or chance = 1")
         done = settled if done is None else done.unionByName(settled)
-        if max(blocks.values(), default=1) == 1:  # every source has landed
+        if most == 1:  # every source has landed
             return done
         left = flown.where("chance > 0 and chance < 1")
 
 
+def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """source, place, source_size, weight, target and times (target by size) of each source; sizes: source, size.
+
+    Shares rise as sources reach their bound, so that a source once above it stays there: each pass counts those above.
+    """
+    spark = sizes.sparkSession
+    ordered = common.cut(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before, offsets = 0, []
+    for r in sorted(ordered.groupBy(part.alias("part")).count().collect()):  # one row for each partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    offsets = spark.createDataFrame(offsets, "part long, before long")
+    rows = ordered.join(F.broadcast(offsets), part == F.col("part"))
+    rows = rows.select("source", F.col("size").alias("source_size"), (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("place", F.lit(len(weights))).cast("int"))
+    rows = common.cut(rows.withColumn("weight", weight))
+    total, all_weights = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    left, open_weights, above = float(total or 0), all_weights or 0.0, 0
+    over = F.lit(False)
+    while open_weights > 0:
+        over = F.lit(left) * F.col("weight") / F.lit(open_weights) > most * F.col("source_size")
+        n, size, weight_of = rows.where(over).agg(F.count("*"), F.sum("source_size"), F.sum("weight")).first()
+        if n == above:
+            break
+        above, left, open_weights = n, total - most * size, all_weights - weight_of if n < before else 0.0
+    share = F.lit(left) * F.col("weight") / F.lit(open_weights) if open_weights > 0 else F.lit(0.0)
+    target = F.when(F.lit(True) if not open_weights else over, most * F.col("source_size").cast("double")).otherwise(share)
+    return rows.withColumn("target", target).withColumn("times", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, text: str = "text", source: str = "source", id_: str = "doc_id") -> DataFrame:
-    """For every row: doc_id, size, source_size, target, taken (words), and times (how often the row is taken)."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    rows = common.cut(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("print")))
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()  # one row for each source
-    by_source = sorted(by_source, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    sizes = [int(r["size"]) for r in by_source]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most=most)
-    plan = spark.createDataFrame([(r["source"], i, s, t, (t / s if s else 0.0)) for i, (r, s, t) in enumerate(zip(by_source, sizes, goal, strict=True))], "source string, place int, source_size long, target double, times double")
-    planned = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"])).drop("source")
+    """For every row: doc_id, print of text and source, place of the source, size, source_size, target, taken (words), and times (how often the row is taken)."""
+    common.ship(docs.sparkSession)
+    rows = common.cut(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), row_print(text, source).alias("print")))
+    rows = rows.withColumn("part", F.spark_partition_id())
+    sources = common.cut(plan(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, most))
+    named = _few(sources.select(F.col("source").alias("of"), "place"))
+    row = ["doc_id", "print", "place"]
+    parts = rows.join(named, F.col("source").eqNullSafe(F.col("of"))).groupBy(*row, "size", "part").agg(F.count("*").alias("n"))
+    parts = common.cut(parts)
     whole = F.floor(F.col("times") + 1e-12)
-    planned = planned.withColumn("chance", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("times") - whole)).otherwise(0.0))
-    drawn = planned.select("doc_id", "size", "place", "chance", F.xxhash64("doc_id", "print").alias("draw"))
-    out = _decided(drawn).join(F.broadcast(plan.select("place", "source_size", "target", F.floor(F.col("times") + 1e-12).alias("whole"))), "place")
-    times = F.when(F.col("size") > 0, F.col("whole") + F.col("chance").cast("long")).otherwise(0).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+    expected = F.col("n") * F.greatest(F.lit(0.0), F.col("times") - whole)
+    units = parts.groupBy(*row, "size").agg(F.sum("n").alias("n")).join(_few(sources.select("place", "times")), "place")
+    units = units.withColumn("sure", F.when(F.col("size") > 0, F.floor(expected + 1e-12)).otherwise(0))
+    units = common.cut(units.withColumn("chance", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), expected - F.col("sure"))).otherwise(0.0)))
+    drawn = _decided(units.select("doc_id", "print", "size", "place", "chance", F.xxhash64("doc_id", "print").alias("draw")))
+
+    # of n equal rows, the first `extra` are taken once more; numbered over the parts they were counted in
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["d"]) & (a["print"] == b["p"]) & (a["place"] == b["s"])
+    renamed = lambda df, *more: df.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("place").alias("s"), *more)
+    extra = renamed(drawn, F.col("chance").cast("long").alias("once"))
+    extra = renamed(units.join(extra, same(units, extra)), (F.col("sure") + F.col("once")).alias("extra"))
+    out = parts.join(extra, same(parts, extra)).drop("d", "p", "s")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*row).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = out.withColumn("before", before).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    out = out.join(_few(sources.select("place", "source_size", "target", whole.alias("whole"))), "place")
+    times = F.when(F.col("size") > 0, F.col("whole") + (F.col("before") + F.col("number") <= F.col("extra")).cast("long")).otherwise(0).cast("long")
+    return out.select("doc_id", "print", "place", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mixed(common.table(spark, sf_dir, "documents"))
+    return mixed(common.table(spark, sf_dir, "documents")).drop("print", "place")

@@ -63,20 +63,22 @@ def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: rows repeat, and documents that are not taken go.
 
-    Documents that share an id are taken as often as the first of them.
+    Rows are told apart by id, source and text; of rows that agree in these, one stands for all copies that are taken.
     """
-    taken = mixing.mixed(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").cast("int").alias("times"))
+    print_, id_, own, times, rows = _free(docs, "_print", "_id", "_own", "_times", "_rows")
+    taken = mixing.mixed(docs).groupBy("doc_id", "print").agg(F.sum("times").cast("int").alias(times), F.count("*").alias(rows)).where(F.col(times) > 0)
     taken = common.cut(taken)
-    if taken.count() <= neardup.BROADCAST_IDS:
-        taken = F.broadcast(taken)
-    name = "_times"
-    while name in docs.columns:
-        name += "_"
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("times").alias(name))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    return rows.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(name)))).drop(name)
+    marked = docs.withColumn(own, mixing.row_print())
+    often = F.explode(F.array_repeat(F.lit(0), F.col(times)))
+    out = _with(marked, own, taken.where(F.col(rows) == 1), [id_, print_], "inner").withColumn(times, often).select(docs.columns)
+    repeated = taken.where(F.col(rows) > 1)
+    if repeated.isEmpty():
+        return out
+    once = _with(marked, own, repeated, [id_, print_], "inner").dropDuplicates([id_, own])
+    return out.unionByName(once.withColumn(times, often).select(docs.columns))
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every whole text: doc_id, source, n_tokens, ids."""
-    return bpe.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Ids of every whole text, and a digest of the text they decode to: doc_id, source, n_tokens, ids, decoded_sha256."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")), out="text")
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
