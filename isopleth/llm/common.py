@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import shared_dir
-from ..plans.session import ship as _ship
+from ..plans.session import shared_dir, ship
 
 #: Bytes of text that are processed together in a Python worker; a longer text is a slab of its own.
 SLAB_BYTES = 1 << 19
@@ -25,24 +24,25 @@ SLAB_BYTES = 1 << 19
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def ship(spark: SparkSession) -> None:
-    """The package to the executors; and smaller Arrow batches, unless a number was set, as rows hold whole texts."""
-    _ship(spark)
-    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(name, usual) == usual:
-        spark.conf.set(name, "1024")
+#: Rows of an Arrow batch that an operator works on at a time, as rows hold whole texts.
+BATCH_ROWS = 1024
 
 
 def tidy(run):
-    """A function for `mapInArrow` that gives memory back at the end of a task.
+    """A function for `mapInArrow` that works on small batches and gives memory back at the end of a task.
 
     Python workers live on between tasks; what the allocators keep would add up over the stages of a job.
     """
 
+    def small(batches):
+        for batch in batches:
+            for at in range(0, max(batch.num_rows, 1), BATCH_ROWS):
+                yield batch.slice(at, BATCH_ROWS)
+
     def tidied(batches):
         pa.set_memory_pool(pa.system_memory_pool())
         try:
-            yield from run(batches)
+            yield from run(small(batches))
         finally:
             give_back()
 

@@ -42,20 +42,16 @@ def _forward(bias, linear, factors, index, value, ptr):
     return bias + row_sums(linear[index] * value, ptr) + 0.5 * (sums**2 - squares).sum(1), sums
 
 
-def fit(index: np.ndarray, value: np.ndarray, ptr: np.ndarray, label: np.ndarray, buckets: int, rank: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, factor_decay: float = 1e-4, seed: int = 7, balance: bool = False) -> Machine:
-    """Fit on rows of a sparse matrix. A single class, or no row, gives a constant score.
-
-    balance: rows of either class weigh as much in total.
-    """
+def fit(index: np.ndarray, value: np.ndarray, ptr: np.ndarray, label: np.ndarray, buckets: int, rank: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, factor_decay: float = 1e-4, seed: int = 7) -> Machine:
+    """Fit on rows of a sparse matrix. A single class, or no row, gives a constant score."""
     rng = np.random.default_rng(seed)
     linear = np.zeros(buckets)
     factors = rng.normal(0, 0.02, (buckets, rank))
     n = len(label)
     rate_of_ones = (label.sum() + 0.5) / (n + 1) if n else 0.5
-    bias = float(np.log(rate_of_ones / (1 - rate_of_ones))) if not balance or label.min(initial=1) == label.max(initial=0) else 0.0
+    bias = float(np.log(rate_of_ones / (1 - rate_of_ones)))
     if n == 0 or label.min() == label.max():
         return Machine(bias, linear, np.zeros((buckets, rank)))
-    weight = np.where(label > 0, 0.5 / rate_of_ones, 0.5 / (1 - rate_of_ones)) if balance else np.ones(n)
     g_linear, g_factors, g_bias = np.full(buckets, 1e-6), np.full((buckets, rank), 1e-6), 1e-6
     size = 32
     for _ in range(epochs):
@@ -67,7 +63,7 @@ def fit(index: np.ndarray, value: np.ndarray, ptr: np.ndarray, label: np.ndarray
             entries = np.repeat(ptr[rows] - own[:-1], lens) + np.arange(own[-1])
             idx, x, row = index[entries], value[entries], np.repeat(np.arange(len(rows)), lens)
             logit, sums = _forward(bias, linear, factors, idx, x, own)
-            error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - label[rows]) * weight[rows] / size
+            error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - label[rows]) / size
             used, inverse = np.unique(idx, return_inverse=True)
             ex = error[row] * x
             grad = np.bincount(inverse, ex, len(used)) + decay * linear[used]

@@ -2,13 +2,13 @@
 
 Both work alike. A bounded, hash-ordered sample of the labelled documents that training may see is taken
 (`TRAINING_ROWS`, a documented parameter). Executors count, by class, in how many sampled documents each hashed bucket
-occurs; buckets whose rates differ between the classes by at least `SCREEN` standard errors stay, weighted by that
+occurs; all buckets whose rates differ between the classes by at least `SCREEN` standard errors stay, weighted by that
 number. The driver gets those counts (one number for each of 2**18 buckets and class at most) and then the sampled rows
 reduced to the kept buckets, and fits the machine there. Every document is then scored on its whole text, in one pass
 without a shuffle.
 
 Null and empty texts have no terms: their score is the machine's value for what remains (statistics, or the bias).
-Repeated rows are scored each on its own; labels that repeat for an id count once, as their largest value; null labels
+Repeated rows are scored each on its own; of rows that share an id, one trains (that with the smallest text); labels that repeat for an id count once, as their largest value; null labels
 and ids do not train. Extra columns of either table are ignored. With no labels, or labels of one class, the score is
 constant.
 """
@@ -30,8 +30,8 @@ TRAINING_ROWS = 20_000
 #: Standard errors between the classes' rates from which a bucket is kept.
 SCREEN = 3.5
 TERM_BUCKETS = 1 << 18
-#: Buckets that are kept, at most.
-KEPT_BUCKETS = 4096
+#: Passes over the sample.
+EPOCHS = 8
 #: Beyond the hashed terms: 32 bins for each of up to 32 statistics.
 STATISTICS, BINS = 32, 32
 BUCKETS = TERM_BUCKETS + STATISTICS * BINS
@@ -114,11 +114,13 @@ def _batches(batches: Iterator[pa.RecordBatch], features: Features):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int = TRAINING_ROWS) -> DataFrame:
-    """The documents (with `label`) that training sees: at most `most`, the smallest by a hash of the id."""
+    """The documents (with `label`) that training sees: at most `most`, the smallest by a hash of the id; of rows that share an id, one."""
     some = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (common.crc_rest("doc_id", modulus) != held))
     some = some.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     some = some.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most)
-    return docs.join(F.broadcast(some), "doc_id")  # at most `most` rows of 12 bytes
+    rows = docs.join(F.broadcast(some), "doc_id")  # at most `most` rows of 12 bytes
+    one = F.min(F.struct("text", "meta", "label")).alias("x")
+    return common.cut(rows.groupBy("doc_id").agg(one).select("doc_id", "x.*"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, features: Features, lower: bool, most: int = TRAINING_ROWS) -> tuple[fm.Machine, np.ndarray]:
@@ -147,7 +149,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
     rate = (both + 0.5) / (zeros + ones + 1)
     z = (total[:BUCKETS, 1] / ones - total[:BUCKETS, 0] / zeros) / np.sqrt(rate * (1 - rate) * (1 / ones + 1 / zeros))
     weight = np.where((np.abs(z) >= SCREEN) & (both >= 4), np.minimum(np.abs(z), 12) / 12, 0)
-    weight[np.argsort(-np.abs(z) * (weight > 0), kind="stable")[KEPT_BUCKETS:]] = 0
     weight[TERM_BUCKETS:][both[TERM_BUCKETS:] > 0] = 1
 
     def kept(batches):
@@ -169,15 +170,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: in
     ptr = np.concatenate([[0], np.cumsum(lens)])
     index = flat[np.repeat(edge[:-1][order] - ptr[:-1], lens) + np.arange(ptr[-1])].astype(np.int64)
     label_of = rows["label"].to_numpy()[order].clip(0, 1).astype(float)
-    machine = fm.fit(index, weight[index], ptr, label_of, BUCKETS, epochs=int(np.clip(120_000 // len(label_of), 3, 12)), factor_decay=1e-3)
+    machine = fm.fit(index, weight[index], ptr, label_of, BUCKETS, epochs=EPOCHS, factor_decay=1e-3)
     return machine, weight
 
 
 def _scorer(model: tuple[fm.Machine, np.ndarray]):
-    """Scores of rows of buckets. Only the kept buckets are sent along: their size does not grow with the corpus."""
+    """Scores of rows of buckets. Only the kept buckets are sent along: they are 2**18 at most."""
     machine, weight = model
     used = np.flatnonzero(weight)
-    place = np.zeros(BUCKETS, np.int16)
+    place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(1, len(used) + 1)
     small = fm.Machine(machine.bias, np.concatenate([[0], machine.linear[used]]), np.concatenate([np.zeros((1, machine.factors.shape[1])), machine.factors[used]]))
     value = np.concatenate([[0], weight[used]])

@@ -495,3 +495,17 @@ def test_duplicates_are_decided_by_id_and_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _id", "2 as _PRINT", "3 as _text", "4 as component")
     kept = collections.Counter((r["doc_id"], r["text"]) for r in stages.near_duplicates(spark, docs, None).collect())
     assert kept == collections.Counter([(5, one), (3, other + " end"), (9, None), (9, ""), (None, one), (8, "c"), (8, "d")])
+
+
+def test_repeated_labelled_documents_and_clashing_columns(spark):
+    """A labelled id with a third of all rows trains once; columns named as the operator's own change nothing."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 50, 30)), *(["bad", "worse"] if i % 2 else ["good", "fine"])]) for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(240)], "doc_id long, quality int, toxic int")
+    plain = {r["doc_id"]: r["score"] for r in scorers.toxicity(docs, labels).collect()}
+    odd = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(120)).drop("id")).selectExpr("*", "1 as label", "'x' as meta", "2 as x", "3 as score")
+    rows = scorers.toxicity(odd, labels.selectExpr("*", "'y' as text", "'z' as meta")).collect()
+    assert len(rows) == 360 and max(abs(plain[r["doc_id"]] - r["score"]) for r in rows) < 1e-9
+    assert np.mean([(plain[i] >= 0.5) == i % 2 for i in plain]) > 0.95
+    assert scorers.training_rows(scorers._texts(odd, False), labels, "toxic", 5, 0).where("doc_id = 3").count() <= 1
