@@ -34,11 +34,12 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def grid_spacing(df: DataFrame, lat_order: str = "desc") -> DataFrame:
     """One row: absolute differences of the first two latitudes and longitudes of an even grid."""
     require(df, LATITUDE, LONGITUDE)
-    lats = F.array_sort(F.collect_set(LATITUDE))
-    lats = F.reverse(lats) if lat_order == "desc" else lats
-    lons = F.array_sort(F.collect_set(LONGITUDE))
-    # the axes of a grid, not its cells: their lengths grow with the square root of the grid
-    return df.agg(lats.alias("lats"), lons.alias("lons")).select(F.abs(F.get("lats", F.lit(1)) - F.get("lats", F.lit(0))).alias("dlat"), F.abs(F.get("lons", F.lit(1)) - F.get("lons", F.lit(0))).alias("dlon"))
+    # the two ends of an axis that count are extremes, which partitions combine
+    first = F.max if lat_order == "desc" else F.min
+    ends = df.agg(first(LATITUDE).alias("lat"), F.min(LONGITUDE).alias("lon"))
+    rest = df.crossJoin(F.broadcast(ends))  # one row
+    second = lambda c, end, extreme: extreme(F.when(F.col(c) != F.col(end), F.col(c)))
+    return rest.agg(F.abs(second(LATITUDE, "lat", first) - F.first("lat")).alias("dlat"), F.abs(second(LONGITUDE, "lon", F.min) - F.first("lon")).alias("dlon"))
 
 
 def add_gridcell_area(df: DataFrame, lat_order: str = "desc") -> DataFrame:

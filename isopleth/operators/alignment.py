@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import LATITUDE, LONGITUDE, require
+from ..plans.session import cut
 from .cluster import LABEL
 
 NAMES = 26 + 26 * 26
@@ -52,9 +53,11 @@ def overlapping_clusters(labels: DataFrame, min_overlap: float = 0.1) -> DataFra
 
 def remove_subsets(sets: DataFrame) -> DataFrame:
     """Sets that are within no other set."""
-    a, b = sets.alias("a"), sets.alias("b")
-    within = (F.size(F.array_except("a.members", "b.members")) == 0) & (F.col("a.members") != F.col("b.members"))
-    return a.join(b, within, "left_anti")
+    # a larger set shares all members, so its rows meet the smaller set's first member
+    a = sets.withColumn("member", F.get("members", F.lit(0))).alias("a")
+    b = sets.withColumn("member", F.explode("members")).alias("b")
+    within = (F.col("a.member") == F.col("b.member")) & (F.size(F.array_except("a.members", "b.members")) == 0) & (F.col("a.members") != F.col("b.members"))
+    return a.join(b, within, "left_anti").drop("member")
 
 
 def remove_overlapping(sets: DataFrame) -> DataFrame:
@@ -112,7 +115,7 @@ def rename_labels(rgdr_list: Sequence, clustered_data: Sequence[DataFrame]) -> l
     """The reduced data of fitted splits with common names, as strings, for labels."""
     if len(rgdr_list) != len(clustered_data):
         raise ValueError("there have to be as many reduced tables as fitted models")
-    names = aligned_names(split_labels([r.cluster_map for r in rgdr_list])).persist()  # a row for each cluster
+    names = cut(aligned_names(split_labels([r.cluster_map for r in rgdr_list])))  # a row for each cluster
     out = []
     for i, data in enumerate(clustered_data):
         own = names.where(F.col("split") == i).select(F.col("label").cast("smallint").alias(LABEL), "name")

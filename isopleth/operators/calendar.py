@@ -6,7 +6,7 @@ Targets are 1, 2, ... from the anchor on; precursors -1, -2, ... end at it. Inte
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,3 +156,32 @@ def train_test(data: DataFrame, splits: DataFrame, split: int) -> tuple[DataFram
     """Training and testing rows of one split."""
     rows = split_rows(data, splits.where(F.col("split") == split))
     return tuple(rows.where("is_train" if part else "not is_train").drop("split", "is_train") for part in (True, False))
+
+
+class Splitter:
+    """Training and testing tables for each split of the anchor years."""
+
+    def __init__(self, splits):
+        """splits: a table (split, anchor_year, is_train), or a function of the data that gives one."""
+        self._splits = splits
+
+    @classmethod
+    def kfold(cls, k: int) -> Splitter:
+        return cls(lambda data: kfold_splits(data, k))
+
+    @classmethod
+    def shuffle(cls, n: int, test_share: float = 0.25, seed: int = 1) -> Splitter:
+        return cls(lambda data: shuffle_splits(data, n, test_share, seed))
+
+    def split(self, x: DataFrame, y: DataFrame | None = None) -> Iterator[tuple[DataFrame, ...]]:
+        """(x_train, x_test) of each split, or (x_train, x_test, y_train, y_test)."""
+        require(x, ANCHOR_YEAR)
+        splits = self._splits(x) if callable(self._splits) else self._splits
+        years = sorted(map(tuple, splits.select("split", ANCHOR_YEAR, "is_train").collect()))  # splits x years
+        for split in sorted({r[0] for r in years}):
+            out = []
+            for df in (x,) if y is None else (x, y):
+                for part in (True, False):
+                    some = [int(r[1]) for r in years if r[0] == split and bool(r[2]) == part]
+                    out.append(df.where(F.col(ANCHOR_YEAR).isin(some)))
+            yield tuple(out)

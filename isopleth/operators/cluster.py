@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS_EARTH_KM, add_gridcell_area, haversine_km
 from ..functions.schema import LATITUDE, LONGITUDE, require
+from ..plans.session import cut
 from .graph import connected_components
 
 LABEL = "cluster_label"
@@ -28,8 +29,8 @@ def _columns_of(band: Column, degrees: float) -> Column:
     return F.when(top + degrees >= 89.9, 1).otherwise(F.greatest(F.lit(1), F.floor(360 / (F.degrees(reach) * 1.000001)))).cast("int")
 
 
-def eps_edges(points: DataFrame, eps_km: float) -> DataFrame:
-    """Pairs (sign, a, b) of points (id, sign, latitude, longitude) of one sign within eps of each other, and a = b.
+def _near(points: DataFrame, eps_km: float, ordered: Column) -> DataFrame:
+    """Pairs (l, r) of points of one sign within eps of each other, and in the given order.
 
     Points are dealt into buckets of the size of a neighbourhood; only points of touching buckets are compared.
     """
@@ -43,7 +44,32 @@ def eps_edges(points: DataFrame, eps_km: float) -> DataFrame:
     right = right.withColumn("col", F.explode(F.array_distinct(around)))
     near = haversine_km(F.col(f"l.{LATITUDE}"), F.col(f"l.{LONGITUDE}"), F.col(f"r.{LATITUDE}"), F.col(f"r.{LONGITUDE}")) <= eps_km
     keys = (F.col("l.sign") == F.col("r.sign")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.col") == F.col("r.col"))
-    return left.alias("l").join(right.alias("r"), keys & (F.col("l.id") <= F.col("r.id")) & (near | (F.col("l.id") == F.col("r.id")))).select(F.col("l.sign").alias("sign"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    return left.alias("l").join(right.alias("r"), keys & ordered & (near | (F.col("l.id") == F.col("r.id"))))
+
+
+def eps_edges(points: DataFrame, eps_km: float) -> DataFrame:
+    """Pairs (sign, a, b) of points (id, sign, latitude, longitude) of one sign within eps of each other, and a = b."""
+    return _near(points, eps_km, F.col("l.id") <= F.col("r.id")).select(F.col("l.sign").alias("sign"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+def links(points: DataFrame, eps_km: float) -> DataFrame:
+    """As many edges (sign, a, b) as give the same components, in proportion to the points however dense these are.
+
+    Points of a tile whose sides are half of eps are all within eps, by the way along a meridian and a parallel, and are
+    linked with the tile's first point. Of two tiles, one edge stands for all pairs of points within eps.
+    """
+    half = math.degrees(eps_km / RADIUS_EARTH_KM) / 2 * 0.999999
+    if half <= 0:
+        return eps_edges(points, eps_km)
+    row = F.floor(F.col(LATITUDE) / half).cast("long")
+    least = F.when(row >= 0, row * half).otherwise(-(row + 1) * half)  # of the latitudes without sign, where parallels are longest
+    columns = F.greatest(F.ceil(360 * F.cos(F.radians(F.least(least, F.lit(90.0)))) / half), F.lit(1))
+    column = F.floor(F.pmod(F.col(LONGITUDE), F.lit(360.0)) / (360 / columns)).cast("long")
+    tiled = points.withColumn("tile_row", row).withColumn("tile_column", column)
+    tiled = tiled.withColumn("first", F.min("id").over(Window.partitionBy("sign", "tile_row", "tile_column"))).drop("tile_row", "tile_column")
+    within = tiled.select("sign", F.col("first").alias("a"), F.col("id").alias("b"))
+    across = _near(tiled, eps_km, F.col("l.first") < F.col("r.first")).select(F.col("l.sign").alias("sign"), F.col("l.first").alias("a"), F.col("r.first").alias("b"))
+    return within.unionByName(across.distinct())
 
 
 def numbered(cells: DataFrame, lat_order: str = "desc") -> DataFrame:
@@ -63,10 +89,11 @@ def cluster_labels(cells: DataFrame, eps_km: float, alpha: float, lat_order: str
     """
     cells = cells if "id" in cells.columns else numbered(cells, lat_order)
     points = significant(cells, alpha).select("id", "sign", LATITUDE, LONGITUDE)
-    edges = eps_edges(points, eps_km).withColumnRenamed("sign", "part")
-    found = connected_components(edges)
-    number = F.dense_rank().over(Window.partitionBy("part").orderBy("component"))
-    labels = found.select("id", (F.col("part") * number).cast("smallint").alias(LABEL))
+    found = cut(connected_components(links(points, eps_km).withColumnRenamed("sign", "part")))
+    # numbers go to clusters, of which there are far fewer than cells
+    number = F.row_number().over(Window.partitionBy("part").orderBy("component"))
+    numbers = found.select("part", "component").distinct().withColumn("number", number)
+    labels = found.join(numbers, ["part", "component"]).select("id", (F.col("part") * F.col("number")).cast("smallint").alias(LABEL))
     out = cells.drop(LABEL).join(labels, "id", "left").withColumn(LABEL, F.coalesce(F.col(LABEL), F.lit(0)).cast("smallint"))
     return out.select(*[c for c in cells.columns if c not in (LABEL, "id")], LABEL)
 
@@ -88,12 +115,13 @@ def assert_clusters_present(cells: DataFrame) -> bool:
     """Warns if there is no cluster."""
     found = not cells.where(F.col(LABEL) != 0).isEmpty()
     if not found:
+        # fixed value: the text that callers know
         warnings.warn("No significant clusters found in the input DataFrame", stacklevel=2)
     return found
 
 
 def spherical_clusters(cells: DataFrame, eps_km: float, alpha: float, min_area_km2: float | None = None, lat_order: str = "desc") -> DataFrame:
     """Cell map (latitude, longitude, corr, p_val) with area and cluster_label."""
-    cells = numbered(add_gridcell_area(cells, lat_order), lat_order).persist()  # read for the points, their edges and the map
+    cells = cut(numbered(add_gridcell_area(cells, lat_order), lat_order))  # read for the points, their links and the map
     out = cluster_labels(cells, eps_km, alpha, lat_order)
     return out if min_area_km2 is None else remove_small_area_clusters(out, min_area_km2)

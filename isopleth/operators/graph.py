@@ -1,52 +1,48 @@
-"""Connected components of an edge list."""
+"""Connected components of an edge list, by rounds of joins: one way at every size."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import shared_dir, ship
+from ..plans.session import cut, drop, stored
 
-#: Edges up to which one task per part finds the components by union-find; beyond, joins do.
-UNION_FIND_EDGES = 2_000_000
 
+def components(links: DataFrame) -> DataFrame:
+    """id and the smallest id of its component, for all ids in the links (a, b) of different ids; ids of any ordered type.
 
-def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-        low, high = sorted((root(a), root(b)))
-        parent[high] = low
-    nodes = sorted(parent)
-    return pd.DataFrame({"part": pdf["part"].iloc[0], "id": nodes, "component": [root(x) for x in nodes]})
+    Each round every component so far goes to the smallest one that a link leads to, and pointers jump; the number of
+    rounds is about the logarithm of the longest path. Tables are written and read again each round: a checkpoint keeps
+    the size that the optimizer had guessed, and guesses of joins of joins grow without end.
+    """
+    spark = links.sparkSession
+    both, path = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    paths = [path]
+    label, path = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("label")), "labels")
+    paths.append(path)
+    after = lambda step: step.join(step.select(F.col("label").alias("up"), F.col("up").alias("next")), "up").select("label", F.col("next").alias("up"))
+    while True:
+        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
+        step = label.join(near, "id").groupBy("label").agg(F.min("near").alias("near")).select("label", F.least("label", "near").alias("up"))
+        step, path = stored(step, "steps")
+        paths.append(path)
+        if step.where("label <> up").isEmpty():
+            break
+        label, path = stored(label.join(after(after(step)), "label").select("id", F.col("up").alias("label")), "labels")
+        paths.append(path)
+    label = cut(label)
+    for path in paths:
+        drop(spark, path)
+    return label
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest id of each node's component: edges (part, a, b) to (part, id, component), parts apart from each other.
 
-    Small lists go through union-find, one task for each part; large ones through rounds of joins with pointer jumping,
-    checkpointed in the shared folder.
+    Edges of a node with itself make it known as a component of its own.
     """
-    spark = edges.sparkSession
-    ship(spark)
-    shared_dir(spark)
-    edges = edges.select(F.col("part").cast("int").alias("part"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).persist()
-    if edges.count() <= UNION_FIND_EDGES:
-        return edges.groupBy("part").applyInPandas(_union_find, "part int, id long, component long")
-    both = edges.unionByName(edges.select("part", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.groupBy("part", F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")).checkpoint()
-    while True:
-        near = both.join(label.withColumnRenamed("id", "b"), ["part", "b"]).groupBy("part", F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = label.join(near, ["part", "id"]).select("part", "id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        up = label.select("part", F.col("id").alias("component"), F.col("component").alias("up"))
-        step = step.join(up, ["part", "component"]).select("part", "id", "was", F.least("component", "up").alias("component")).checkpoint()
-        label = step.select("part", "id", "component")
-        if step.where("component <> was").isEmpty():
-            return label
+    node = lambda c: F.struct(F.col("part").cast("int").alias("part"), F.col(c).cast("long").alias("id")).alias(c)
+    found = components(edges.select(node("a"), node("b"))).select("id.part", "id.id", F.col("label.id").alias("component"))
+    alone = edges.where("a = b").select(F.col("part").cast("int").alias("part"), F.col("a").cast("long").alias("id")).distinct()
+    alone = alone.join(found, ["part", "id"], "left_anti").withColumn("component", F.col("id"))
+    return found.unionByName(alone)

@@ -16,6 +16,7 @@ TIMESCALES = ("monthly", "weekly", "daily")
 def check_temporal_resolution(timescale: str) -> str:
     """The timescale itself; ValueError if it is none of the three."""
     if timescale not in TIMESCALES:
+        # fixed values, here and below: messages that callers know
         raise ValueError("Given temporal resolution is not supported. Please choose from 'monthly', 'weekly', 'daily'.")
     return timescale
 

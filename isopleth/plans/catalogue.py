@@ -6,7 +6,7 @@ Doubles are rounded on both sides, as sums come in different orders. The oracles
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from ..operators import alignment, cluster, rgdr, timeseries
 from ..operators import calendar as cal
 from ..operators.preprocess import Preprocessor
 from ..sources import tables
-from .session import ship
+from .session import cut, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -306,7 +306,7 @@ def _clusters(spark, sf_dir, area=None) -> DataFrame:
 
 @query(_CLUSTERS + "SELECT sign::int AS sign, a::bigint AS a, b::bigint AS b FROM e0")
 def eps_edges(spark, sf_dir):
-    cells = _model(MANY).get_correlation(*_inputs(spark, sf_dir)).persist()
+    cells = cut(_model(MANY).get_correlation(*_inputs(spark, sf_dir)))
     return cluster.eps_edges(cluster.significant(cluster.numbered(cells), ALPHA).select("id", "sign", LATITUDE, LONGITUDE), EPS).select("sign", "a", "b")
 
 
@@ -364,9 +364,16 @@ def _weighted_query(method: str):
 for _method in METHODS:
     _weighted_query(_method)
 
+
+@query("SELECT l_suppkey, round(sum(v * n * (greatest((n - 1) * 0.3 / n, least(((n - 1) * 0.3 + 1) / n, c / a)) - greatest((n - 1) * 0.3 / n, least(((n - 1) * 0.3 + 1) / n, (c - w) / a)))), 3) AS value FROM (SELECT l_suppkey, l_extendedprice AS v, l_quantity AS w, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING) AS c, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS a, pow(sum(l_quantity) OVER (PARTITION BY l_suppkey), 2) / sum(l_quantity * l_quantity) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) GROUP BY ALL", value=3)
+def weighted_quantile(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("w"))
+    return rgdr.weighted_groupby(rows, "l_suppkey", "w", "quantile", q=0.3)
+
 # alignment
 
-_CUBE = "SELECT * FROM (VALUES " + ", ".join(f"({s}, {y}::double, {x}::double, {v})" for s, y, x, v in tables.label_rows() if v) + ") t(split, latitude, longitude, label)"
+_MEANS = "SELECT (l_orderkey % 4)::int AS split, l_partkey % 65 AS cell, avg(l_quantity) AS mean FROM lineitem GROUP BY ALL"
+_CUBE = f"SELECT * FROM (SELECT split, (47.5 - 5 * (cell // 13))::double AS latitude, (177.5 + 5 * (cell % 13))::double AS longitude, ((CASE WHEN mean > 25.8 THEN 1 WHEN mean < 25.2 THEN -1 ELSE 0 END) * ((cell % 13) // 5 + 1))::int AS label FROM ({_MEANS})) WHERE label <> 0"
 A = {
     "lab": _CUBE,
     "size": "SELECT split, label, count(*) AS n FROM lab GROUP BY ALL",
@@ -390,11 +397,11 @@ def _aligned(last: str, columns: str) -> str:
 
 @query(_aligned("tab", "split_a, label_a, split_b, label_b, round(overlap, 9) AS overlap"), overlap=9)
 def overlap_table(spark, sf_dir):
-    return alignment.overlap_table(tables.label_cube(spark))
+    return alignment.overlap_table(tables.label_cube(spark, sf_dir))
 
 
-def _sets(spark) -> DataFrame:
-    return alignment.overlapping_clusters(tables.label_cube(spark))
+def _sets(spark, sf_dir) -> DataFrame:
+    return alignment.overlapping_clusters(tables.label_cube(spark, sf_dir))
 
 
 def _text():
@@ -406,47 +413,121 @@ _JOINED = "array_to_string(members, ' ') AS members"
 
 @query(_aligned("sets", _JOINED))
 def overlap_sets(spark, sf_dir):
-    return _sets(spark).select(_text())
+    return _sets(spark, sf_dir).select(_text())
 
 
 @query(_aligned("maxi", _JOINED))
 def maximal_sets(spark, sf_dir):
-    return alignment.remove_subsets(_sets(spark)).select(_text())
+    return alignment.remove_subsets(_sets(spark, sf_dir)).select(_text())
 
 
-def _disjoint(spark) -> DataFrame:
-    return alignment.remove_overlapping(alignment.remove_subsets(_sets(spark)))
+def _disjoint(spark, sf_dir) -> DataFrame:
+    return alignment.remove_overlapping(alignment.remove_subsets(_sets(spark, sf_dir)))
 
 
 @query(_aligned("disj", _JOINED))
 def disjoint_sets(spark, sf_dir):
-    return _disjoint(spark).select(_text())
+    return _disjoint(spark, sf_dir).select(_text())
 
 
 @query(_aligned("named", "name, " + _JOINED))
 def named_sets(spark, sf_dir):
-    return alignment.name_clusters(_disjoint(spark)).select("name", _text())
+    return alignment.name_clusters(_disjoint(spark, sf_dir)).select("name", _text())
 
 
 @query(_aligned("ren", "split, label, name, pos"))
 def renaming(spark, sf_dir):
-    return alignment.renaming(alignment.name_clusters(_disjoint(spark))).select("split", "label", "name", "pos")
+    return alignment.renaming(alignment.name_clusters(_disjoint(spark, sf_dir))).select("split", "label", "name", "pos")
 
 
 @query(_aligned("uni", "split, label, name, pos"))
 def unique_names(spark, sf_dir):
-    return alignment.aligned_names(tables.label_cube(spark)).select("split", "label", "name", "pos")
+    return alignment.aligned_names(tables.label_cube(spark, sf_dir)).select("split", "label", "name", "pos")
 
 
 @query(_aligned("uni", "u.name AS cluster_label, u.split, count(*)::bigint AS cells, round(avg(l.latitude), 6) AS latitude, round(avg(l.longitude), 6) AS longitude").replace("FROM uni", "FROM uni u JOIN lab l ON u.split = l.split AND u.label = l.label GROUP BY ALL"), latitude=6, longitude=6)
 def aligned_reduced(spark, sf_dir):
     """Cluster centres of all splits under their common names."""
-    cube = tables.label_cube(spark).where("cluster_label <> 0")
+    cube = tables.label_cube(spark, sf_dir).where("cluster_label <> 0")
     names = alignment.aligned_names(cube).select("split", F.col("label").alias("cluster_label"), "name")
     rows = cube.join(names, ["split", "cluster_label"])
     return rows.groupBy(F.col("name").alias("cluster_label"), "split").agg(F.count("*").alias("cells"), F.avg(LATITUDE).alias(LATITUDE), F.avg(LONGITUDE).alias(LONGITUDE))
 
 
+class _Split:
+    """A model whose cluster map is one split of the cube."""
+
+    def __init__(self, cube: DataFrame, split: int):
+        self.cluster_map = cube.where(F.col("split") == split).drop("split")
+
+
+@query(_aligned("uni", "u.split, u.name AS cluster_label, count(*)::bigint AS cells FROM uni u JOIN lab l ON u.split = l.split AND u.label = l.label GROUP BY ALL").removesuffix(" FROM uni"))
+def renamed_labels(spark, sf_dir):
+    """Reduced tables of all splits (cells of a cluster), renamed by `rename_labels`."""
+    cube = cut(tables.label_cube(spark, sf_dir))
+    models = [_Split(cube, i) for i in range(4)]
+    reduced = [m.cluster_map.where("cluster_label <> 0").groupBy(F.col("cluster_label").cast("smallint").alias("cluster_label")).agg(F.count("*").alias("cells")) for m in models]
+    named = [df.select(F.lit(i).alias("split"), "cluster_label", "cells") for i, df in enumerate(alignment.rename_labels(models, reduced))]
+    return reduce(DataFrame.unionByName, named)
+
+
+@query()
+def aligned_splits(spark, sf_dir):
+    """Clusters of a model fitted on the training years of each of three splits, under common names."""
+    precursor, target = (cut(df) for df in _inputs(spark, sf_dir))
+    models, reduced = [], []
+    for x_train, _, y_train, _ in cal.Splitter.kfold(3).split(precursor, target):
+        models.append(_model(MANY).fit(x_train, y_train))
+        reduced.append(models[-1].transform(precursor))
+    return reduce(DataFrame.unionByName, [df.select(F.lit(i).alias("split"), *df.columns) for i, df in enumerate(alignment.rename_labels(models, reduced))])
+
+
+# what a model and a preprocessor show
+
+
+@query(_with("monthly", t=_trend("monthly")) + _out("latitude longitude value_slope value_intercept", _SLOPE, "t"), **_SLOPE)
+def trend_by_name(spark, sf_dir):
+    return timeseries.get_trend(tables.field_monthly(spark, sf_dir), "linear")
+
+
+@query(_with("monthly", t=_trend("monthly"), d=_detrended("monthly", "t")) + _out(_FIELD, _V, "d"), **_V)
+def trend_subtracted(spark, sf_dir):
+    data = tables.field_monthly(spark, sf_dir)
+    return timeseries.subtract_trend(data, "linear", timeseries.get_trend(data, "linear"))
+
+
+@query(_with("monthly", r=_SMOOTH, c=_clim("r", "monthly")) + _out("period latitude longitude value", _V, "c"), **_V)
+def preprocess_climatology(spark, sf_dir):
+    """The climatology property of a fit with smoothing."""
+    return Preprocessor(3, "monthly").fit(tables.field_monthly(spark, sf_dir)).climatology
+
+
+@query(_CLUSTERS + "SELECT latitude, longitude, cluster_label FROM c")
+def cluster_preview(spark, sf_dir):
+    return _model(MANY).preview_clusters(*_inputs(spark, sf_dir))
+
+
+@query(_CLUSTERS + _out(_MAP + " cluster_label", _R, "c"), **_R)
+def fitted_maps(spark, sf_dir):
+    """The three maps of a fitted model, side by side."""
+    model = _model(MANY).fit(*_inputs(spark, sf_dir))
+    cells = [LATITUDE, LONGITUDE]
+    return model.corr_map.join(model.pval_map, cells).join(model.cluster_map, cells)
+
+
+@query(_CLUSTERS + "SELECT coalesce(bool_or(cluster_label <> 0), false) AS found FROM c")
+def clusters_present(spark, sf_dir):
+    return spark.createDataFrame([(cluster.assert_clusters_present(_clusters(spark, sf_dir)),)], "found boolean")
+
+
+@query("SELECT '1 2 3 4' AS target_intervals, '-4 -3 -2 -1' AS precursor_intervals, " + f"'RGDR(' || chr(10) || '    target_intervals=[1, 2, 3, 4],' || chr(10) || '    lag=4,' || chr(10) || '    eps_km={EPS},' || chr(10) || '    alpha={ALPHA},' || chr(10) || '    min_area_km2=None' || chr(10) || ')' AS shown")
+def model_settings(spark, sf_dir):
+    """The intervals of a model and its printed form; of no table."""
+    model = _model(MANY)
+    text = lambda some: " ".join(map(str, some))
+    return spark.createDataFrame([(text(model.target_intervals), text(model.precursor_intervals), repr(model))], "target_intervals string, precursor_intervals string, shown string")
+
+
 # calendar
 
 
@@ -476,6 +557,28 @@ def train_test_rows(spark, sf_dir):
     data = tables.target(spark, sf_dir)
     return cal.split_rows(data, cal.kfold_splits(data, 3)).select("split", ANCHOR_YEAR, INTERVAL, "is_train", "value")
 
+
+@query(f'SELECT anchor_year, i_interval, "left"::varchar AS "left", "right"::varchar AS "right", is_target FROM ({_SPELLED})'.replace("range(1, 5) b(i))", "range(1, 9) b(i))"))
+def calendar_monthly(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return cal.monthly_calendar("08-01", "1M", 4).map_years(1995, 2000).intervals(spark).select(ANCHOR_YEAR, INTERVAL, text("left"), text("right"), "is_target")
+
+
+@query("SELECT y::int AS anchor_year, i::int AS i_interval FROM (SELECT min(l_shipdate)::date AS low, max(l_shipdate)::date + 1 AS high FROM lineitem) s, range(1980, 2040) a(y), range(-4, 5) b(i) WHERE i <> 0 AND make_date(y, 4, 1) >= low AND make_date(y, 12, 1) <= high")
+def calendar_of_data(spark, sf_dir):
+    """The intervals of the years that the data span, as shown."""
+    days = tables.field_daily(spark, sf_dir)
+    return _calendar().map_to_data(days).show(spark).select(ANCHOR_YEAR, INTERVAL)
+
+
+@query(_with("target", s="SELECT f::int AS split, y::int AS anchor_year, NOT ((y - 1995) >= f * 6 // 3 AND (y - 1995) < (f + 1) * 6 // 3) AS is_train FROM range(3) a(f), range(1995, 2001) b(y)") + "SELECT split, is_train, count(*)::bigint AS n, round(avg(value), 6) AS value FROM target JOIN s USING (anchor_year) GROUP BY ALL", **_V)
+def splitter_means(spark, sf_dir):
+    """Rows and means of both parts of each split."""
+    data = tables.target(spark, sf_dir)
+    each = [part.select(F.lit(i).alias("split"), F.lit(j == 0).alias("is_train"), "value") for i, pair in enumerate(cal.Splitter.kfold(3).split(data)) for j, part in enumerate(pair)]
+    return reduce(DataFrame.unionByName, each).groupBy("split", "is_train").agg(F.count("*").alias("n"), F.avg("value").alias("value"))
+
+
 # the monthly queries over all rows, without a choice of years
 
 for _name in "clim_monthly anomaly_monthly trend_linear detrend_linear preprocess_full preprocess_no_clim preprocess_no_detrend preprocess_trend".split():

@@ -73,21 +73,15 @@ def event_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(day.alias(TIME), "event_type").agg(F.avg("value").alias("value"))
 
 
-# fixed values: labelled cells of four splits of a 5 x 13 grid, as (split, label, row, first column, last column)
-LABELLED = (
-    (0, -1, 0, 4, 7), (0, -2, 2, 10, 10), (0, -2, 3, 8, 10), (0, -2, 4, 7, 9), (0, -3, 4, 0, 3),
-    (1, 1, 1, 1, 1), (1, 1, 2, 0, 0), (1, -1, 3, 9, 9), (1, -1, 4, 6, 9),
-    (2, -1, 0, 5, 6), (2, -2, 1, 10, 11), (2, 1, 2, 0, 1), (2, -2, 2, 9, 11), (2, -2, 3, 8, 10), (2, -3, 4, 0, 0), (2, -4, 4, 6, 6), (2, -2, 4, 8, 9), (2, -2, 4, 11, 11),
-    (3, -1, 0, 4, 5), (3, 1, 1, 1, 1), (3, 1, 2, 0, 0), (3, -2, 3, 9, 9), (3, -2, 4, 5, 10),
-)
+def label_cube(spark: SparkSession, sf_dir: str, cells: int = CELLS) -> DataFrame:
+    """split, latitude, longitude, cluster_label: regions of high (1, 2, ...) and low (-1, -2, ...) mean quantity.
 
-
-def label_rows() -> list[tuple[int, float, float, int]]:
-    """All cells of the cube, label 0 where none is given."""
-    given = {(s, row, col): label for s, label, row, first, last in LABELLED for col in range(first, last + 1)}
-    return [(s, 47.5 - 5 * y, 177.5 + 5 * x, given.get((s, y, x), 0)) for s in range(4) for y in range(5) for x in range(ROW)]
-
-
-def label_cube(spark: SparkSession) -> DataFrame:
-    """split, latitude, longitude, cluster_label."""
-    return spark.createDataFrame(label_rows(), "split int, latitude double, longitude double, cluster_label int")
+    Orders are dealt into four splits by their key; a cell's label in a split is 0 if its mean is within 0.3 of 25.5,
+    else its sign times the number of its five columns.
+    """
+    cell = F.pmod(F.col("l_partkey"), F.lit(cells))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_orderkey", F.lit(4)).cast("int").alias("split"), cell.alias("cell")).agg(F.avg("l_quantity").alias("mean"))
+    sign = F.when(F.col("mean") > 25.8, 1).when(F.col("mean") < 25.2, -1).otherwise(0)
+    column = F.pmod("cell", F.lit(ROW))
+    label = (sign * (F.floor(column / 5) + 1)).cast("int")
+    return rows.select("split", (47.5 - 5 * F.floor(F.col("cell") / ROW)).cast("double").alias(LATITUDE), (177.5 + 5 * column).cast("double").alias(LONGITUDE), label.alias("cluster_label"))

@@ -85,7 +85,7 @@ def test_clusters_by_sign_and_first_cell(spark):
     assert labels(cluster.spherical_clusters(cells, 1, 0.05))[0] == [1, 0, 2, 3]
     area = {r["cluster_label"]: r["area"] for r in cluster.cluster_area(out).collect()}
     kept = cluster.remove_small_area_clusters(out, area[1])
-    assert labels(kept) == [[0, 0, 0, 0], [0, 0, 0, -1], [0, 0, -1, -1]] if area[2] <= area[1] else labels(kept)
+    assert labels(kept) == [[x if area[x] > area[1] else 0 for x in row] for row in labels(out)] and 1 not in sum(labels(kept), [])
     with pytest.warns(UserWarning, match="No significant clusters"):
         cluster.assert_clusters_present(cluster.spherical_clusters(cells, 600, 1e-9))
     with warnings.catch_warnings():
@@ -110,14 +110,44 @@ def test_neighbourhoods_against_all_pairs(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_components_both_ways(spark, monkeypatch):
+def test_components_against_union_find(spark):
     rng = np.random.default_rng(2)
     edges = [(int(p), int(a), int(b)) for p, a, b in zip(rng.integers(0, 2, 120), rng.integers(0, 90, 120), rng.integers(0, 90, 120))]
-    edges += [(5, i, i + 1) for i in range(30)]
-    df = spark.createDataFrame(edges, "part int, a long, b long")
-    one = sorted(graph.connected_components(df).collect())
-    monkeypatch.setattr(graph, "UNION_FIND_EDGES", 0)
-    assert sorted(tuple(r) for r in graph.connected_components(df).select("part", "id", "component").collect()) == [tuple(r) for r in one]
+    edges += [(5, i, i + 1) for i in range(30)] + [(6, 4, 4)]
+    parent = {(p, x): (p, x) for p, a, b in edges for x in (a, b)}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for p, a, b in edges:
+        low, high = sorted((root((p, a)), root((p, b))))
+        parent[high] = low
+    got = sorted(tuple(r) for r in graph.connected_components(spark.createDataFrame(edges, "part int, a long, b long")).select("part", "id", "component").collect())
+    assert got == sorted((p, x, root((p, x))[1]) for p, x in parent)
+
+
+def test_links_give_the_components_of_all_edges(spark):
+    rng = np.random.default_rng(5)
+    lat, lon = np.concatenate([rng.uniform(-90, 90, 150), rng.uniform(40, 45, 250), rng.uniform(88, 90, 40)]), rng.uniform(-180, 360, 440)
+    lon[150:400] = rng.uniform(-3, 3, 250)
+    points = spark.createDataFrame([(i, int(rng.choice([-1, 1])), float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))], "id long, sign int, latitude double, longitude double")
+    for eps in (40, 300, 2500):
+        both = [f(points, eps).withColumnRenamed("sign", "part") for f in (cluster.links, cluster.eps_edges)]
+        few, many = ({tuple(r) for r in graph.connected_components(e).select("part", "id", "component").collect()} for e in both)
+        assert few == many and len(few) == 440
+        if eps == 300:
+            assert both[0].count() < both[1].count() / 5
+
+
+def test_weighted_quantile_of_counts(spark):
+    """Equal weights give the usual interpolated quantile, and a value without weight does not count."""
+    values = [3.0, 1.0, 10.0, 4.0, 7.0]
+    df = spark.createDataFrame([("a", v, 2.0) for v in values] + [("a", 99.0, 0.0), ("b", None, 1.0)], "g string, v double, w double")
+    for q in (0.0, 0.3, 0.5, 1.0):
+        got = {r["g"]: r["v"] for r in rgdr.weighted_groupby(df, "g", "w", "quantile", q).collect()}
+        assert got["a"] == pytest.approx(np.quantile(values, q)) and got["b"] is None
 
 
 def test_weighted_reductions(spark):
