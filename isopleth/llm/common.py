@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import shared_dir, ship
+from ..plans.session import cut, drop, scratch, shared_dir, ship, stored  # noqa: F401
 
 #: Bytes of text that are processed together in a Python worker; a longer text is a slab of its own.
 SLAB_BYTES = 1 << 19
@@ -57,12 +56,6 @@ def give_back() -> None:
         trim(0)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the shared folder, so that a lost executor costs only its own tasks."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of tables that nothing refers to any more.
 
@@ -72,24 +65,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write a table to the shared folder and read it: like `cut`, but compressed by columns, and to be dropped."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a stored table."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

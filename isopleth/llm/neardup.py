@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import common
 
 #: Bits of a tree's bitmaps, at most.
@@ -53,8 +54,8 @@ FANOUT = 8
 TILE, TILE_SHINGLES = 8192, 1 << 22
 #: Members of a large family that are in all of its trees, about.
 LANDMARKS = 64
-#: Ids up to which a list of documents is broadcast (16 MB); beyond, the join is a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Rows up to which a list of documents, with their trees, is broadcast (about 60 MB); beyond, the join is a shuffle.
+BROADCAST_IDS = 500_000
 _BAND = 1.5
 #: Classes and members that a task remembers so as not to give them twice; equal rows beyond are dropped later.
 _SEEN = 100_000
@@ -208,36 +209,6 @@ def _stars(batches):
         key, first, last = k[-1], heads[-1], ids[-1]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id and the smallest id of its component, for all ids in the links (a, b).
-
-    Each round every component so far goes to the smallest one that a link leads to, and pointers jump; the number of
-    rounds is about the logarithm of the longest path. Tables are written and read again each round: a checkpoint keeps
-    the size that the optimizer had guessed, and guesses of joins of joins grow without end.
-    """
-    spark, jumps = links.sparkSession, 3
-    both, both_path = common.stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    label, path = common.stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("label")), "labels")
-    paths = [both_path, path]
-    while True:
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
-        step = label.join(near, "id").groupBy("label").agg(F.min("near").alias("near")).select("label", F.least("label", "near").alias("up"))
-        step, path = common.stored(step, "steps")
-        paths.append(path)
-        if step.where("label <> up").isEmpty():
-            break
-        for _ in range(jumps):
-            on = step.select(F.col("label").alias("up"), F.col("up").alias("next"))
-            step, path = common.stored(step.join(on, "up").select("label", F.col("next").alias("up")), "steps")
-            paths.append(path)
-        label, path = common.stored(label.join(step, "label").select("id", F.col("up").alias("label")), "labels")
-        paths.append(path)
-    label = common.cut(label)
-    for path in paths:
-        common.drop(spark, path)
-    return label
-
-
 # the signature tree
 
 

@@ -380,7 +380,8 @@ def _settled(entities: DataFrame, again, real: DataFrame) -> DataFrame:
 
     again: the surrogate's name, as an expression of the columns and `tries`.
     """
-    rows = common.cut(entities.withColumn("tries", F.lit(0)).withColumn("s", again))
+    # written and read again each time: a checkpoint keeps the optimizer's guess of its size, which grows with each join
+    rows, path = common.stored(entities.withColumn("tries", F.lit(0)).withColumn("s", again), "entities")
     key = F.struct("name", "g")
     for _ in range(TRIES):
         keeper = rows.groupBy("kind", "s").agg(F.count("*").alias("n"), F.min(key).alias("keeper")).where("n > 1").drop("n")
@@ -391,7 +392,9 @@ def _settled(entities: DataFrame, again, real: DataFrame) -> DataFrame:
             return rows.drop("s")
         same = (rows["kind"] == lost["kind"]) & rows["g"].eqNullSafe(lost["g"]) & (rows["name"] == lost["name"])
         rows = rows.join(lost, same, "left").select(*[rows[c] for c in rows.columns if c not in ("tries", "s")], (rows["tries"] + F.when(F.col("lost"), 1).otherwise(0)).alias("tries"), F.col("s").alias("was"), "lost")
-        rows = common.cut(rows.withColumn("s", F.when(F.col("lost"), again).otherwise(F.col("was"))).drop("lost", "was"))
+        before = path
+        rows, path = common.stored(rows.withColumn("s", F.when(F.col("lost"), again).otherwise(F.col("was"))).drop("lost", "was"), "entities")
+        common.drop(entities.sparkSession, before)
     raise ValueError("surrogates still collide")
 
 

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from isopleth.llm import ann, chat, fm, mixing, neardup, rules, scorers
+from isopleth.llm import ann, bpe, chat, fm, mixing, neardup, rules, scorers
 from isopleth.llm.registry import ORACLE_SQL, QUERIES
 
 
@@ -468,6 +468,8 @@ def test_pipeline(spark, small, tmp_path):
     times = collections.Counter(r[0] for r in mix.select("doc_id").collect())
     assert times == {i: n for i, n in taken.items() if n}
     assert ids.count() == mix.count() and ids.where("n_tokens <> size(ids)").count() == 0
+    wanted = {tuple(r) for r in bpe.round_trip(mix).select("doc_id", "n_tokens", "decoded_sha256").collect()}
+    assert {tuple(r) for r in ids.select("doc_id", "n_tokens", "decoded_sha256").collect()} == wanted
     assert corpus_pipeline.run(spark, sf_dir).count() == ids.count()
 
 
@@ -497,6 +499,27 @@ def test_duplicates_are_decided_by_id_and_text(spark):
     assert kept == collections.Counter([(5, one), (3, other + " end"), (9, None), (9, ""), (None, one), (8, "c"), (8, "d")])
 
 
+@pytest.mark.parametrize("which", ["quality", "toxic"])
+def test_scores_against_all_pairs_of_features(spark, small, which):
+    """The plain definition: every pair of a text's features, one by one, without the identity."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    features, lower = (scorers.quality_features, False) if which == "quality" else (scorers.toxic_features, True)
+    model = scorers.train_quality(docs, labels) if which == "quality" else scorers.train(docs, labels, "toxic", 5, 0, features, True)
+    machine, weight = model
+    got = dict(scorers.score(docs, model, features, lower).collect())
+    some = sorted(docs.select("doc_id", "text", "n_chars").collect(), key=lambda r: len(r["text"] or ""))[:40]
+    for r in some:
+        data = (r["text"] or "").lower().encode() if lower else (r["text"] or "").encode()
+        index, _ = features(np.frombuffer(data, np.uint8), np.array([0, len(data)]), np.array([float(r["n_chars"] or 0)]))
+        used = [(i, weight[i]) for i in index if weight[i]]
+        logit = machine.bias + sum(machine.linear[i] * x for i, x in used)
+        for a, (i, x) in enumerate(used):
+            for j, y in used[:a]:
+                logit += float(machine.factors[i] @ machine.factors[j]) * x * y
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(logit, -60, 60))), abs=1e-9)
+    assert (weight > 0).sum() > 5 and np.abs(machine.factors).max() > 0
+
+
 def test_repeated_labelled_documents_and_clashing_columns(spark):
     """A labelled id with a third of all rows trains once; columns named as the operator's own change nothing."""
     rng = np.random.default_rng(0)
