@@ -7,12 +7,10 @@ against brute force on small tables.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from isopleth.llm import stages
-from isopleth.plans.session import shared_dir
+from isopleth.plans.session import drop, scratch
 
 STAGES = [
     ("quality classifier", stages.quality),
@@ -25,10 +23,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table `documents`; what a stage returns is kept in the shared folder."""
+    """All stages over the table `documents`; what a stage returns is kept in the shared folder until the next is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    top = scratch(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{number}")
         docs = spark.read.parquet(f"{top}/{number}")
+        if number:
+            drop(spark, f"{top}/{number - 1}")
     return docs
