@@ -170,8 +170,8 @@ class Encoder:
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        whole = tokenizers.Tokenizer.from_file(path)
-        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
+        bare = tokenizers.Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normalizer, self.pre_tokenizer = bare.normalizer, bare.pre_tokenizer
         self.byte = {c: b for b, c in enumerate(chars)}
         size = max([*vocab.values(), *special.values()]) + 1
         strings = [""] * size
