@@ -1,15 +1,15 @@
 """Operator 9: approximate nearest neighbours by cosine, with an inverted file and product-quantised residuals.
 
-Fit, on a bounded hash-ordered sample (`SAMPLE`): coarse centroids by k-means on unit vectors, twice the square root of
-the number of rows, and for each of the `PARTS` sub-vectors of the residuals a codebook of up to 256 words. Index, every
+Fit, on a bounded hash-ordered sample (`SAMPLE`): coarse centroids by k-means on unit vectors, the square root of the
+number of rows, and for each of the `PARTS` sub-vectors of the residuals a codebook of up to 256 words. Index, every
 row: the nearest centroid's cell and one byte for each part. Search: a query probes so many of the cells nearest to it
 as the sample's true neighbours call for (few where vectors form groups, many where they don't: of random directions in
 64 dimensions, about four tenths); in each it builds its asymmetric distance table, ranks the cell's rows by the sum of
-table entries, and the best `RERANK` of each block are scored exactly, in double precision on the original vectors. A
+table entries, and the best of each block (`RERANK` of a full one, `LEAST_RERANKED` at least) are scored exactly, in double precision on the original vectors. A
 query that finds fewer than k this way, though there are more, is searched again in all cells.
 
 Scale and skew. Only centroids, codebooks and the number of rows of each cell are on the driver. (A quarter of the sample
-is the most centroids; from 6 million rows on cells grow instead.) Cells with more than `BLOCK` rows are cut into blocks
+is the most centroids; from 25 million rows on cells grow instead.) Cells with more than `BLOCK` rows are cut into blocks
 by a hash of the vector, so that a crowded cell is searched by many tasks. Vectors that occur many times stand for one
 entry with their `k + 1` smallest ids, reduced within each batch, then over batches in two steps, before cells are cut;
 equal query vectors are searched once: a vector with a third of all rows costs no more than another, and ties go to the
@@ -35,7 +35,7 @@ from . import common
 SAMPLE = 20_000
 PARTS, WORDS = 16, 256
 #: Rows of a block of a cell, and candidates of a block that are scored exactly for each query.
-BLOCK, RERANK = 4096, 64
+BLOCK, RERANK, LEAST_RERANKED = 4096, 64, 16
 #: Share of the sample's true neighbours that must be in the probed cells, and queries of the sample used for that.
 COVERED, CALIBRATING = 0.97, 512
 #: First steps of the reduction of a vector that many batches have.
@@ -69,7 +69,7 @@ class Index:
 
     def __init__(self, sample: np.ndarray, rows: int):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.centroids = kmeans(unit, int(np.clip(2 * np.sqrt(rows), 1, max(1, len(unit) // 4))))
+        self.centroids = kmeans(unit, int(np.clip(np.sqrt(rows), 1, max(1, len(unit) // 4))))
         residual = unit - self.centroids[nearest(unit, self.centroids)]
         self.edges = np.linspace(0, unit.shape[1], min(PARTS, unit.shape[1]) + 1).astype(int)
         self.books = [kmeans(residual[:, a:b], min(WORDS, len(unit)), rounds=5) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
@@ -215,13 +215,14 @@ def _searching(index: Index, k: int):
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         smallest = np.array([min(x) for x in ids])
         hashes, wanted = queries["hash"].to_numpy(), _matrix(queries["v"])
+        some_best = max(LEAST_RERANKED, k + 1, -(-RERANK * len(ids) // BLOCK))
         out = []
         for at in range(0, len(wanted), 64):
             some = wanted[at : at + 64]
             far = index.distances(some, cell, codes)
             own = np.sqrt(np.einsum("ij,ij->i", some, some))
             for i, q in enumerate(some):
-                best = np.arange(len(ids)) if len(ids) <= RERANK else np.argpartition(far[i], RERANK - 1)[:RERANK]
+                best = np.arange(len(ids)) if len(ids) <= some_best else np.argpartition(far[i], some_best - 1)[:some_best]
                 score = np.einsum("ij,j->i", vectors[best], q) / (norms[best] * own[i])
                 for j in np.lexsort((smallest[best], -score))[: k + 1]:
                     out += [(hashes[at + i], x, score[j]) for x in ids[best[j]]]

@@ -32,7 +32,7 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A text passes if low <= value <= high; the value is SQL over the counts of `counted`."""
+    """A text passes if low <= value <= high; the value is one count of `counted` over another, written `a / b`."""
 
     name: str
     value: str

@@ -390,7 +390,7 @@ def test_many_cells_and_few_probes():
     centre = rng.normal(size=(400, 64)) * 2
     x = centre[rng.integers(0, 400, 6000)] + rng.normal(size=(6000, 64))
     index = ann.Index(x, 10**6)
-    assert len(index.centroids) == 1500 and index.enough_probes(x, 5) < 150
+    assert len(index.centroids) == 1000 and index.enough_probes(x, 5) < 100
 
 
 def test_few_found_are_searched_in_all_cells(spark, monkeypatch):
