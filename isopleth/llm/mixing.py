@@ -11,7 +11,9 @@ is a direction that changes neither total, and a step along it decides at least
 order of size, so that what stays undecided at last is small. The flight runs within blocks of a source's documents;
 what each block leaves, a few documents, goes through the next round of blocks, until a source has one block. There some
 documents of all sizes wait while the others fly. The landing decides them and the last two: of `DRAWS` draws by their
-inclusion probabilities it takes the one with the smallest error in words.
+inclusion probabilities it takes the one with the smallest error in words; if that is more than `TOLERANCE` words, as
+where a very long document with a small chance is left over, it also looks at even draws, and gives up the chances of
+these few documents for the target.
 
 Repeated rows (equal in id, source and text) are one unit of the sample: of c such rows with a chance p each, the whole
 part of c p is taken for certain, and the rest is one document's chance. A row with a third of all copies is so counted
@@ -42,8 +44,8 @@ MOST = 3
 BLOCK = 4096
 #: Documents of a source's last block that wait for the landing, besides the two of the flight; other blocks leave half.
 LANDING = 24
-#: Draws of the landing.
-DRAWS = 1024
+#: Draws of the landing, and the error in words from which it draws without regard to the chances.
+DRAWS, TOLERANCE = 1024, 64
 #: Sources up to which their table is broadcast; beyond, the joins are shuffles.
 BROADCAST_SOURCES = 100_000
 
@@ -109,10 +111,14 @@ def landing(size: np.ndarray, chance: np.ndarray, seed: int = 0) -> np.ndarray:
     out = chance.copy()
     left = np.flatnonzero((out > 0) & (out < 1))
     if len(left):
-        options = np.random.default_rng(seed).random((DRAWS, len(left))) < out[left]
-        words = np.abs(options @ size[left] - (size[left] * out[left]).sum())
-        docs = np.abs(options.sum(1) - out[left].sum())
-        out[left] = options[np.lexsort((docs, words))[0]]
+        rng = np.random.default_rng(seed)
+        draws = rng.random((DRAWS, len(left)))
+        words, docs = (size[left] * out[left]).sum(), out[left].sum()
+        error = lambda options: np.abs(options @ size[left] - words)
+        options = draws < out[left]
+        if error(options).min() > TOLERANCE:
+            options = np.concatenate([options, draws < 0.5, rng.random((8 * DRAWS, len(left))) < np.linspace(0.02, 0.5, 8 * DRAWS)[:, None]])
+        out[left] = options[np.lexsort((np.abs(options.sum(1) - docs), error(options)))[0]]
     return out
 
 
