@@ -33,7 +33,7 @@ from . import common
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Words and pre-tokens that a worker remembers, at most, and their longest length in bytes.
-REMEMBERED, REMEMBERED_BYTES = 120_000, 48
+REMEMBERED, REMEMBERED_BYTES = 80_000, 48
 
 _PLAIN = re.compile("[\\x21-\\x7e¡-¬®-ĮıĲ-ňŊ-ž‐-―‘-„†-•…€]*")
 #: The file's pattern for plain words; digits and number signs stand alone.
@@ -307,6 +307,24 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str | None
     return df.select(kept).mapInArrow(common.tidy(run), schema)
 
 
+def coded(df: DataFrame, text: str = "text", ids: str = "ids", digest: str = "decoded_sha256", path: str | None = None) -> DataFrame:
+    """Replaces the text by its ids and a digest of the text that these decode to: `encode` and `decode` in one worker."""
+    kept = [c for c in df.columns if c not in (text, ids, digest)]
+    schema = df.select(kept).schema.add(ids, T.ArrayType(T.IntegerType())).add(digest, "string")
+
+    def run(batches):
+        e = encoder(path)
+        for batch in batches:
+            found = [e.encode(x) for x in _split(batch, text)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32())
+            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32())
+            digests = pa.array([hashlib.sha256(e.decode(x)).hexdigest() for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(ends, flat), digests], [*kept, ids, digest])
+
+    common.ship(df.sparkSession)
+    return df.select(*kept, text).mapInArrow(common.tidy(run), schema)
+
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

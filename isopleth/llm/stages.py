@@ -14,6 +14,7 @@ from . import bpe, common, mixing, neardup, pii, scorers
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality scores 0.5 or more; the machine is fitted on the labels of documents it may see."""
     common.ship(spark)
+    common.small_batches(spark)
     return scorers.kept(docs, scorers.train_quality(docs, common.table(spark, sf_dir, "labels")))
 
 
@@ -41,6 +42,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Five words and a similarity of 0.8. Rows are told apart by id and text: an id may stand for several texts, and each
     is decided on its own. Documents with a null id stay.
     """
+    common.small_batches(spark)
     found = common.cut(neardup.grouped(docs, k=5, percent=80).where("doc_id is not null"))
     row = F.struct("doc_id", "print")
     linked = found.where("component is not null")
@@ -80,5 +82,6 @@ def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and a digest of the text they decode to: doc_id, source, n_tokens, ids, decoded_sha256."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")), out="text")
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    common.small_batches(spark)
+    coded = bpe.coded(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
