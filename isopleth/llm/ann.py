@@ -4,7 +4,7 @@ Fit, on a bounded hash-ordered sample (`SAMPLE`): coarse centroids by k-means on
 number of rows, and for each of the `PARTS` sub-vectors of the residuals a codebook of up to 256 words. Index, every
 row: the nearest centroid's cell and one byte for each part. Search: a query probes so many of the cells nearest to it
 as the sample's true neighbours call for (few where vectors form groups, many where they don't: of random directions in
-64 dimensions, about four tenths); in each it builds its asymmetric distance table, ranks the cell's rows by the sum of
+64 dimensions, about half); in each it builds its asymmetric distance table, ranks the cell's rows by the sum of
 table entries, and the best of each block (`RERANK` of a full one, `LEAST_RERANKED` at least) are scored exactly, in double precision on the original vectors. A
 query that finds fewer than k this way, though there are more, is searched again in all cells.
 
