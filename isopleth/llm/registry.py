@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, idfile, mixing, neardup, pii, rules, scorers
+from . import ann, bpe, chat, idfile, lexical, mixing, neardup, packing, pii, rules, scorers, spelling
 
 QUERIES = {
     "op1_quality": scorers.op1_quality,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_id_files": idfile.op8_id_files,
     "op9_ann": ann.op9_ann,
     "op10_chat": chat.op10_chat,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_search": lexical.op12_search,
+    "op13_packing": packing.op13_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": neardup.oracle(),
     "op4_rules": rules.oracle(),
     "op10_chat": chat.oracle(),
+    "op11_spelling": spelling.oracle(),
+    "op12_search": lexical.oracle(),
 }
