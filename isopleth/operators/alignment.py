@@ -25,18 +25,30 @@ def clusters(labels: DataFrame) -> DataFrame:
     return labels.where(F.col(LABEL) != 0).groupBy("split", F.col(LABEL).cast("int").alias("label")).agg(F.count("*").alias("size"))
 
 
-def overlap_table(labels: DataFrame) -> DataFrame:
-    """For all pairs of clusters the share of the first that the second covers; NULL within a split or over signs."""
+def _side(df: DataFrame, s: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_{s}") if c in ("split", "label", "size") else F.col(c) for c in df.columns])
+
+
+def covered(labels: DataFrame) -> DataFrame:
+    """Pairs of clusters of one sign in different splits that share cells, with the share of the first one: the nonzero overlaps."""
     each = clusters(labels)
     cells = labels.where(F.col(LABEL) != 0).select("split", LATITUDE, LONGITUDE, F.col(LABEL).cast("int").alias("label"))
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") if c in ("split", "label", "size") else F.col(c) for c in df.columns])
-    both = side(cells, "a").join(side(cells, "b"), [LATITUDE, LONGITUDE]).where("split_a <> split_b and sign(label_a) = sign(label_b)")
+    both = _side(cells, "a").join(_side(cells, "b"), [LATITUDE, LONGITUDE]).where("split_a <> split_b and sign(label_a) = sign(label_b)")
     common = both.groupBy("split_a", "label_a", "split_b", "label_b").agg(F.count("*").alias("n"))
-    pairs = side(each, "a").crossJoin(side(each, "b"))  # clusters, not cells
-    pairs = pairs.join(common, ["split_a", "label_a", "split_b", "label_b"], "left")
+    shares = common.join(_side(each, "a"), ["split_a", "label_a"])
+    return shares.select("split_a", "label_a", "split_b", "label_b", (F.col("n") / F.col("size_a")).alias("overlap"))
+
+
+def overlap_table(labels: DataFrame) -> DataFrame:
+    """For all pairs of clusters the share of the first that the second covers; NULL within a split or over signs.
+
+    The square table is for people; sets are made from its nonzero part, `covered`.
+    """
+    each = clusters(labels).drop("size")
+    pairs = _side(each, "a").crossJoin(_side(each, "b"))  # what is asked for: all pairs
+    pairs = pairs.join(covered(labels), ["split_a", "label_a", "split_b", "label_b"], "left")
     comparable = (F.col("split_a") != F.col("split_b")) & (F.signum("label_a") == F.signum("label_b"))
-    share = F.when(comparable, F.coalesce(F.col("n"), F.lit(0)) / F.col("size_a"))
-    return pairs.select("split_a", "label_a", "split_b", "label_b", share.alias("overlap"))
+    return pairs.select("split_a", "label_a", "split_b", "label_b", F.when(comparable, F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
 
 
 def _member(split: str, label: str) -> Column:
@@ -45,10 +57,11 @@ def _member(split: str, label: str) -> Column:
 
 def overlapping_clusters(labels: DataFrame, min_overlap: float = 0.1) -> DataFrame:
     """Distinct sets: each cluster with those that cover more than the threshold of it. One sorted array, `members`."""
-    table = overlap_table(labels)
-    others = F.collect_set(F.when(F.col("overlap") > min_overlap, _member("split_b", "label_b")))
-    sets = table.groupBy("split_a", "label_a").agg(others.alias("others"))
-    return sets.select(F.array_sort(F.array_distinct(F.concat("others", F.array(_member("split_a", "label_a"))))).alias("members")).distinct()
+    table = covered(labels) if min_overlap >= 0 else overlap_table(labels)
+    others = table.where(F.col("overlap") > min_overlap).select(F.col("split_a").alias("split"), F.col("label_a").alias("label"), _member("split_b", "label_b").alias("member"))
+    own = clusters(labels).select("split", "label", _member("split", "label").alias("member"))
+    sets = own.unionByName(others).groupBy("split", "label").agg(F.array_sort(F.collect_set("member")).alias("members"))
+    return sets.select("members").distinct()
 
 
 def remove_subsets(sets: DataFrame) -> DataFrame:
@@ -62,11 +75,10 @@ def remove_subsets(sets: DataFrame) -> DataFrame:
 
 def remove_overlapping(sets: DataFrame) -> DataFrame:
     """Disjoint sets: a member stays in the largest set that has it (ties: the later in order of members)."""
-    order = Window.orderBy(F.size("members"), F.array_join("members", "|"))  # one row for each set
-    ranked = sets.withColumn("rank", F.row_number().over(order))
-    member = ranked.select("rank", F.explode("members").alias("member"))
-    last = member.groupBy("member").agg(F.max("rank").alias("rank"))
-    return last.groupBy("rank").agg(F.array_sort(F.collect_list("member")).alias("members")).select("members")
+    place = F.struct(F.size("members").alias("size"), F.array_join("members", "|").alias("text"))  # orders the sets; no two are equal
+    member = sets.select(place.alias("place"), F.explode("members").alias("member"))
+    last = member.groupBy("member").agg(F.max("place").alias("place"))
+    return last.groupBy("place").agg(F.array_sort(F.collect_list("member")).alias("members")).select("members")
 
 
 def _letter(n: Column) -> Column:
@@ -118,7 +130,7 @@ def rename_labels(rgdr_list: Sequence, clustered_data: Sequence[DataFrame]) -> l
     names = cut(aligned_names(split_labels([r.cluster_map for r in rgdr_list])))  # a row for each cluster
     out = []
     for i, data in enumerate(clustered_data):
-        own = names.where(F.col("split") == i).select(F.col("label").cast("smallint").alias(LABEL), "name")
-        joined = data.join(F.broadcast(own), LABEL, "left")
+        own = names.where(F.col("split") == i).select(F.col("label").alias(LABEL), "name")
+        joined = data.join(own, LABEL, "left")
         out.append(joined.select(*[F.coalesce("name", F.col(LABEL).cast("string")).alias(c) if c == LABEL else F.col(c) for c in data.columns]))
     return out

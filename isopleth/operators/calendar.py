@@ -12,27 +12,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import ANCHOR_YEAR, INTERVAL, TIME, dims_of, missing_as_null, require, variables_of
+from .timeseries import seconds
 
 
 def _length(length: str) -> tuple[int, str]:
-    found = re.fullmatch(r"(\d+)\s*([dDwWmMyY])", length)
+    found = re.fullmatch(r"(\d+)\s*(min|[dDwWmMyYhH])", length)
     if not found:
-        raise ValueError(f"a length is a number and one of d, W, M, Y, not {length!r}")
-    return int(found[1]), found[2].upper()
+        raise ValueError(f"a length is a number and one of min, h, d, W, M, Y, not {length!r}")
+    return int(found[1]), found[2] if found[2] == "min" else found[2].upper()
 
 
-def _moved(date: Column, length: str, times: int) -> Column:
+#: Seconds of a unit, about: they only set how wide the bins of a join are.
+_SECONDS = {"min": 60, "H": 3600, "D": 86400, "W": 7 * 86400, "M": 365.25 / 12 * 86400, "Y": 365.25 * 86400}
+
+
+def _moved(at: Column, length: str, times: int, by_day: bool) -> Column:
+    """A date, or a time (not by_day), so many lengths later."""
     n, unit = _length(length)
     n *= times
-    return F.date_add(date, n * (7 if unit == "W" else 1)) if unit in "DW" else F.add_months(date, n * (12 if unit == "Y" else 1))
+    if unit in "MY":
+        months = n * (12 if unit == "Y" else 1)
+        return F.add_months(at, months) if by_day else at + F.make_ym_interval(F.lit(0), F.lit(months))
+    if by_day:
+        return F.date_add(at, n * (7 if unit == "W" else 1))
+    return at + F.make_dt_interval(*[F.lit(n * (7 if unit == "W" else 1) if unit in names else 0) for names in ("DW", "H", ("min",))])
 
 
 class Calendar:
-    """Intervals of each anchor year."""
+    """Intervals of each anchor year, whose bounds are dates; with an hour in the anchor, or lengths in hours or minutes, times."""
 
     def __init__(self, anchor: str = "01-01"):
-        if not re.fullmatch(r"\d\d-\d\d", anchor):
-            raise ValueError(f"an anchor is MM-DD, not {anchor!r}")
+        if not re.fullmatch(r"\d\d-\d\d( \d\d:\d\d)?", anchor):
+            raise ValueError(f"an anchor is MM-DD or MM-DD HH:MM, not {anchor!r}")
         self.anchor = anchor
         self._lengths: dict[str, list[str]] = {"target": [], "precursor": []}
         self._years: tuple[int, int] | None = None
@@ -44,6 +55,17 @@ class Calendar:
         self._lengths[role] += [length] * n
         return self
 
+    @property
+    def by_day(self) -> bool:
+        """Whether all bounds are dates."""
+        return len(self.anchor) == 5 and all(_length(x)[1] in "DWMY" for some in self._lengths.values() for x in some)
+
+    @property
+    def mean_seconds(self) -> float:
+        """Length of an interval on average, about."""
+        each = [_length(x) for some in self._lengths.values() for x in some]
+        return max(1.0, sum(n * _SECONDS[unit] for n, unit in each) / max(1, len(each)))
+
     def map_years(self, first: int, last: int) -> Calendar:
         self._years = (min(first, last), max(first, last))
         return self
@@ -67,15 +89,15 @@ class Calendar:
         if self._years is None:
             raise ValueError("call map_years or map_to_data first")
         years = spark.range(self._years[0], self._years[1] + 1).select(F.col("id").cast("int").alias(ANCHOR_YEAR))
-        anchor = F.concat_ws("-", F.lpad(F.col(ANCHOR_YEAR).cast("string"), 4, "0"), F.lit(self.anchor)).cast("date")
+        anchor = F.concat_ws("-", F.lpad(F.col(ANCHOR_YEAR).cast("string"), 4, "0"), F.lit(self.anchor)).cast("date" if self.by_day else "timestamp_ntz")
         rows, left = [], anchor
         for i, length in enumerate(self._lengths["target"], 1):
-            right = _moved(left, length, 1)
+            right = _moved(left, length, 1, self.by_day)
             rows.append(F.struct(F.lit(i).alias(INTERVAL), left.alias("left"), right.alias("right"), F.lit(True).alias("is_target")))
             left = right
         right = anchor
         for i, length in enumerate(self._lengths["precursor"], 1):
-            left = _moved(right, length, -1)
+            left = _moved(right, length, -1, self.by_day)
             rows.append(F.struct(F.lit(-i).alias(INTERVAL), left.alias("left"), right.alias("right"), F.lit(False).alias("is_target")))
             right = left
         if not rows:
@@ -111,13 +133,17 @@ def monthly_calendar(anchor: str, length: str = "1M", n_targets: int = 1) -> Cal
 def resample(calendar: Calendar, data: DataFrame, time: str = TIME) -> DataFrame:
     """Mean of each cell over each interval: anchor_year, i_interval, the cell's columns and the variables.
 
-    The calendar is spelled out day by day, so that rows find their intervals by an equality of dates.
+    A range join: intervals and rows are dealt into bins of time as long as an interval on average, so that an interval
+    costs a row for each bin that it touches, two or so, and a row of data is compared with the intervals of its bin.
     """
     require(data, time)
-    spark = data.sparkSession
-    days = calendar.intervals(spark).where(F.col("right") > F.col("left")).select(ANCHOR_YEAR, INTERVAL, F.explode(F.sequence("left", F.date_sub("right", 1))).alias("_day"))
+    width = calendar.mean_seconds
+    bounds = calendar.intervals(data.sparkSession).where(F.col("right") > F.col("left")).select(ANCHOR_YEAR, INTERVAL, seconds(F.col("left")).alias("_left"), seconds(F.col("right")).alias("_right"))
+    bins = F.sequence(F.floor(F.col("_left") / width), F.ceil(F.col("_right") / width) - 1)
+    bounds = bounds.withColumn("_bin", F.explode(bins))
     data = missing_as_null(data)
-    joined = data.withColumn("_day", F.col(time).cast("date")).join(F.broadcast(days), "_day")  # days x overlapping intervals of the calendar's years
+    timed = data.withColumn("_at", seconds(F.col(time))).withColumn("_bin", F.floor(F.col("_at") / width))
+    joined = timed.join(bounds, "_bin").where((F.col("_left") <= F.col("_at")) & (F.col("_at") < F.col("_right")))
     return joined.groupBy(ANCHOR_YEAR, INTERVAL, *dims_of(data, time)).agg(*[F.avg(v).alias(v) for v in variables_of(data)])
 
 
@@ -149,7 +175,7 @@ def explicit_splits(spark: SparkSession, train: Sequence[Sequence[int]], test: S
 def split_rows(data: DataFrame, splits: DataFrame) -> DataFrame:
     """The data once for each split, with `split` and `is_train`."""
     require(data, ANCHOR_YEAR)
-    return data.join(F.broadcast(splits), ANCHOR_YEAR)  # splits x years
+    return data.join(splits, ANCHOR_YEAR)
 
 
 def train_test(data: DataFrame, splits: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import TIME, dims_of, missing_as_null, require, same, variables_of
+from .ordered import positions, previous
 
 TIMESCALES = ("monthly", "weekly", "daily")
 
@@ -37,9 +38,8 @@ def seconds(time: Column) -> Column:
 def resolution_days(df: DataFrame, time: str = TIME) -> DataFrame:
     """One row: the median step between successive distinct times, in whole days (`days`)."""
     require(df, time)
-    # the time axis only; its length does not grow with the number of cells
-    axis = df.select(F.col(time).alias("t")).where("t is not null").distinct()
-    step = seconds(F.col("t")) - F.lag(seconds(F.col("t"))).over(Window.orderBy("t"))
+    axis = previous(df.select(F.col(time).alias("t")).where("t is not null").distinct(), "t", "before")
+    step = seconds(F.col("t")) - seconds(F.col("before"))
     return axis.select(step.alias("step")).agg(F.floor(F.median("step") / 86400).cast("int").alias("days"))
 
 
@@ -58,25 +58,46 @@ def densify(df: DataFrame, time: str = TIME) -> DataFrame:
     dims = dims_of(df, time)
     if not dims:
         return df
-    axis = F.broadcast(df.select(time).distinct())  # the time axis: independent of the number of cells
+    return _dense(df, dims, time, df.select(time).distinct()).drop("_at")
+
+
+def _dense(df: DataFrame, dims: list[str], time: str, axis: DataFrame) -> DataFrame:
+    """The cells of a table at all times of the axis, with the axis' other columns."""
+    # as many rows as the result has; the optimizer knows the sizes of both sides when it joins them
     grid = df.select(*dims).distinct().crossJoin(axis)
     keys = [*dims, time]
-    return grid.alias("g").join(df.alias("d"), same("g", "d", keys), "left").select(*[F.col(f"g.{k}") for k in keys], *[F.col(f"d.{v}") for v in df.columns if v not in keys])
+    more = [c for c in axis.columns if c != time]
+    return grid.alias("g").join(df.alias("d"), same("g", "d", keys), "left").select(*[F.col(f"g.{k}") for k in [*keys, *more]], *[F.col(f"d.{v}") for v in df.columns if v not in keys])
+
+
+#: Samples of a series that are smoothed by one task, at least.
+BLOCK = 1 << 16
 
 
-def rolling_mean(df: DataFrame, window: int, min_periods: int = 1, time: str = TIME, dense: bool = False) -> DataFrame:
+def rolling_mean(df: DataFrame, window: int, min_periods: int = 1, time: str = TIME, dense: bool = False, block: int = BLOCK) -> DataFrame:
     """Centred mean over `window` samples of each cell; even windows take one more sample before than after.
 
     Missing samples keep their place in the window and are skipped; with fewer than min_periods valid samples the mean
-    is NULL. dense: the table has a row for every time of every cell already.
+    is NULL. dense: the table has a row for every time of every cell already. A series is cut into blocks of at least
+    `block` samples, which also get the samples around them that their windows need, so that one series is no single task.
     """
     require(df, time)
     df = missing_as_null(df)
-    dims = dims_of(df, time)
-    frame = Window.partitionBy(*dims).orderBy(time).rowsBetween(-(window // 2), (window - 1) // 2)
-    table = df if dense else densify(df, time)
+    dims, values = dims_of(df, time), variables_of(df)
+    before, after = window // 2, (window - 1) // 2
+    length = max(block, 2 * window)
+    if not dims:
+        table = positions(df, [time], "_at")
+    else:
+        axis = positions(df.select(time).distinct(), [time], "_at")
+        table = df.alias("d").join(axis.alias("a"), same("d", "a", [time])).select("d.*", "_at") if dense else _dense(df, dims, time, axis)
+    own = F.floor(F.col("_at") / length)
+    # the last `before` samples of a block are also needed by the next one, the first `after` by the one before
+    copies = F.array_compact(F.array(own, F.when(F.col("_at") - own * length >= length - before, own + 1), F.when((F.col("_at") - own * length < after) & (own > 0), own - 1)))
+    cut_up = table.withColumn("_block", F.explode(copies))
+    frame = Window.partitionBy(*dims, "_block").orderBy("_at").rowsBetween(-before, after)
     mean = lambda v: F.when(F.count(v).over(frame) >= min_periods, F.avg(v).over(frame)).alias(v)
-    return table.select(*dims, time, *[mean(v) for v in variables_of(df)])
+    return cut_up.select(*dims, time, "_at", "_block", *[mean(v) for v in values]).where(own == F.col("_block")).select(*dims, time, *values)
 
 
 def climatology(df: DataFrame, timescale: str, time: str = TIME) -> DataFrame:

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schema import TIME, missing_as_null, require
+from . import netcdf
 
 
 def read_field(spark: SparkSession, path: str, names: Mapping[str, str] | None = None, fmt: str = "parquet", **options) -> DataFrame:
-    """A long table from storage; names: columns of the file to columns of the field, others go."""
+    """A long table from storage; names: columns of the file to columns of the field, others go. fmt: also `netcdf`."""
+    if fmt == netcdf.NAME:
+        netcdf.register(spark)
     raw = spark.read.format(fmt).options(**options).load(path)
     if names:
         require(raw, *names)
@@ -22,6 +25,8 @@ def read_field(spark: SparkSession, path: str, names: Mapping[str, str] | None =
 
 def write_field(field: DataFrame, path: str, fmt: str = "parquet", by_year: bool = False, time: str = TIME, mode: str = "errorifexists") -> None:
     """A long table to storage; by_year: in folders of years, which filters on `year` prune."""
+    if fmt == netcdf.NAME:
+        return netcdf.write_netcdf(field, path, time, mode)
     out = field.withColumn("year", F.year(time)).write.partitionBy("year") if by_year else field.write
     out.format(fmt).mode(mode).save(path)
 
@@ -35,6 +40,6 @@ def from_arrays(spark: SparkSession, coordinates: Mapping[str, list], variables:
 
 
 def from_xarray(spark: SparkSession, data) -> DataFrame:
-    """A long table from an xarray object, such as an opened NetCDF file, where xarray is installed."""
+    """A long table from an xarray object in memory, where xarray is installed; for files there is `netcdf.read_netcdf`."""
     data = data.to_dataset(name=data.name or "value") if hasattr(data, "to_dataset") and not hasattr(data, "data_vars") else data
     return from_arrays(spark, {d: list(data[d].values) for d in data.dims}, {v: data[v].transpose(*data.dims).values for v in data.data_vars})
