@@ -6,6 +6,7 @@ Doubles are rounded on both sides, as sums come in different orders. The oracles
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,12 @@ from ..functions.stats import METHODS
 from ..operators import alignment, cluster, rgdr, timeseries
 from ..operators import calendar as cal
 from ..operators.preprocess import Preprocessor
-from ..sources import tables
-from .session import cut, ship
+from ..sources import netcdf, tables
+from .session import cut, scratch, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "preprocess_full"
+FLAGSHIP = "preprocess_full_whole"
 
 #: Settings of the clustering queries.
 EPS, ALPHA, AREA = 1200, 0.3, 600_000
@@ -53,15 +54,18 @@ def query(sql: str | None = None, **digits: int):
 # blocks of the oracles
 
 _CELL = "(47.5 - 5 * ((l_partkey % 65) // 13))::double AS latitude, (177.5 + 5 * ((l_partkey % 65) % 13))::double AS longitude"
-_MONTHS = "BETWEEN 1995 AND 2000"
+_MONTHS = "BETWEEN (SELECT year(min(l_shipdate)) + (month(min(l_shipdate)) > 1)::int FROM lineitem) AND (SELECT year(max(l_shipdate)) - (month(max(l_shipdate)) < 12)::int FROM lineitem)"
+_FIRST = "(SELECT year(d) + (d > make_date(year(d), 4, 1))::int FROM (SELECT greatest((SELECT min(l_shipdate) FROM lineitem), (SELECT min(o_orderdate) FROM orders))::date AS d))"
+_LAST = "(SELECT year(d) - (d < make_date(year(d), 11, 30))::int FROM (SELECT least((SELECT max(l_shipdate) FROM lineitem), (SELECT max(o_orderdate) FROM orders))::date AS d))"
+_ANCHORS = f"BETWEEN {_FIRST} AND {_LAST}"
 _TO_INTERVAL = "(CASE WHEN month({0}) >= 8 THEN month({0}) - 7 ELSE month({0}) - 8 END)::int"
 B = {
     "daily": f"SELECT l_shipdate AS time, {_CELL}, avg(ln(l_extendedprice)) AS value FROM lineitem GROUP BY ALL",
     "monthly": f"SELECT date_trunc('month', l_shipdate)::timestamp AS time, {_CELL}, avg(ln(l_extendedprice)) AS value FROM lineitem WHERE year(l_shipdate) {_MONTHS} GROUP BY ALL",
     "event": "SELECT date_trunc('day', ts)::timestamp AS time, event_type, avg(value) AS value FROM events GROUP BY ALL",
     "tmonthly": f"SELECT date_trunc('month', o_orderdate)::timestamp AS time, avg(ln(o_totalprice)) AS value FROM orders WHERE year(o_orderdate) {_MONTHS} GROUP BY ALL",
-    "precursor": f"SELECT year(l_shipdate)::int AS anchor_year, {_TO_INTERVAL.format('l_shipdate')} AS i_interval, {_CELL}, avg(ln(l_extendedprice)) AS value FROM lineitem WHERE year(l_shipdate) {_MONTHS} AND month(l_shipdate) BETWEEN 4 AND 11 GROUP BY ALL",
-    "target": f"SELECT year(o_orderdate)::int AS anchor_year, {_TO_INTERVAL.format('o_orderdate')} AS i_interval, avg(ln(o_totalprice)) AS value FROM orders WHERE year(o_orderdate) {_MONTHS} AND month(o_orderdate) BETWEEN 4 AND 11 GROUP BY ALL",
+    "precursor": f"SELECT year(l_shipdate)::int AS anchor_year, {_TO_INTERVAL.format('l_shipdate')} AS i_interval, {_CELL}, avg(ln(l_extendedprice)) AS value FROM lineitem WHERE year(l_shipdate) {_ANCHORS} AND month(l_shipdate) BETWEEN 4 AND 11 GROUP BY ALL",
+    "target": f"SELECT year(o_orderdate)::int AS anchor_year, {_TO_INTERVAL.format('o_orderdate')} AS i_interval, avg(ln(o_totalprice)) AS value FROM orders WHERE year(o_orderdate) {_ANCHORS} AND month(o_orderdate) BETWEEN 4 AND 11 GROUP BY ALL",
 }
 
 
@@ -154,12 +158,12 @@ _SLOPE = {"value_slope": 15, "value_intercept": 6}
 
 
 @query(_with("monthly", t=_trend("monthly")) + _out("latitude longitude value_slope value_intercept", _SLOPE, "t"), **_SLOPE)
-def trend_linear(spark, sf_dir, years=tables.YEARS):
+def trend_linear(spark, sf_dir, years=tables.WHOLE):
     return timeseries.linear_trend(tables.field_monthly(spark, sf_dir, years=years))
 
 
 @query(_with("monthly", t=_trend("monthly"), d=_detrended("monthly", "t")) + _out(_FIELD, _V, "d"), **_V)
-def detrend_linear(spark, sf_dir, years=tables.YEARS):
+def detrend_linear(spark, sf_dir, years=tables.WHOLE):
     data = tables.field_monthly(spark, sf_dir, years=years)
     return timeseries.subtract_trend(data, "linear", timeseries.get_trend(data))
 
@@ -178,23 +182,23 @@ _SMOOTH = _rolled("monthly", "latitude, longitude", 3, 1)
 
 
 @query(_with("monthly", r=_SMOOTH, c=_clim("r", "monthly"), a=_anomaly("r", "c", "monthly"), t=_trend("a"), f=_anomaly("monthly", "c", "monthly"), o=_detrended("f", "t")) + _out(_FIELD, _V, "o"), **_V)
-def preprocess_full(spark, sf_dir, years=tables.YEARS):
+def preprocess_full(spark, sf_dir, years=tables.WHOLE):
     """Rolling mean, climatology and trend fitted, and removed from the raw field."""
     return Preprocessor(3, "monthly").fit_transform(tables.field_monthly(spark, sf_dir, years=years))
 
 
 @query(_with("monthly", r=_SMOOTH, t=_trend("r"), o=_detrended("monthly", "t")) + _out(_FIELD, _V, "o"), **_V)
-def preprocess_no_clim(spark, sf_dir, years=tables.YEARS):
+def preprocess_no_clim(spark, sf_dir, years=tables.WHOLE):
     return Preprocessor(3, "monthly", subtract_climatology=False).fit_transform(tables.field_monthly(spark, sf_dir, years=years))
 
 
 @query(_with("monthly", r=_SMOOTH, c=_clim("r", "monthly"), o=_anomaly("monthly", "c", "monthly")) + _out(_FIELD, _V, "o"), **_V)
-def preprocess_no_detrend(spark, sf_dir, years=tables.YEARS):
+def preprocess_no_detrend(spark, sf_dir, years=tables.WHOLE):
     return Preprocessor(3, "monthly", detrend=None).fit_transform(tables.field_monthly(spark, sf_dir, years=years))
 
 
 @query(_with("monthly", r="SELECT latitude, longitude, time, value FROM monthly", c=_clim("r", "monthly"), a=_anomaly("r", "c", "monthly"), t=_trend("a")) + _out("latitude longitude value_slope value_intercept", _SLOPE, "t"), **_SLOPE)
-def preprocess_trend(spark, sf_dir, years=tables.YEARS):
+def preprocess_trend(spark, sf_dir, years=tables.WHOLE):
     """The trend property of a fit without smoothing."""
     return Preprocessor(None, "monthly").fit(tables.field_monthly(spark, sf_dir, years=years)).trend
 
@@ -214,14 +218,12 @@ def gridcell_area(spark, sf_dir):
     return geo.add_gridcell_area(tables.field_daily(spark, sf_dir).select(LATITUDE, LONGITUDE).distinct())
 
 
-@query("SELECT i::int AS i_interval, n::int AS lag, (CASE WHEN i > 0 AND i - n <= 0 THEN i - n - 1 ELSE i - n END)::int AS lagged FROM range(-6, 7) a(i), range(0, 6) b(n) WHERE i <> 0")
+@query(_with("precursor") + "SELECT i_interval, n::int AS lag, (CASE WHEN i_interval > 0 AND i_interval - n <= 0 THEN i_interval - n - 1 ELSE i_interval - n END)::int AS lagged, count(*)::bigint AS n FROM precursor, range(0, 6) b(n) GROUP BY ALL")
 def interval_lag(spark, sf_dir):
-    intervals = spark.createDataFrame([(i,) for i in range(-6, 7) if i], "i_interval int")
-    lags = [intervals.select(INTERVAL, F.lit(n).alias("lag"), rgdr.interval_lag(INTERVAL, n).alias("lagged")) for n in range(6)]
-    out = lags[0]
-    for x in lags[1:]:
-        out = out.unionByName(x)
-    return out
+    """The intervals of a field, shifted back."""
+    field = tables.precursor(spark, sf_dir).groupBy(INTERVAL).agg(F.count("*").alias("n"))
+    lags = [field.select(INTERVAL, F.lit(n).alias("lag"), rgdr.interval_lag(INTERVAL, n).alias("lagged"), "n") for n in range(6)]
+    return reduce(DataFrame.unionByName, lags)
 
 
 def _pairs(which: tuple[list[int], list[int]]) -> str:
@@ -274,7 +276,7 @@ _corr_query("corr_multi_interval", MANY)
 def corr_pvalue(spark, sf_dir):
     """Correlation over time of every cell with a series."""
     month = F.date_trunc("month", F.col("time")).cast("timestamp_ntz")
-    orders = tables.table(spark, sf_dir, "orders").where(F.year("o_orderdate").between(*tables.YEARS)).select(F.col("o_orderdate").alias("time"), "o_totalprice")
+    orders = tables.table(spark, sf_dir, "orders").where(F.year("o_orderdate").between(*tables.whole_years(spark, sf_dir))).select(F.col("o_orderdate").alias("time"), "o_totalprice")
     return rgdr.correlation(tables.field_monthly(spark, sf_dir), orders.groupBy(month.alias("time")).agg(F.avg(F.log("o_totalprice")).alias("value")), "time")
 
 
@@ -286,6 +288,64 @@ def significance_mask(spark, sf_dir):
     return _model(MANY).preview_correlation(*_inputs(spark, sf_dir))
 
 
+# linear models: every cell of the field, with the orders' series as response and the mean quantity of all lineitems as control
+
+_SERIES = {
+    "quantity": "SELECT date_trunc('month', l_shipdate)::timestamp AS time, avg(l_quantity) AS q FROM lineitem GROUP BY ALL",
+    "j": "SELECT m.latitude, m.longitude, m.value AS x, t.value AS y, z.q AS z FROM monthly m JOIN tmonthly t USING (time) JOIN quantity z USING (time) WHERE m.value IS NOT NULL",
+    "mom": "SELECT latitude, longitude, count(*)::bigint AS n, count(*) = (SELECT count(*) FROM tmonthly) AS whole, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(z, y) AS zy FROM j GROUP BY ALL",
+}
+_COEF = "latitude, longitude, n, round(CASE WHEN whole THEN my - a * mx - b * mz END, 6) AS intercept, round(CASE WHEN whole THEN a END, 6) AS value_coef, round(CASE WHEN whole THEN b END, 6) AS q_coef, round(CASE WHEN whole THEN (2 * a * xy + 2 * b * zy - a * a * xx - 2 * a * b * xz - b * b * zz) / yy END, 6) AS r2"
+_COEF_DIGITS = {"intercept": 6, "value_coef": 6, "q_coef": 6, "r2": 6}
+RIDGE, LASSO = 0.5, 0.002
+
+
+def _series(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A field, a series to explain, and a series that is held constant, by month."""
+    month = F.date_trunc("month", F.col("time")).cast("timestamp_ntz").alias("time")
+    orders = tables.table(spark, sf_dir, "orders").where(F.year("o_orderdate").between(*tables.whole_years(spark, sf_dir))).select(F.col("o_orderdate").alias("time"), "o_totalprice")
+    items = tables.table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("time"), "l_quantity")
+    return tables.field_monthly(spark, sf_dir), orders.groupBy(month).agg(F.avg(F.log("o_totalprice")).alias("value")), items.groupBy(month).agg(F.avg("l_quantity").alias("q"))
+
+
+def _solved(xx: str, zz: str) -> str:
+    return f"SELECT *, (xy * ({zz}) - zy * xz) / (({xx}) * ({zz}) - xz * xz) AS a, (zy * ({xx}) - xy * xz) / (({xx}) * ({zz}) - xz * xz) AS b FROM mom"
+
+
+def _regression_query(method: str, alpha: float, sql: str):
+    def f(spark, sf_dir):
+        field, target, control = _series(spark, sf_dir)
+        return rgdr.regression(field, target, "time", method, alpha, more=control)
+
+    f.__name__ = f"regression_{method}"
+    query(_with("monthly", "tmonthly", **_SERIES, s=sql) + f"SELECT {_COEF} FROM s", **_COEF_DIGITS)(f)
+
+
+_regression_query("linear", 0.0, _solved("xx", "zz"))
+_regression_query("ridge", RIDGE, _solved(f"xx + {RIDGE} / n", f"zz + {RIDGE} / n"))
+# the lasso's minimum has one of nine patterns of signs: of the solutions of all, the one with the smallest objective
+_PATTERNS = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY latitude, longitude ORDER BY (yy - 2 * a * xy - 2 * b * zy + a * a * xx + 2 * a * b * xz + b * b * zz) / 2 + {LASSO} * (abs(a) + abs(b))) AS place FROM (
+  SELECT *, CASE WHEN s = 0 THEN 0 WHEN t = 0 THEN (xy - {LASSO} * s) / xx ELSE ((xy - {LASSO} * s) * zz - (zy - {LASSO} * t) * xz) / (xx * zz - xz * xz) END AS a,
+    CASE WHEN t = 0 THEN 0 WHEN s = 0 THEN (zy - {LASSO} * t) / zz ELSE ((zy - {LASSO} * t) * xx - (xy - {LASSO} * s) * xz) / (xx * zz - xz * xz) END AS b
+  FROM mom, range(-1, 2) p(s), range(-1, 2) r(t))) WHERE place = 1"""
+_regression_query("lasso", LASSO, _PATTERNS)
+
+
+@query(
+    _with(
+        "monthly", "tmonthly", **_SERIES,
+        line="SELECT latitude, longitude, regr_slope(x, z) AS bx, regr_intercept(x, z) AS ax, regr_slope(y, z) AS by_, regr_intercept(y, z) AS ay FROM j GROUP BY ALL",
+        rest="SELECT j.latitude, j.longitude, x - ax - bx * z AS x, y - ay - by_ * z AS y FROM j JOIN line USING (latitude, longitude)",
+        m=_corr("rest", "SELECT count(*) FROM tmonthly").replace("count(*)::bigint AS n", "count(*)::bigint - 1 AS n"),
+    )
+    + _out(_MAP, _R, "m"),
+    **_R,
+)
+def partial_corr(spark, sf_dir):
+    """Correlation of every cell with a series, with another series held constant: that of the residuals."""
+    return rgdr.partial_correlation(*_series(spark, sf_dir), "time")
+
+
 # clusters
 
 _NUMBERED = "SELECT *, round((90 - latitude) * 1000000)::bigint * 2147483648 + round((longitude + 360) * 1000000)::bigint AS id FROM m"
@@ -370,6 +430,14 @@ def weighted_quantile(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("w"))
     return rgdr.weighted_groupby(rows, "l_suppkey", "w", "quantile", q=0.3)
 
+
+@query("SELECT l_linestatus, round(sum(v * n * (greatest((n - 1) * 0.5 / n, least(((n - 1) * 0.5 + 1) / n, c / a)) - greatest((n - 1) * 0.5 / n, least(((n - 1) * 0.5 + 1) / n, (c - w) / a)))), 3) AS value FROM (SELECT l_linestatus, l_extendedprice AS v, l_quantity AS w, sum(l_quantity) OVER (PARTITION BY l_linestatus ORDER BY l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING) AS c, sum(l_quantity) OVER (PARTITION BY l_linestatus) AS a, pow(sum(l_quantity) OVER (PARTITION BY l_linestatus), 2) / sum(l_quantity * l_quantity) OVER (PARTITION BY l_linestatus) AS n FROM lineitem) GROUP BY ALL", value=3)
+def weighted_median_large(spark, sf_dir):
+    """Medians of groups that hold half of all rows each."""
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("w"))
+    return rgdr.weighted_groupby(rows, "l_linestatus", "w", "quantile")
+
+
 # alignment
 
 _MEANS = "SELECT (l_orderkey % 4)::int AS split, l_partkey % 65 AS cell, avg(l_quantity) AS mean FROM lineitem GROUP BY ALL"
@@ -471,7 +539,25 @@ def renamed_labels(spark, sf_dir):
     return reduce(DataFrame.unionByName, named)
 
 
-@query()
+def _fold(f: int) -> str:
+    """Labelled cells of a model fitted on the training years of one of three folds."""
+    years = f"anchor_year IN (SELECT anchor_year FROM ({_FOLDS_OF_FIELD}) WHERE split = {f} AND is_train)"
+    inner = {n: f"SELECT * FROM ({B[n]}) WHERE {years}" for n in ("precursor", "target")}
+    body = _with(**inner, **_CELLS, g=_NUMBERED, pt=_POINTS, e0=_EDGES, e=_BOTH, r=_REACH, l=_LABELS, c=_LABELLED).replace("WITH ", "WITH RECURSIVE ", 1)
+    return body + f"SELECT {f} AS split, latitude, longitude, cluster_label::int AS label, area FROM c WHERE cluster_label <> 0"
+
+
+_FOLDS_OF_FIELD = f"SELECT f::int AS split, anchor_year, NOT (i >= f * n // 3 AND i < (f + 1) * n // 3) AS is_train FROM range(3) a(f), (SELECT anchor_year, row_number() OVER (ORDER BY anchor_year) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT anchor_year FROM ({B['precursor']})))"
+_CELLS_OF_FOLDS = " UNION ALL ".join(f"(SELECT * FROM fold{f})" for f in range(3))
+_REDUCED_SPLITS = f"SELECT split, label, anchor_year, i_interval, sum(area * value) / sum(area) AS value FROM lab JOIN precursor USING (latitude, longitude) WHERE list_contains({MANY[1]}, i_interval) GROUP BY ALL"
+
+
+@query(
+    "WITH " + ", ".join(f"{n} AS ({x})" for n, x in [("precursor", B["precursor"]), *((f"fold{f}", _fold(f)) for f in range(3)), ("lab", _CELLS_OF_FOLDS), *((n, A[n]) for n in list(A)[1:]), ("red", _REDUCED_SPLITS)])
+    + f", cen AS (SELECT split, label, sum(area * latitude) / sum(area) AS latitude, sum(area * longitude) / sum(area) AS longitude FROM lab GROUP BY ALL), ok AS (SELECT split, label FROM red GROUP BY ALL HAVING count(value) = (SELECT count(*) FROM (SELECT DISTINCT anchor_year, i_interval FROM precursor WHERE list_contains({MANY[1]}, i_interval)))) "
+    "SELECT split::int AS split, anchor_year, i_interval, name AS cluster_label, round(cen.latitude, 6) AS latitude, round(cen.longitude, 6) AS longitude, round(value, 6) AS value FROM red JOIN ok USING (split, label) JOIN cen USING (split, label) JOIN uni USING (split, label)",
+    **_D,
+)
 def aligned_splits(spark, sf_dir):
     """Clusters of a model fitted on the training years of each of three splits, under common names."""
     precursor, target = (cut(df) for df in _inputs(spark, sf_dir))
@@ -482,6 +568,31 @@ def aligned_splits(spark, sf_dir):
     return reduce(DataFrame.unionByName, [df.select(F.lit(i).alias("split"), *df.columns) for i, df in enumerate(alignment.rename_labels(models, reduced))])
 
 
+# files
+
+
+def _written(spark, sf_dir) -> str:
+    path = scratch(spark, "netcdf")
+    netcdf.write_netcdf(tables.field_daily(spark, sf_dir), path)
+    return path
+
+
+@query(_with("daily") + _out(_FIELD, _V, "daily"), **_V)
+def netcdf_field(spark, sf_dir):
+    """The daily field, written to NetCDF files by all tasks and read from them."""
+    return netcdf.read_netcdf(spark, _written(spark, sf_dir), missing=False)
+
+
+_RANGES = {"time": (datetime(1996, 3, 1), datetime(1998, 2, 28)), LATITUDE: (30.0, 44.0), LONGITUDE: (180.0, None)}
+
+
+@query(_with("daily") + "SELECT year(time)::int AS year, latitude, count(*)::bigint AS n, round(avg(value), 6) AS value FROM daily WHERE time BETWEEN '1996-03-01' AND '1998-02-28' AND latitude BETWEEN 30 AND 44 AND longitude >= 180 GROUP BY ALL", **_V)
+def netcdf_ranges(spark, sf_dir):
+    """Means over ranges of all axes, of which only the parts that may hold them are read."""
+    rows = netcdf.read_netcdf(spark, _written(spark, sf_dir), ["value"], _RANGES, missing=False)
+    return rows.groupBy(F.year("time").alias("year"), LATITUDE).agg(F.count("*").alias("n"), F.avg("value").alias("value"))
+
+
 # what a model and a preprocessor show
 
 
@@ -520,48 +631,67 @@ def clusters_present(spark, sf_dir):
     return spark.createDataFrame([(cluster.assert_clusters_present(_clusters(spark, sf_dir)),)], "found boolean")
 
 
-@query("SELECT '1 2 3 4' AS target_intervals, '-4 -3 -2 -1' AS precursor_intervals, " + f"'RGDR(' || chr(10) || '    target_intervals=[1, 2, 3, 4],' || chr(10) || '    lag=4,' || chr(10) || '    eps_km={EPS},' || chr(10) || '    alpha={ALPHA},' || chr(10) || '    min_area_km2=None' || chr(10) || ')' AS shown")
+_SHOWN = f"'RGDR(' || chr(10) || '    target_intervals=[1, 2, 3, 4],' || chr(10) || '    lag=4,' || chr(10) || '    eps_km={EPS},' || chr(10) || '    alpha={ALPHA},' || chr(10) || '    min_area_km2=None' || chr(10) || ')'"
+
+
+@query(_with("precursor", "target") + f"SELECT anchor_year, 'target' AS side, count(*)::bigint AS n, {_SHOWN} AS shown FROM target WHERE list_contains({MANY[0]}, i_interval) GROUP BY ALL UNION ALL SELECT anchor_year, 'precursor', count(*)::bigint, {_SHOWN} FROM precursor WHERE list_contains({MANY[1]}, i_interval) GROUP BY ALL")
 def model_settings(spark, sf_dir):
-    """The intervals of a model and its printed form; of no table."""
+    """Rows of each anchor year at the intervals that a model takes from the tables, and its printed form."""
     model = _model(MANY)
-    text = lambda some: " ".join(map(str, some))
-    return spark.createDataFrame([(text(model.target_intervals), text(model.precursor_intervals), repr(model))], "target_intervals string, precursor_intervals string, shown string")
+    sides = zip(("precursor", "target"), _inputs(spark, sf_dir), (model.precursor_intervals, model.target_intervals), strict=True)
+    each = [df.where(F.col(INTERVAL).isin(some)).groupBy(ANCHOR_YEAR).agg(F.count("*").alias("n")).select(ANCHOR_YEAR, F.lit(side).alias("side"), "n") for side, df, some in sides]
+    return reduce(DataFrame.unionByName, each).withColumn("shown", F.lit(repr(model)))
 
 
 # calendar
 
 
 def _calendar() -> cal.Calendar:
-    return cal.Calendar("08-01").add_intervals("target", "1M", 4).add_intervals("precursor", "1M", 4).map_years(1995, 2000)
+    return cal.Calendar("08-01").add_intervals("target", "1M", 4).add_intervals("precursor", "1M", 4)
 
 
-_SPELLED = (
-    "SELECT y::int AS anchor_year, i::int AS i_interval, (make_date(y, 8, 1) + (i - 1) * INTERVAL 1 MONTH)::date AS \"left\", (make_date(y, 8, 1) + i * INTERVAL 1 MONTH)::date AS \"right\", true AS is_target FROM range(1995, 2001) a(y), range(1, 5) b(i) "
-    "UNION ALL SELECT y::int, -i::int, (make_date(y, 8, 1) - i * INTERVAL 1 MONTH)::date, (make_date(y, 8, 1) - (i - 1) * INTERVAL 1 MONTH)::date, false FROM range(1995, 2001) a(y), range(1, 5) b(i)"
-)
+def _spelled(n: int) -> str:
+    """Intervals of four targets and n precursors, of all years that lie within the lineitems."""
+    years = f"SELECT y FROM (SELECT min(l_shipdate)::date AS low, max(l_shipdate)::date + 1 AS high FROM lineitem) s, range(1900, 2100) a(y) WHERE make_date(y, 8, 1) - {n} * INTERVAL 1 MONTH >= low AND make_date(y, 12, 1) <= high"
+    return (
+        f"SELECT y::int AS anchor_year, i::int AS i_interval, (make_date(y, 8, 1) + (i - 1) * INTERVAL 1 MONTH)::date AS \"left\", (make_date(y, 8, 1) + i * INTERVAL 1 MONTH)::date AS \"right\", true AS is_target FROM ({years}), range(1, 5) b(i) "
+        f"UNION ALL SELECT y::int, -i::int, (make_date(y, 8, 1) - i * INTERVAL 1 MONTH)::date, (make_date(y, 8, 1) - (i - 1) * INTERVAL 1 MONTH)::date, false FROM ({years}), range(1, {n + 1}) b(i)"
+    )
+
+
+_SPELLED = _spelled(4)
+
+
+def _text_bounds(df: DataFrame) -> DataFrame:
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return df.select(ANCHOR_YEAR, INTERVAL, text("left"), text("right"), "is_target")
 
 
 @query(f'SELECT anchor_year, i_interval, "left"::varchar AS "left", "right"::varchar AS "right", is_target FROM ({_SPELLED})')
 def calendar_intervals(spark, sf_dir):
-    text = lambda c: F.col(c).cast("string").alias(c)
-    return _calendar().intervals(spark).select(ANCHOR_YEAR, INTERVAL, text("left"), text("right"), "is_target")
+    """The intervals of all anchor years that the daily field spans."""
+    return _text_bounds(_calendar().map_to_data(tables.field_daily(spark, sf_dir)).intervals(spark))
 
 
 @query(_with("daily", k=_SPELLED) + 'SELECT anchor_year, i_interval, latitude, longitude, round(avg(value), 6) AS value FROM daily JOIN k ON time >= "left" AND time < "right" GROUP BY ALL', **_V)
 def resample_mean(spark, sf_dir):
-    return cal.resample(_calendar(), tables.field_daily(spark, sf_dir))
+    data = tables.field_daily(spark, sf_dir)
+    return cal.resample(_calendar().map_to_data(data), data)
 
 
-@query(_with("target", s="SELECT f::int AS split, y::int AS anchor_year, NOT ((y - 1995) >= f * 6 // 3 AND (y - 1995) < (f + 1) * 6 // 3) AS is_train FROM range(3) a(f), range(1995, 2001) b(y)") + "SELECT split, anchor_year, i_interval, is_train, round(value, 6) AS value FROM target JOIN s USING (anchor_year)", **_V)
+_FOLDS = "SELECT f::int AS split, anchor_year, NOT (i >= f * n // 3 AND i < (f + 1) * n // 3) AS is_train FROM range(3) a(f), (SELECT anchor_year, row_number() OVER (ORDER BY anchor_year) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT anchor_year FROM target))"
+
+
+@query(_with("target", s=_FOLDS) + "SELECT split, anchor_year, i_interval, is_train, round(value, 6) AS value FROM target JOIN s USING (anchor_year)", **_V)
 def train_test_rows(spark, sf_dir):
     data = tables.target(spark, sf_dir)
     return cal.split_rows(data, cal.kfold_splits(data, 3)).select("split", ANCHOR_YEAR, INTERVAL, "is_train", "value")
 
 
-@query(f'SELECT anchor_year, i_interval, "left"::varchar AS "left", "right"::varchar AS "right", is_target FROM ({_SPELLED})'.replace("range(1, 5) b(i))", "range(1, 9) b(i))"))
+@query(f'SELECT anchor_year, i_interval, "left"::varchar AS "left", "right"::varchar AS "right", is_target FROM ({_spelled(8)})')
 def calendar_monthly(spark, sf_dir):
-    text = lambda c: F.col(c).cast("string").alias(c)
-    return cal.monthly_calendar("08-01", "1M", 4).map_years(1995, 2000).intervals(spark).select(ANCHOR_YEAR, INTERVAL, text("left"), text("right"), "is_target")
+    """A calendar of whole years of months over the daily field."""
+    return _text_bounds(cal.monthly_calendar("08-01", "1M", 4).map_to_data(tables.field_daily(spark, sf_dir)).intervals(spark))
 
 
 @query("SELECT y::int AS anchor_year, i::int AS i_interval FROM (SELECT min(l_shipdate)::date AS low, max(l_shipdate)::date + 1 AS high FROM lineitem) s, range(1980, 2040) a(y), range(-4, 5) b(i) WHERE i <> 0 AND make_date(y, 4, 1) >= low AND make_date(y, 12, 1) <= high")
@@ -571,7 +701,7 @@ def calendar_of_data(spark, sf_dir):
     return _calendar().map_to_data(days).show(spark).select(ANCHOR_YEAR, INTERVAL)
 
 
-@query(_with("target", s="SELECT f::int AS split, y::int AS anchor_year, NOT ((y - 1995) >= f * 6 // 3 AND (y - 1995) < (f + 1) * 6 // 3) AS is_train FROM range(3) a(f), range(1995, 2001) b(y)") + "SELECT split, is_train, count(*)::bigint AS n, round(avg(value), 6) AS value FROM target JOIN s USING (anchor_year) GROUP BY ALL", **_V)
+@query(_with("target", s=_FOLDS) + "SELECT split, is_train, count(*)::bigint AS n, round(avg(value), 6) AS value FROM target JOIN s USING (anchor_year) GROUP BY ALL", **_V)
 def splitter_means(spark, sf_dir):
     """Rows and means of both parts of each split."""
     data = tables.target(spark, sf_dir)
@@ -579,6 +709,21 @@ def splitter_means(spark, sf_dir):
     return reduce(DataFrame.unionByName, each).groupBy("split", "is_train").agg(F.count("*").alias("n"), F.avg("value").alias("value"))
 
 
+_HOURS = (
+    "SELECT i::int AS i_interval, h + (i - 1) * INTERVAL 6 HOUR AS l, h + i * INTERVAL 6 HOUR AS r FROM anchor, range(1, 9) b(i) "
+    "UNION ALL SELECT -i::int, h - i * INTERVAL 90 MINUTE, h - (i - 1) * INTERVAL 90 MINUTE FROM anchor, range(1, 13) b(i)"
+)
+
+
+@query(f"WITH anchor AS (SELECT make_timestamp(year(min(ts)), 1, 15, 12, 0, 0) AS h FROM events), k AS ({_HOURS}) SELECT year(h)::int AS anchor_year, i_interval, event_type, round(avg(value), 6) AS value FROM events, anchor, k WHERE ts >= l AND ts < r GROUP BY ALL", **_V)
+def resample_hours(spark, sf_dir):
+    """Means of events over intervals within a day: eight of six hours after noon of an anchor day, twelve of 90 minutes before."""
+    events = tables.table(spark, sf_dir, "events").select(F.col("ts").alias("time"), "event_type", "value")
+    year = events.agg(F.year(F.min("time"))).first()[0]
+    hours = cal.Calendar("01-15 12:00").add_intervals("target", "6h", 8).add_intervals("precursor", "90min", 12)
+    return cal.resample(hours.map_years(year, year), events)
+
+
 # the monthly queries over all rows, without a choice of years
 
 for _name in "clim_monthly anomaly_monthly trend_linear detrend_linear preprocess_full preprocess_no_clim preprocess_no_detrend preprocess_trend".split():

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.schema import ANCHOR_YEAR, INTERVAL, LATITUDE, LONGITUDE, TIME
 
 CELLS, ROW = 65, 13
-#: Years of the monthly queries whose SQL names them; the queries `*_whole` have all rows.
-YEARS = (1995, 2000)
+#: Years of a monthly field: those of which the table has all months, so that its series are complete.
+WHOLE = "whole years"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,15 @@ def _years(column: str, years: tuple[int, int]):
     return F.year(column).between(*years)
 
 
-def field_monthly(spark: SparkSession, sf_dir: str, cells: int = CELLS, years: tuple[int, int] | None = YEARS) -> DataFrame:
+def whole_years(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last year that begins and ends within the table, to the month."""
+    low, high = table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
+    return (1, 0) if low is None else (low.year + (low.month > 1), high.year - (high.month < 12))
+
+
+def field_monthly(spark: SparkSession, sf_dir: str, cells: int = CELLS, years: tuple[int, int] | str | None = WHOLE) -> DataFrame:
     """years: None for all rows."""
+    years = whole_years(spark, sf_dir) if years == WHOLE else years
     month = F.date_trunc("month", F.col(TIME)).cast("timestamp_ntz")
     rows = _cells(table(spark, sf_dir, "lineitem"), cells)
     rows = rows.where(_years(TIME, years)) if years else rows
