@@ -91,6 +91,7 @@ def quality_features(data: np.ndarray, offs: np.ndarray, meta: np.ndarray) -> tu
     if len(full):
         longest[full] = np.maximum.reduceat(ends - starts, first[full])
     again = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
+    again[first[:-1][first[:-1] < len(again)]] = False  # a text's first word has none before it
     repeats = np.diff(np.concatenate([[0], np.cumsum(again)])[first])
     heads = np.concatenate([[0], np.cumsum((low[starts] != data[starts]).astype(np.int64))])[first] if len(starts) else np.zeros(n + 1)
     some += [per(np.diff(ptr).astype(float), count), per(repeats, count), per(np.diff(heads), count), per(size, 16 * count), per(longest, 64), per(count, 64 * lines)]
@@ -125,6 +126,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
 
 def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, features: Features, lower: bool, most: int = TRAINING_ROWS) -> tuple[fm.Machine, np.ndarray]:
     """A machine, and the weight of each bucket (0: not used)."""
+    common.ship(docs.sparkSession)
     sample = training_rows(_texts(docs, lower), labels.select("doc_id", label), label, modulus, held, most)
 
     def counts(batches):
@@ -193,6 +195,7 @@ def _scorer(model: tuple[fm.Machine, np.ndarray]):
 
 def score(docs: DataFrame, model: tuple[fm.Machine, np.ndarray], features: Features, lower: bool) -> DataFrame:
     """doc_id and score of every row."""
+    common.ship(docs.sparkSession)
     scorer = _scorer(model)
 
     def scored(batches):
@@ -208,6 +211,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: in
 
 def kept(docs: DataFrame, model: tuple[fm.Machine, np.ndarray], least: float = 0.5) -> DataFrame:
     """The rows whose quality scores `least` or more, with all their columns: one pass, rows go by as they are scored."""
+    common.ship(docs.sparkSession)
     scorer = _scorer(model)
     columns = docs.columns
     meta = "n_chars" in columns

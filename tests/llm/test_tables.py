@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from isopleth.llm import ann, bpe, chat, fm, mixing, neardup, rules, scorers
 from isopleth.llm.registry import ORACLE_SQL, QUERIES
@@ -532,3 +533,27 @@ def test_repeated_labelled_documents_and_clashing_columns(spark):
     assert len(rows) == 360 and max(abs(plain[r["doc_id"]] - r["score"]) for r in rows) < 1e-9
     assert np.mean([(plain[i] >= 0.5) == i % 2 for i in plain]) > 0.95
     assert scorers.training_rows(scorers._texts(odd, False), labels, "toxic", 5, 0).where("doc_id = 3").count() <= 1
+
+
+def features_of(data, offs, meta):
+    index, ptr = scorers.quality_features(data, offs, meta)
+    return [sorted(index[a:b].tolist()) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours(small):
+    """All texts of a table, alone, and after a text that ends with their own first word."""
+    texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '{small}/documents.parquet' ORDER BY doc_id").fetchall()] + ["", "a a b", "a", ""]
+    raw = [t.encode() for t in texts]
+    pack = lambda some: (np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in some])]), np.zeros(len(some)))
+    alone = [features_of(*pack([x]))[0] for x in raw]
+    assert features_of(*pack(raw)) == alone and features_of(*pack(raw[::-1])) == alone[::-1]
+    for x, own in zip(raw, alone, strict=True):
+        words = x.split()
+        assert features_of(*pack([b"begin " + (words[0] if words else b"a"), x]))[1] == own
+
+
+def test_scores_do_not_depend_on_partitions(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = scorers.train_quality(docs, labels)
+    by_id = [{r.doc_id: r.score for r in scorers.score(docs.repartition(n, F.xxhash64("doc_id", F.lit(n))), model, scorers.quality_features, False).collect()} for n in (1, 7)]
+    assert by_id[0] == by_id[1]
