@@ -350,19 +350,20 @@ def _groups(batches, column: str):
 def tree_links(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) of classes, from one signature tree for each tile: of each component's smallest class with the others.
 
-    assigned: doc_id, class, and an array of (tile, component, side); the texts are read again, and only sets of these
-    classes are shuffled, once for each tile.
+    assigned: doc_id and print of a row, class, and an array of (tile, component, side); the texts are read again, a row that
+    shares both is another copy of the text, and only sets of these classes are shuffled, once for each tile.
     """
     assigned = common.cut(assigned)
     some = F.broadcast(assigned) if assigned.count() <= BROADCAST_IDS else assigned
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(some, "doc_id").select("class", "tiles", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), common.text_print().alias("print"))
+    rows = rows.join(some, ["doc_id", "print"]).select("class", "tiles", "text")
 
     def sets(batches):
         seen: set[int] = set()
         for batch in batches:
             wanted, keep, found = batch.column("class").to_pylist(), [], []
             for i, x in enumerate(shingle_sets(batch.column("text"), k)):
-                if wanted[i] not in seen and class_of(x) == wanted[i]:  # else another row with this doc_id
+                if wanted[i] not in seen and class_of(x) == wanted[i]:
                     keep.append(i)
                     found.append(x)
                     if len(seen) < _SEEN:
@@ -405,11 +406,11 @@ def _tile(tile, component, side):
 
 
 def _first_tiles(members: DataFrame) -> DataFrame:
-    """One tree for each family, or several that have landmarks in common; members: doc_id, class, n, family, pieces."""
+    """One tree for each family, or several that have landmarks in common; members: doc_id, print, class, n, family, pieces."""
     own = F.pmod(F.xxhash64("class", F.lit(1)), F.col("pieces")).cast("int")
     landmark = F.pmod(F.xxhash64("class", F.lit(2)), F.ceil(F.col("members") / LANDMARKS)) == 0
     numbers = F.when(landmark, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(own))
-    return members.select("doc_id", "class", F.transform(numbers, lambda i: _tile(F.xxhash64("family", i), F.col("class"), F.lit(-1))).alias("tiles"))
+    return members.select("doc_id", "print", "class", F.transform(numbers, lambda i: _tile(F.xxhash64("family", i), F.col("class"), F.lit(-1))).alias("tiles"))
 
 
 def _later_tiles(stars: DataFrame, members: DataFrame, label: DataFrame) -> DataFrame:
@@ -435,11 +436,11 @@ def _later_tiles(stars: DataFrame, members: DataFrame, label: DataFrame) -> Data
     sides = pairs.select("key", "block", F.xxhash64("key", "block", "other").alias("tile"), F.when(F.col("block") == F.col("other"), -1).otherwise(0).alias("side"))
     sides = sides.union(pairs.where("block <> other").select("key", F.col("other").alias("block"), F.xxhash64("key", "block", "other").alias("tile"), F.lit(1).alias("side")))
     tiles = rows.join(sides, ["key", "block"]).groupBy("class").agg(F.collect_list(_tile(F.col("tile"), F.col("label"), F.col("side"))).alias("tiles"))
-    return tiles.join(members.select("doc_id", "class"), "class").select("doc_id", "class", "tiles")
+    return tiles.join(members.select("doc_id", "print", "class"), "class").select("doc_id", "print", "class", "tiles")
 
 
 def families(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows (doc_id, print, n, class); classes that share a key (key, a, b); members of families (doc_id, class, n, family)."""
+    """All rows (doc_id, print, n, class); classes that share a key (key, a, b); members of families (doc_id and print of the first row, class, n, family)."""
     spark = docs.sparkSession
     whole, whole_path = common.stored(described(docs, k, percent), "described")
     rows = common.cut(whole.select("doc_id", "print", "n", "class"))
@@ -450,7 +451,8 @@ def families(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     common.drop(spark, whole_path)
     common.release(spark)
     family = components(stars.select("a", "b").distinct()).select(F.col("id").alias("class"), F.col("label").alias("family"))
-    named = rows.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    named = rows.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.min("n").alias("n"))
+    named = named.select("class", "first.doc_id", "first.print", "n")
     return rows, stars, common.cut(named.join(family, "class"))
 
 
