@@ -263,7 +263,9 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndar
 def _tokenised(docs: DataFrame, path: str | None) -> DataFrame:
     """Chunks of documents in order: partition, doc_ids, their numbers of ids, and the ids compressed."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = rows.repartitionByRange(common.n_tasks(docs.sparkSession), "doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # texts that share an id, or have none, are dealt by their hashes
+    rows = rows.repartitionByRange(common.n_tasks(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
 
     def run(batches):
         part, words = TaskContext.get().partitionId(), library(path)
@@ -279,8 +281,8 @@ def _tokenised(docs: DataFrame, path: str | None) -> DataFrame:
 
 
 _CHUNK = pa.schema([("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
-_BLOCK = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("checkpoints", pa.list_(pa.int32())), ("payload", pa.binary())])
-_BLOCK_DDL = "part int, start long, doc_ids array<long>, sizes array<int>, n long, checkpoints array<int>, payload binary"
+_BLOCK = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())])
+_BLOCK_DDL = "part int, start long, doc_ids array<long>, sizes array<int>, n long, checkpoints array<long>, payload binary"
 
 
 def _chunk_ids(row: dict) -> np.ndarray:
