@@ -10,7 +10,7 @@ query that finds fewer than k this way, though there are more, is searched again
 
 Scale and skew. Only centroids, codebooks and the number of rows of each cell are on the driver. (A quarter of the sample
 is the most centroids; from 25 million rows on cells grow instead.) Cells with more than `BLOCK` rows are cut into blocks
-by a hash of the vector, so that a crowded cell is searched by many tasks. Vectors that occur many times stand for one
+by a hash of the vector, and its queries into parts, so that a crowded cell is searched by many tasks. Vectors that occur many times stand for one
 entry with their `k + 1` smallest ids, reduced within each batch, then over batches in two steps, before cells are cut;
 equal query vectors are searched once: a vector with a third of all rows costs no more than another, and ties go to the
 smaller id. (Equal vectors are told by 64 bits of a hash.)
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,6 +38,8 @@ PARTS, WORDS = 16, 256
 BLOCK, RERANK, LEAST_RERANKED = 4096, 64, 16
 #: Share of the sample's true neighbours that must be in the probed cells, and queries of the sample used for that.
 COVERED, CALIBRATING = 0.97, 512
+#: Query vectors that are searched in a cell at a time.
+QUERIES = 4096
 #: First steps of the reduction of a vector that many batches have.
 SALTS = 64
 #: Hashes of repeated vectors up to which they are broadcast (8 MB); beyond, the joins are shuffles.
@@ -114,11 +116,20 @@ class Index:
 
 
 def usable(embeddings: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id and vector of the rows that take part."""
+    """id and vector of the rows that take part.
+
+    Each vector is scaled by a power of two so that its largest component is about 1. That is exact and leaves cosines as
+    they are, and norms of tiny and huge vectors neither vanish nor overflow.
+    """
     v = F.col(vector)
     rows = embeddings.select(F.col(id_).cast("long").alias("id"), v.cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
+    # in two steps, as the powers of the smallest numbers are beyond the largest
+    power = -F.floor(F.log2(F.array_max(F.transform("v", F.abs))))
+    first = F.floor(power / 2)
+    rows = rows.withColumn("a", F.pow(F.lit(2.0), first)).withColumn("b", F.pow(F.lit(2.0), power - first))
+    rows = rows.select("id", F.transform("v", lambda x: x * F.col("a") * F.col("b")).alias("v"))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()  # one row
     return rows.where(F.size("v") == (size[0]["n"] if size else 0))
 
@@ -251,11 +262,20 @@ def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, id_: str = "v
 
     def best_of(some: DataFrame, probes: int) -> DataFrame:
         """The k + 1 best of each query vector, so that k are left without the query's own row."""
-        probing = _probing(some, index, probes).join(F.broadcast(blocks.withColumnRenamed("blocks", "n")), "cell")
-        probing = probing.select("cell", "hash", "v", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("block"))
-        found = entries.groupBy("cell", "block").cogroup(probing.groupBy("cell", "block")).applyInArrow(_searching(index, k), _FOUND)
+        # the queries of a cell are cut as well, into parts that meet all blocks of the cell
+        probing = common.cut(_probing(some, index, probes))
+        asked = probing.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")).join(blocks.withColumnRenamed("blocks", "n"), "cell")
+        asked = F.broadcast(common.cut(asked))  # one row for each cell
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+        parted = probing.join(asked, "cell").select("cell", F.pmod("hash", F.col("parts")).cast("int").alias("part"), "hash", "v", each("n").alias("block"))
+        wanted = entries.join(asked, "cell").select(*entries.columns, each("parts").alias("part"))
+        keys = "cell", "block", "part"
+        found = wanted.groupBy(*keys).cogroup(parted.groupBy(*keys)).applyInArrow(_searching(index, k), _FOUND)
         best = found.groupBy("hash", "vec_id").agg(F.max("score").alias("score"))
-        return best.groupBy("hash").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("best"))
+        # the best are kept within each partition first: no list of all candidates is made
+        place = F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("score"), "vec_id"))
+        best = best.withColumn("place", place).where(F.col("place") <= k + 1)
+        return best.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("best"))
 
     probes = index.enough_probes(sample, k)
     best = common.cut(best_of(queries, probes))

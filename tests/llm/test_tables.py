@@ -575,3 +575,37 @@ def test_many_texts_of_one_id(spark):
     got = collections.Counter(r["component"] for r in found.collect())
     assert sorted(got.values()) == [2] * 150
     assert found.where("component_id <> 7").isEmpty()
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e200, 4e-323])
+def test_tiny_and_huge_vectors(spark, size):
+    """One row, and a tenth of all rows, of another size: recall stays, and scores are those of the vectors as they are."""
+    x = vectors(800, seed=6, groups=10).astype(float)
+    for some in (slice(3, 4), slice(0, None, 10)):
+        y = x.copy()
+        y[some] *= size
+        assert np.abs(y).max(1).min() > 0
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>").repartition(5)
+        got = collections.defaultdict(dict)
+        for r in ann.neighbours(rows, every=10).collect():
+            got[r.query_id][r.vec_id] = r.score
+        scaled = y / np.abs(y).max(1, keepdims=True)
+        unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+        near = unit @ unit.T
+        hits = 0
+        for q in range(0, 800, 10):
+            assert len(got[q]) == 5 and all(s == pytest.approx(near[q, i], abs=1e-12) for i, s in got[q].items())
+            fifth = np.sort(np.delete(near[q], q))[-5]
+            hits += sum(near[q, i] >= fifth - 1e-9 for i in got[q])
+        assert hits >= 0.9 * 5 * 80
+
+
+def test_queries_of_a_cell_in_parts(spark, monkeypatch):
+    x = vectors(600, seed=7, groups=3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(map(tuple, ann.neighbours(rows, every=5).collect()))
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    monkeypatch.setattr(ann, "RERANK", 40)
+    parts = sorted(map(tuple, ann.neighbours(rows, every=5).collect()))
+    assert len(parts) == len(whole) and np.mean([a[:3] == b[:3] for a, b in zip(whole, parts, strict=True)]) > 0.9
