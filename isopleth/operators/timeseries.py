@@ -43,14 +43,20 @@ def resolution_days(df: DataFrame, time: str = TIME) -> DataFrame:
     return axis.select(step.alias("step")).agg(F.floor(F.median("step") / 86400).cast("int").alias("days"))
 
 
+#: Days of a step that fits a timescale: lowest and highest.
+STEPS = {"monthly": (28, 31), "weekly": (7, 7), "daily": (1, 1)}
+
+
+def fits(days: Column, timescale: str) -> Column:
+    return days.between(*STEPS[check_temporal_resolution(timescale)])
+
+
 def check_data_resolution_match(df: DataFrame, timescale: str, time: str = TIME) -> bool:
     """Whether the data's step fits the timescale; warns if not."""
-    days = resolution_days(df, time).first()["days"]
-    low, high = {"monthly": (28, 31), "weekly": (7, 7), "daily": (1, 1)}[check_temporal_resolution(timescale)]
-    fits = days is None or low <= days <= high
-    if not fits:
+    within = resolution_days(df, time).select(F.coalesce(fits(F.col("days"), timescale), F.lit(True)).alias("fits")).first()["fits"]
+    if not within:
         warnings.warn("The temporal resolution of data does not completely match the target timescale. Please check your input data.", stacklevel=2)
-    return fits
+    return within
 
 
 def densify(df: DataFrame, time: str = TIME) -> DataFrame:

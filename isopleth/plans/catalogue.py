@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.schema import ANCHOR_YEAR, INTERVAL, LATITUDE, LONGITUDE
+from ..functions.schema import ANCHOR_YEAR, INTERVAL, LATITUDE, LONGITUDE, check_input
 from ..functions.stats import METHODS
 from ..operators import alignment, cluster, rgdr, timeseries
 from ..operators import calendar as cal
@@ -252,7 +252,8 @@ def _model(which) -> rgdr.RGDR:
 
 
 def _inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return tables.precursor(spark, sf_dir), tables.target(spark, sf_dir)
+    years = tables.anchor_years(spark, sf_dir)
+    return tables.precursor(spark, sf_dir, years=years), tables.target(spark, sf_dir, years)
 
 
 @query(_with("precursor", "target", s=_pairs(MANY)) + _out("anchor_year pair latitude longitude x y", {"x": 6, "y": 6}, "s"), x=6, y=6)
@@ -724,6 +725,34 @@ def resample_hours(spark, sf_dir):
     return cal.resample(hours.map_years(year, year), events)
 
 
+_WEEKS = (
+    "SELECT y::int AS anchor_year, i::int AS i_interval, make_date(y::int, 8, 1) + (i::int - 1) * 14 AS l, make_date(y::int, 8, 1) + i::int * 14 AS r FROM years, range(1, 4) b(i) "
+    "UNION ALL SELECT y::int, -i::int, make_date(y::int, 8, 1) - i::int * 14, make_date(y::int, 8, 1) - (i::int - 1) * 14 FROM years, range(1, 24) b(i)"
+)
+
+
+@query(f"WITH years AS (SELECT y FROM (SELECT min(l_shipdate)::date AS low, max(l_shipdate)::date + 1 AS high FROM lineitem) s, range(1900, 2100) a(y) WHERE make_date(y::int, 8, 1) - 23 * 14 >= low AND make_date(y::int, 8, 1) + 42 <= high), k AS ({_WEEKS}), daily AS ({B['daily']}) SELECT anchor_year, i_interval, latitude, longitude, round(avg(value), 6) AS value FROM daily JOIN k ON time >= l AND time < r GROUP BY ALL", **_V)
+def resample_weekly(spark, sf_dir):
+    """Means over three intervals of two weeks from the anchor on and 23 before it, of all years that the daily field spans."""
+    data = tables.field_daily(spark, sf_dir)
+    return cal.resample(cal.weekly_calendar("08-01", "2W", 3).map_to_data(data), data)
+
+
+_STEPS = "SELECT '{0}' AS field, floor(median(step) / 86400)::int AS days FROM (SELECT epoch(time) - lag(epoch(time)) OVER (ORDER BY time) AS step FROM (SELECT DISTINCT time FROM {0}))"
+
+
+@query(_with("daily", "monthly", "event", d=" UNION ALL ".join(_STEPS.format(t) for t in ("daily", "monthly", "event"))) + "SELECT field, timescale, days BETWEEN low AND high AS fits FROM d, (VALUES ('monthly', 28, 31), ('weekly', 7, 7), ('daily', 1, 1)) s(timescale, low, high)")
+def resolution_match(spark, sf_dir):
+    """Whether the steps of three fields fit the timescales of a preprocessor."""
+    fields = {"daily": tables.field_daily(spark, sf_dir), "monthly": tables.field_monthly(spark, sf_dir), "event": tables.event_daily(spark, sf_dir)}
+    out = []
+    for name, data in fields.items():
+        check_input(data)
+        days = timeseries.resolution_days(data)
+        out += [days.select(F.lit(name).alias("field"), F.lit(scale).alias("timescale"), timeseries.fits(F.col("days"), scale).alias("fits")) for scale in timeseries.TIMESCALES]
+    return reduce(DataFrame.unionByName, out)
+
+
 # the monthly queries over all rows, without a choice of years
 
 for _name in "clim_monthly anomaly_monthly trend_linear detrend_linear preprocess_full preprocess_no_clim preprocess_no_detrend preprocess_trend".split():

@@ -63,14 +63,14 @@ def _interval(column: str):
     return F.when(month >= 8, month - 7).otherwise(month - 8).cast("int")
 
 
-def precursor(spark: SparkSession, sf_dir: str, cells: int = CELLS) -> DataFrame:
-    """anchor_year, i_interval (-4 to 4 around August 1st), latitude, longitude, value."""
-    rows = _cells(table(spark, sf_dir, "lineitem"), cells).where(_years(TIME, anchor_years(spark, sf_dir)) & F.month(TIME).between(4, 11))
+def precursor(spark: SparkSession, sf_dir: str, cells: int = CELLS, years: tuple[int, int] | None = None) -> DataFrame:
+    """anchor_year, i_interval (-4 to 4 around August 1st), latitude, longitude, value; years: those of both tables, if not given."""
+    rows = _cells(table(spark, sf_dir, "lineitem"), cells).where(_years(TIME, years or anchor_years(spark, sf_dir)) & F.month(TIME).between(4, 11))
     return rows.groupBy(F.year(TIME).alias(ANCHOR_YEAR), _interval(TIME).alias(INTERVAL), LATITUDE, LONGITUDE).agg(F.avg("value").alias("value"))
 
 
-def target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where(_years("o_orderdate", anchor_years(spark, sf_dir)) & F.month("o_orderdate").between(4, 11))
+def target(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where(_years("o_orderdate", years or anchor_years(spark, sf_dir)) & F.month("o_orderdate").between(4, 11))
     return rows.groupBy(F.year("o_orderdate").alias(ANCHOR_YEAR), _interval("o_orderdate").alias(INTERVAL)).agg(F.avg(F.log("o_totalprice")).alias("value"))
 
 

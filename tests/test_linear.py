@@ -125,6 +125,8 @@ def test_series_that_cannot_be_fitted(spark, sample):
     twice = more.withColumn("z3", F.col("z1") * 2 + F.col("z2"))
     assert all(r.corr is None for r in rgdr.partial_correlation(field.drop("w"), series, twice, "time").collect())
     assert rgdr.regression(field, series, "time", more=twice).where("x_coef is not null").isEmpty()
+    none = rgdr.regression(gap.withColumn("x", F.when(F.col("latitude") != 4, F.col("x"))), series, "time", more=more).where("latitude = 4").first()
+    assert none.n == 0 and none.x_coef is None and none.r2 is None
     assert rgdr.regression(field.limit(0), series, "time").isEmpty()
     with pytest.raises(ValueError):
         rgdr.regression(field, series, "time", "other")

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from isopleth.operators import alignment, calendar, cluster, ordered, rgdr, timeseries
-from isopleth.operators.graph import connected_components
 
 
 def plan_of(df):
@@ -69,6 +68,12 @@ def test_quantile_of_one_large_group(spark):
         assert len(got) == 1 and got[0].g is None and got[0].v == pytest.approx(want, abs=1e-6)
 
 
+def test_quantiles_of_several_variables_and_a_null_group(spark):
+    rows = spark.createDataFrame([(None, 1.0, 5.0, 1.0), (None, 3.0, None, 1.0), ("a", 2.0, 7.0, 2.0), ("b", None, None, 1.0)], "g string, v double, u double, w double")
+    got = {r.g: (r.v, r.u) for r in rgdr.weighted_groupby(rows, "g", "w", "quantile").collect()}
+    assert got == {None: (2.0, 5.0), "a": (2.0, 7.0), "b": (None, None)}
+
+
 def grid(spark, n, step, keep="true"):
     cells = spark.range(n * n).select((30 + F.floor(F.col("id") / n) * step).alias("latitude"), (200 + F.pmod("id", F.lit(n)) * step).alias("longitude")).where(keep)
     return cluster.numbered(cells).withColumn("sign", F.lit(1)).select("id", "sign", "latitude", "longitude")
@@ -84,15 +89,38 @@ def test_links_grow_with_cells(spark):
     assert sizes[1][1] <= 100 * max(sizes[0])
 
 
+def classes(n_of, edges):
+    """Smallest id of each component, by union-find."""
+    parent = {i: i for i in n_of}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in parent}
+
+
+def pairs_within(rows, eps):
+    ids, sign, lat, lon = (np.array(x) for x in zip(*rows, strict=True))
+    lat, lon = np.radians(lat), np.radians(lon)
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    near = (2 * 6371 * np.arcsin(np.minimum(1, np.sqrt(h))) <= eps) & (sign[:, None] == sign)
+    return [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
+
+
 @pytest.mark.parametrize("seed,n,eps", [(0, 300, 300), (1, 800, 120), (2, 60, 1500), (3, 2000, 60)])
 def test_links_give_the_components_of_all_pairs(spark, seed, n, eps):
     rng = np.random.default_rng(seed)
     middle = rng.uniform((-88, 0), (89, 360), (6, 2))
     place = middle[rng.integers(0, 6, n)] + rng.normal(size=(n, 2)) * (2, 4)
     rows = [(i, 1 if i % 5 else -1, float(np.clip(a, -90, 90)), float(b % 360 - (360 if i % 2 else 0))) for i, (a, b) in enumerate(place)]
-    points = spark.createDataFrame(rows, "id long, sign int, latitude double, longitude double").cache()
-    parts = [{(r.part, r.id): r.component for r in connected_components(e.withColumnRenamed("sign", "part")).collect()} for e in (cluster.eps_edges(points, eps), cluster.links(points, eps))]
-    assert parts[0] == parts[1]
+    points = spark.createDataFrame(rows, "id long, sign int, latitude double, longitude double")
+    ids = [r[0] for r in rows]
+    assert classes(ids, [(r.a, r.b) for r in cluster.links(points, eps).collect()]) == classes(ids, pairs_within(rows, eps))
 
 
 def test_tiles_that_need_division(spark):
@@ -104,8 +132,8 @@ def test_tiles_that_need_division(spark):
         shift = gap / (km * np.cos(np.radians(40)))
         right = [(1000 + i, 1, float(40 + 0.3 * x), float(10 + shift + 0.2 * x * x)) for i, x in enumerate(t)]
         points = spark.createDataFrame(left + right, "id long, sign int, latitude double, longitude double")
-        found = connected_components(cluster.links(points, 50.0).withColumnRenamed("sign", "part"))
-        assert found.select("component").distinct().count() == joined
+        found = classes([r[0] for r in left + right], [(r.a, r.b) for r in cluster.links(points, 50.0).collect()])
+        assert len(set(found.values())) == joined
 
 
 def test_labels_of_many_clusters(spark):
