@@ -116,29 +116,27 @@ class Index:
 
 
 def usable(embeddings: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id and vector of the rows that take part.
-
-    Each vector is scaled by a power of two so that its largest component is about 1. That is exact and leaves cosines as
-    they are, and norms of tiny and huge vectors neither vanish nor overflow.
-    """
+    """id and vector of the rows that take part."""
     v = F.col(vector)
     rows = embeddings.select(F.col(id_).cast("long").alias("id"), v.cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
-    # in two steps, as the powers of the smallest numbers are beyond the largest
-    power = -F.floor(F.log2(F.array_max(F.transform("v", F.abs))))
-    first = F.floor(power / 2)
-    rows = rows.withColumn("a", F.pow(F.lit(2.0), first)).withColumn("b", F.pow(F.lit(2.0), power - first))
-    rows = rows.select("id", F.transform("v", lambda x: x * F.col("a") * F.col("b")).alias("v"))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()  # one row
     return rows.where(F.size("v") == (size[0]["n"] if size else 0))
 
 
 def _matrix(column) -> np.ndarray:
+    """Vectors, each scaled by a power of two so that its largest component is about 1.
+
+    That is exact and leaves cosines as they are, and norms of tiny and huge vectors neither vanish nor overflow.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+    if not n:
+        return np.zeros((0, 1))
+    out = column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return np.ldexp(out, -np.frexp(np.abs(out).max(1))[1][:, None])
 
 
 def _lists(x: np.ndarray) -> pa.Array:
