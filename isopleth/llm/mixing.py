@@ -42,10 +42,12 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a block.
 BLOCK = 4096
-#: Documents of a source's last block that wait for the landing, besides the two of the flight; other blocks leave half.
-LANDING = 24
-#: Draws of the landing, and the error in words from which it draws without regard to the chances.
-DRAWS, TOLERANCE = 1024, 64
+#: Documents of a source's last block that wait for the landing, besides the two of the flight; other blocks leave a quarter at most.
+LANDING = 64
+#: Samples that the landing chooses from: draws by the chances, draws with each document in and out, and how often each draw is brought nearer.
+DRAWS, HELD, NEARER = 256, 4, 3
+#: Steps of the landing's linear programme for each document, at most; it may end at any step, with chances kept.
+STEPS = 20
 #: Sources up to which their table is broadcast; beyond, the joins are shuffles.
 BROADCAST_SOURCES = 100_000
 
@@ -106,19 +108,83 @@ def flight(size: np.ndarray, chance: np.ndarray, random: np.ndarray) -> np.ndarr
     return np.array(out)
 
 
-def landing(size: np.ndarray, chance: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Decides what is left: of many draws by the inclusion probabilities, the one with the smallest error in words, then in documents."""
-    out = chance.copy()
+def _nearer(options: np.ndarray, held: np.ndarray, size: np.ndarray, words: float, least: int, high: int) -> np.ndarray:
+    """Samples with one or two documents changed by one, but not the held one (-1: none), so that each is as near the words as such a change can make it."""
+    m, n = options.shape
+    rows = np.arange(m)
+    up, down = np.where(options < high, size, np.inf), np.where(options > least, -size, np.inf)
+    kept = np.flatnonzero(held >= 0)
+    up[kept, held[kept]] = down[kept, held[kept]] = np.inf
+    change = np.concatenate([up, down, np.zeros((m, 1))], 1)  # the last: no change
+    off = options @ size - words
+    best, pair = np.full(m, np.inf), np.full((m, 2), 2 * n)
+    for k in range(2 * n):
+        both = np.abs((off + change[:, k])[:, None] + change[:, k + 1 :])
+        at = both.argmin(1)
+        error = both[rows, at]
+        less = error < np.minimum(best, np.abs(off))
+        best[less] = error[less]
+        pair[less] = np.stack([np.full(m, k), at + k + 1], 1)[less]
+    out = np.concatenate([options, options[:, :1]], 1)
+    for one in pair.T:
+        np.add.at(out, (rows, np.where(one == 2 * n, n, one % n)), np.where(one < n, 1, -1))
+    return np.clip(out[:, :n], least, high)
+
+
+def design(samples: np.ndarray, cost: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of samples and their probabilities, with which every document has its chance and the expected cost is least.
+
+    A linear programme with a row for each document and one for the whole, solved by the simplex method. The first
+    len(chance) + 1 samples must be those of `nested`, which keep the chances; so does what each step gives.
+    """
+    n = len(chance)
+    rows = np.concatenate([samples.T.astype(float), np.ones((1, len(samples)))])
+    goal = np.append(chance, 1.0)
+    base = np.arange(n + 1)
+    for _ in range(STEPS * (n + 1)):
+        square = rows[:, base]
+        gain = cost - np.linalg.solve(square.T, cost[base]) @ rows
+        new = int(gain.argmin())
+        if gain[new] > -1e-7 * (1 + cost.max()):
+            break
+        share, way = np.linalg.solve(square, np.stack([goal, rows[:, new]], 1)).T
+        down = np.flatnonzero(way > 1e-9)
+        base[down[(np.maximum(share[down], 0) / way[down]).argmin()]] = new
+    share = np.maximum(np.linalg.solve(rows[:, base], goal), 0)
+    return base, share / share.sum()
+
+
+def nested(chance: np.ndarray) -> np.ndarray:
+    """The samples of the likeliest document, of the two likeliest, and so on, and the empty one: some mixture of them keeps any chances in this order."""
+    place = np.empty(len(chance), int)
+    place[np.argsort(-chance, kind="stable")] = np.arange(len(chance))
+    return place[None, :] < np.arange(len(chance) + 1)[:, None]
+
+
+def landing(size: np.ndarray, chance: np.ndarray, seed: int = 0, least: int = 0, high: int = 1) -> np.ndarray:
+    """Decides what is left by a sampling design that keeps every chance and has the least expected error in words.
+
+    least: -1 if documents are also taken for certain, so that one may be left out for another; high: 2 if one may be
+    taken twice for another. The mean of what is taken stays the chance. A document too many, or one that is left out or
+    taken twice, counts as one word.
+    """
+    out = chance.astype(float)
     left = np.flatnonzero((out > 0) & (out < 1))
-    if len(left):
-        rng = np.random.default_rng(seed)
-        draws = rng.random((DRAWS, len(left)))
-        words, docs = (size[left] * out[left]).sum(), out[left].sum()
-        error = lambda options: np.abs(options @ size[left] - words)
-        options = draws < out[left]
-        if error(options).min() > TOLERANCE:
-            options = np.concatenate([options, draws < 0.5, rng.random((8 * DRAWS, len(left))) < np.linspace(0.02, 0.5, 8 * DRAWS)[:, None]])
-        out[left] = options[np.lexsort((np.abs(options.sum(1) - docs), error(options)))[0]]
+    if not len(left):
+        return out
+    rng = np.random.default_rng(seed)
+    x, p, n = size[left].astype(float), out[left], len(left)
+    words, docs = (x * p).sum(), p.sum()
+    held = np.concatenate([np.full(DRAWS, -1), np.repeat(np.arange(n), 2 * HELD)])
+    draws = (rng.random((len(held), n)) < p).astype(np.int8)
+    draws[np.arange(DRAWS, len(held)), held[DRAWS:]] = np.arange(2 * HELD * n) % 2  # each document in and out
+    options = [nested(p).astype(np.int8), draws]
+    for _ in range(NEARER):
+        options.append(_nearer(options[-1], held, x, words, least, high))
+    samples = np.concatenate(options)
+    cost = np.abs(samples @ x - words) + np.abs(samples.sum(1) - docs) + ((samples < 0) | (samples > 1)).sum(1)
+    base, share = design(samples, cost, p)
+    out[left] = samples[rng.choice(base, p=share)]
     return out
 
 
@@ -132,7 +198,7 @@ def later(size: np.ndarray, chance: np.ndarray, random: np.ndarray, most: int) -
     return out
 
 
-_ROW = "doc_id long, print long, size long, place long, chance double, draw long"
+_ROW = "doc_id long, print long, size long, place long, least int, high int, chance double, draw long"
 
 
 def _block(rows: pa.Table) -> pa.Table:
@@ -141,9 +207,10 @@ def _block(rows: pa.Table) -> pa.Table:
     size, draw = rows["size"].to_numpy(), rows["draw"].to_numpy().view(np.uint64)
     random = (common.mix(draw + np.uint64(len(size))) >> np.uint64(11)).astype(float) / 2**53
     last = rows["blocks"][0].as_py() == 1
-    chance = later(size, rows["chance"].to_numpy(), random, LANDING if last else LANDING // 2)
-    chance = landing(size, chance, int(np.bitwise_xor.reduce(draw))) if last else chance
-    return pa.Table.from_arrays([rows["doc_id"], rows["print"], rows["size"], rows["place"], pa.array(chance), pa.array(common.mix(draw).view(np.int64))], ["doc_id", "print", "size", "place", "chance", "draw"])
+    chance = later(size, rows["chance"].to_numpy(), random, LANDING if last else min(LANDING // 2, BLOCK // 4))
+    if last:
+        chance = landing(size, chance, int(np.bitwise_xor.reduce(draw)), rows["least"][0].as_py(), rows["high"][0].as_py())
+    return pa.Table.from_arrays([*[rows[c] for c in ("doc_id", "print", "size", "place", "least", "high")], pa.array(chance), pa.array(common.mix(draw).view(np.int64))], ["doc_id", "print", "size", "place", "least", "high", "chance", "draw"])
 
 
 def row_print(text: str = "text", source: str = "source"):
@@ -156,14 +223,14 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _decided(rows: DataFrame) -> DataFrame:
-    """Rows with chances of 0 or 1; by rounds of blocks within places (sources)."""
+    """Rows with chances of 0 or 1 (-1: one less than for certain, 2: two more); by rounds of blocks within places (sources)."""
     done, left = None, common.cut(rows)
     while True:
         counts = common.cut(left.groupBy("place").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks")))
         most = counts.agg(F.max("blocks")).first()[0] or 1
         parts = left.join(_few(counts), "place").withColumn("block", F.pmod("draw", F.col("blocks")).cast("int"))
         flown = common.cut(parts.groupBy("place", "block").applyInArrow(_block, _ROW))
-        settled = flown.where("chance = 0 or chance = 1")
+        settled = flown.where("chance <= 0 or chance >= 1")
         done = settled if done is None else done.unionByName(settled)
         if most == 1:  # every source has landed
             return done
@@ -216,18 +283,20 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     units = parts.groupBy(*row, "size").agg(F.sum("n").alias("n")).join(_few(sources.select("place", "times")), "place")
     units = units.withColumn("sure", F.when(F.col("size") > 0, F.floor(expected + 1e-12)).otherwise(0))
     units = common.cut(units.withColumn("chance", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), expected - F.col("sure"))).otherwise(0.0)))
-    drawn = _decided(units.select("doc_id", "print", "size", "place", "chance", F.xxhash64("doc_id", "print").alias("draw")))
+    least, high = -(whole > 0).cast("int"), F.when(whole + 2 <= most, 2).otherwise(1)
+    drawn = _decided(units.select("doc_id", "print", "size", "place", least.alias("least"), high.alias("high"), "chance", F.xxhash64("doc_id", "print").alias("draw")))
 
-    # of n equal rows, the first `extra` are taken once more; numbered over the parts they were counted in
+    # n equal rows are taken `extra` times more (-1: once less), the first ones more often; numbered over the parts they were counted in
     same = lambda a, b: a["doc_id"].eqNullSafe(b["d"]) & (a["print"] == b["p"]) & (a["place"] == b["s"])
     renamed = lambda df, *more: df.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("place").alias("s"), *more)
     extra = renamed(drawn, F.col("chance").cast("long").alias("once"))
-    extra = renamed(units.join(extra, same(units, extra)), (F.col("sure") + F.col("once")).alias("extra"))
+    extra = renamed(units.join(extra, same(units, extra)), (F.col("sure") + F.col("once")).alias("extra"), F.col("n").alias("of"))
     out = parts.join(extra, same(parts, extra)).drop("d", "p", "s")
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*row).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = out.withColumn("before", before).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     out = out.join(_few(sources.select("place", "source_size", "target", whole.alias("whole"))), "place")
-    times = F.when(F.col("size") > 0, F.col("whole") + (F.col("before") + F.col("number") <= F.col("extra")).cast("long")).otherwise(0).cast("long")
+    at = F.col("before") + F.col("number")
+    times = F.when(F.col("size") > 0, F.col("whole") + F.floor(F.col("extra") / F.col("of")) + (at <= F.pmod("extra", "of")).cast("long")).otherwise(0).cast("long")
     return out.select("doc_id", "print", "place", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
 
 
