@@ -317,17 +317,17 @@ def test_landing_design_keeps_every_chance(long, its):
     every = np.concatenate([samples, more])
     base, share = mixing.design(every, np.concatenate([cost, np.abs(more @ size - (size * chance).sum())]), chance)
     assert share @ every[base] == pytest.approx(chance, abs=1e-9)
-    out = np.array([mixing.landing(size, chance, s) for s in range(300)])
+    out = np.array([mixing.landing(size, chance, s) for s in range(100)])
     assert set(np.unique(out)) <= {0.0, 1.0} and (out[:, 6] == 0).all() and (out[:, 7] == 1).all()
-    assert (np.abs(out.mean(0) - chance) < 4.5 * np.sqrt(chance * (1 - chance) / 300) + 1e-9).all()
+    assert (np.abs(out.mean(0) - chance) < 4.5 * np.sqrt(chance * (1 - chance) / 100) + 1e-9).all()
     error = np.abs(out @ size - (size * chance).sum())
     assert error.max() < 50 if not long else np.median(error) < 0.5 * long
 
 
 def test_landing_of_ties_and_one_document():
     for n in (1, 2, 9):
-        out = np.array([mixing.landing(np.full(n, 7.0), np.full(n, 0.3), s) for s in range(400)])
-        assert np.abs(out.mean(0) - 0.3).max() < 0.11 and np.abs(out.sum(1) - 0.3 * n).max() < 1
+        out = np.array([mixing.landing(np.full(n, 7.0), np.full(n, 0.3), s) for s in range(150)])
+        assert np.abs(out.mean(0) - 0.3).max() < 0.17 and np.abs(out.sum(1) - 0.3 * n).max() < 1
 
 
 @pytest.mark.parametrize("each, least, high", [(0.004, -1, 1), (0.996, 0, 2)])
@@ -335,10 +335,12 @@ def test_landing_of_few_words(each, least, high):
     """Fewer words to take, or to leave, than any document has: documents are left out, or taken twice, for others; means are the chances."""
     rng = np.random.default_rng(1)
     size, chance = rng.integers(100, 900, 40).astype(float), np.full(40, each)
-    out = np.array([mixing.landing(size, chance, s, least, high) for s in range(150)])
+    out = np.array([mixing.landing(size, chance, s, least, high) for s in range(40)])
     assert set(np.unique(out)) == set(range(least, high + 1))
-    assert np.abs(out @ size - (size * chance).sum()).max() < 20
-    assert abs(out.mean() - each) < 0.01
+    plain = np.array([mixing.landing(size, chance, s) for s in range(40)])
+    error, before = (np.abs(x @ size - (size * chance).sum()).mean() for x in (out, plain))
+    assert error < size.min() and error < 0.75 * before
+    assert abs(out.mean() - each) < 0.03
 
 
 def test_mixed_rows_that_share_an_id(spark):
