@@ -42,7 +42,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a block.
 BLOCK = 4096
-#: Documents of a source's last block that wait for the landing, besides the two of the flight; other blocks leave a quarter at most.
+#: Documents of a source's last block that wait for the landing, besides the two of the flight; other blocks leave half of that, and of their own at most.
 LANDING = 64
 #: Samples that the landing chooses from: draws by the chances, draws with each document in and out, and how often each draw is brought nearer.
 DRAWS, HELD, NEARER = 256, 4, 3
@@ -207,7 +207,7 @@ def _block(rows: pa.Table) -> pa.Table:
     size, draw = rows["size"].to_numpy(), rows["draw"].to_numpy().view(np.uint64)
     random = (common.mix(draw + np.uint64(len(size))) >> np.uint64(11)).astype(float) / 2**53
     last = rows["blocks"][0].as_py() == 1
-    chance = later(size, rows["chance"].to_numpy(), random, LANDING if last else min(LANDING // 2, len(size) // 4))
+    chance = later(size, rows["chance"].to_numpy(), random, LANDING if last else min(LANDING // 2, len(size) // 2))
     if last:
         chance = landing(size, chance, int(np.bitwise_xor.reduce(draw)), rows["least"][0].as_py(), rows["high"][0].as_py())
     return pa.Table.from_arrays([*[rows[c] for c in ("doc_id", "print", "size", "place", "least", "high")], pa.array(chance), pa.array(common.mix(draw).view(np.int64))], ["doc_id", "print", "size", "place", "least", "high", "chance", "draw"])
