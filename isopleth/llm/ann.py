@@ -4,9 +4,13 @@ Fit, on a bounded hash-ordered sample (`SAMPLE`): coarse centroids by k-means on
 number of rows, and for each of the `PARTS` sub-vectors of the residuals a codebook of up to 256 words. Index, every
 row: the nearest centroid's cell and one byte for each part. Search: a query probes so many of the cells nearest to it
 as the sample's true neighbours call for (few where vectors form groups, many where they don't: of random directions in
-64 dimensions, about half); in each it builds its asymmetric distance table, ranks the cell's rows by the sum of
-table entries, and the best of each block (`RERANK` of a full one, `LEAST_RERANKED` at least) are scored exactly, in double precision on the original vectors. A
-query that finds fewer than k this way, though there are more, is searched again in all cells.
+64 dimensions, about half), and more if those of queries like it do: up to `CALIBRATING` queries are compared with every
+row first, and queries that are equally far from their nearest centroid get the cells that these needed. In each cell it
+builds its asymmetric distance table and ranks the rows by the sum of table entries. The best of each block (`RERANK` of a
+full one, `LEAST_RERANKED` at least) are scored exactly, in double precision on the original vectors, and after them
+every row that its codes don't exclude: a row is no farther from its decoded vector than is known of it, so that
+its distance is at least that of the decoded vector less that. Within the cells probed nothing is missed, whatever
+the rows are like. A query that finds fewer than k this way, though there are more, is searched again in all cells.
 
 Scale and skew. Only centroids, codebooks and the number of rows of each cell are on the driver. (A quarter of the sample
 is the most centroids; from 25 million rows on cells grow instead.) Cells with more than `BLOCK` rows are cut into blocks
@@ -38,6 +42,10 @@ PARTS, WORDS = 16, 256
 BLOCK, RERANK, LEAST_RERANKED = 4096, 64, 16
 #: Share of the sample's true neighbours that must be in the probed cells, and queries of the sample used for that.
 COVERED, CALIBRATING = 0.97, 512
+#: Groups of those queries by their distance from the nearest centroid, at most, and queries of a group, at least.
+GROUPS, GROUP = 8, 32
+#: Rounding of the distances by tables, relative, and of distances and cosines otherwise.
+TABLE_ROUNDING, DISTANCE_ROUNDING, COSINE_ROUNDING = 1e-5, 1e-6, 1e-12
 #: Query vectors that are searched in a cell at a time.
 QUERIES = 4096
 #: First steps of the reduction of a vector that many batches have.
@@ -105,6 +113,18 @@ class Index:
         far = (self.centroids**2).sum(1) / 2 - unit @ self.centroids.T
         return np.argsort(far, axis=1, kind="stable")[:, :n]
 
+    def reach(self, queries: np.ndarray) -> np.ndarray:
+        """Distance of each query from its nearest centroid, squared."""
+        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+        return ((unit - self.centroids[nearest(unit, self.centroids)]) ** 2).sum(1)
+
+    def misses(self, unit: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Distance of each unit vector of a cell from the vector that its codes stand for."""
+        rest = unit - self.centroids[cell]
+        for part, (a, b, book) in enumerate(zip(self.edges[:-1], self.edges[1:], self.books, strict=True)):
+            rest[:, a:b] -= book[codes[:, part]]
+        return np.linalg.norm(rest, axis=1)
+
     def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of a cell's codes from each query, by tables."""
         residual = queries / np.linalg.norm(queries, axis=1, keepdims=True) - self.centroids[cell]
@@ -180,17 +200,67 @@ def _entries(rows: DataFrame, index: Index, k: int) -> DataFrame:
     return rows.mapInArrow(common.tidy(run), _ENTRY)
 
 
-def _probing(rows: DataFrame, index: Index, probes: int) -> DataFrame:
+def _true_cells(entries: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
+    """The k + 1 vectors of all that are nearest to each of some queries: (query, hash, cell, score)."""
+    schema = pa.schema([("query", pa.int32()), ("hash", pa.int64()), ("cell", pa.int32()), ("score", pa.float64())])
+    wanted = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+
+    def run(batches):
+        score, found = np.zeros((len(wanted), 0)), np.zeros((len(wanted), 0, 2), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column("v"))
+            near = np.concatenate([score, wanted @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T], axis=1)
+            new = np.stack([batch.column("hash").to_numpy(), batch.column("cell").to_numpy().astype(np.int64)], 1)
+            best = np.argpartition(-near, k, axis=1)[:, : k + 1] if near.shape[1] > k + 1 else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+            old = score.shape[1]
+            both = new[np.maximum(best - old, 0)]
+            if old:
+                both = np.where((best < old)[:, :, None], np.take_along_axis(found, np.minimum(best, old - 1)[:, :, None], 1), both)
+            score, found = np.take_along_axis(near, best, 1), both
+        each = np.repeat(np.arange(len(wanted)), score.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(each, pa.int32()), pa.array(found[:, :, 0].reshape(-1)), pa.array(found[:, :, 1].reshape(-1), pa.int32()), pa.array(score.reshape(-1))], schema=schema)
+
+    found = entries.select("hash", "cell", "v").mapInArrow(common.tidy(run), "query int, hash long, cell int, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "hash"))
+    return found.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+
+
+def _enough(entries: DataFrame, index: Index, queries: DataFrame, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells to probe, at least `least`: bounds between groups of queries by `Index.reach`, and a number for each group.
+
+    Those in which the wanted share of true neighbours is, as measured on some queries and all rows.
+    """
+    some = queries.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(CALIBRATING).toArrow()
+    if not some.num_rows:
+        return np.zeros(0), np.array([least])
+    _, some = _distinct(some["id"].to_numpy(), _matrix(some["v"]), 1)
+    found = _true_cells(entries, some, k).toArrow()  # k + 1 rows for each of them
+    query, cell = found["query"].to_numpy(), found["cell"].to_numpy()
+    place = np.argsort(index.probes(some, len(index.centroids)), axis=1)
+    other = found["hash"].to_numpy() != _hashes(some)[query]
+    query, rank = query[other], place[query, cell][other]
+    reach = index.reach(some)
+    bounds = np.quantile(reach, np.linspace(0, 1, int(np.clip(len(some) // GROUP, 1, GROUPS)) + 1)[1:-1])
+    group = np.searchsorted(bounds, reach)[query]
+    need = [np.sort(rank[group == g]) for g in range(len(bounds) + 1)]
+    return bounds, np.array([max(least, int(r[int(np.ceil(COVERED * (len(r) - 1)))]) + 1) if len(r) else least for r in need])
+
+
+def _probing(rows: DataFrame, index: Index, probes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Distinct query vectors with the cells to search: (cell, hash, v)."""
+    bounds, enough = probes
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             _, vectors = _distinct(batch.column("id").to_numpy(), _matrix(batch.column("v")), 1)
-            cells = index.probes(vectors, probes)
-            each = np.repeat(np.arange(len(vectors)), cells.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(cells.reshape(-1), pa.int32()), pa.array(_hashes(vectors)[each]), _lists(vectors[each])], ["cell", "hash", "v"])
+            own = np.minimum(enough[np.searchsorted(bounds, index.reach(vectors))], len(index.centroids))
+            cells = index.probes(vectors, own.max())
+            each = np.repeat(np.arange(len(vectors)), own)
+            yield pa.RecordBatch.from_arrays([pa.array(cells[np.arange(cells.shape[1]) < own[:, None]], pa.int32()), pa.array(_hashes(vectors)[each]), _lists(vectors[each])], ["cell", "hash", "v"])
 
     return rows.mapInArrow(common.tidy(run), "cell int, hash long, v array<double>").dropDuplicates(["cell", "hash"])
 
@@ -213,7 +283,7 @@ def _once(entries: DataFrame, k: int) -> DataFrame:
 
 
 def _searching(index: Index, k: int):
-    """Best candidates of one block for all queries that probe its cell."""
+    """Best candidates of one block for all queries that probe its cell: none of its rows has a higher cosine."""
 
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("hash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -222,16 +292,29 @@ def _searching(index: Index, k: int):
         ids, vectors, cell = block["ids"].to_pylist(), _matrix(block["v"]), block["cell"][0].as_py()
         codes = np.frombuffer(b"".join(block["codes"].to_pylist()), np.uint8).reshape(block.num_rows, -1)
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        unit = vectors / norms[:, None]
+        misses = index.misses(unit, cell, codes)
         smallest = np.array([min(x) for x in ids])
         hashes, wanted = queries["hash"].to_numpy(), _matrix(queries["v"])
-        some_best = max(LEAST_RERANKED, k + 1, -(-RERANK * len(ids) // BLOCK))
+        some_best = min(len(ids), max(LEAST_RERANKED, k + 1, -(-RERANK * len(ids) // BLOCK)))
+        last = min(len(ids), k + 1)
         out = []
         for at in range(0, len(wanted), 64):
             some = wanted[at : at + 64]
             far = index.distances(some, cell, codes)
             own = np.sqrt(np.einsum("ij,ij->i", some, some))
+            some_unit = some / own[:, None]
+            first = np.argpartition(far, some_best - 1, axis=1)[:, :some_best]
+            score = np.einsum("qbj,qj->qb", unit[first], some_unit)
+            reach = np.sqrt(np.maximum(2 - 2 * np.partition(score, -last, axis=1)[:, -last], 0)) + DISTANCE_ROUNDING
+            # what is left are rows whose codes don't put them beyond the best so far
+            left = np.sqrt(far) * (1 - TABLE_ROUNDING) - misses <= reach[:, None]
+            np.put_along_axis(left, first, True, axis=1)
+            rows = np.flatnonzero(left.any(0))
+            near = some_unit @ unit[rows].T
+            least = np.partition(near, -last, axis=1)[:, -last] - COSINE_ROUNDING
             for i, q in enumerate(some):
-                best = np.arange(len(ids)) if len(ids) <= some_best else np.argpartition(far[i], some_best - 1)[:some_best]
+                best = rows[near[i] >= least[i]]
                 score = np.einsum("ij,j->i", vectors[best], q) / (norms[best] * own[i])
                 for j in np.lexsort((smallest[best], -score))[: k + 1]:
                     out += [(hashes[at + i], x, score[j]) for x in ids[best[j]]]
@@ -258,7 +341,7 @@ def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, id_: str = "v
     entries = entries.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod("hash", F.col("blocks")).cast("int")).drop("blocks")
     queries = rows.where(F.col("id") % every == 0)
 
-    def best_of(some: DataFrame, probes: int) -> DataFrame:
+    def best_of(some: DataFrame, probes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """The k + 1 best of each query vector, so that k are left without the query's own row."""
         # the queries of a cell are cut as well, into parts that meet all blocks of the cell
         probing = common.cut(_probing(some, index, probes))
@@ -275,7 +358,7 @@ def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, id_: str = "v
         best = best.withColumn("place", place).where(F.col("place") <= k + 1)
         return best.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("best"))
 
-    probes = index.enough_probes(sample, k)
+    probes = _enough(entries, index, queries, k, index.enough_probes(sample, k))
     best = common.cut(best_of(queries, probes))
 
     def hashed(batches):
@@ -284,12 +367,12 @@ def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, id_: str = "v
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_hashes(_matrix(batch.column("v"))))], ["query_id", "hash"])
 
     asked = queries.mapInArrow(common.tidy(hashed), "query_id long, hash long").distinct()
-    if probes < len(index.centroids):
+    if probes[1].min() < len(index.centroids):
         # too few in the probed cells: all cells, for these queries only
         short = best.where(F.size("best") < min(k + 1, total)).select("hash")
         short = common.cut(asked.join(short, "hash").select(F.col("query_id").alias("id")))
         if not short.isEmpty():
-            more = best_of(queries.join(short, "id", "left_semi"), len(index.centroids))
+            more = best_of(queries.join(short, "id", "left_semi"), (np.zeros(0), np.array([len(index.centroids)])))
             best = best.join(more.select("hash"), "hash", "left_anti").unionByName(more)
     own = asked.join(best, "hash").withColumn("best", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     out = own.select("query_id", F.posexplode("best").alias("rank", "x"))

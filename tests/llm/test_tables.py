@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -647,3 +648,47 @@ def test_queries_of_a_cell_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ann, "RERANK", 40)
     parts = sorted(map(tuple, ann.neighbours(rows, every=5).collect()))
     assert len(parts) == len(whole) and np.mean([a[:3] == b[:3] for a, b in zip(whole, parts, strict=True)]) > 0.9
+
+
+def other_rows(kind: str, n: int) -> np.ndarray:
+    rng = np.random.default_rng(11)
+    directions = lambda m: (x := rng.normal(size=(m, 64))) / np.linalg.norm(x, axis=1, keepdims=True)
+    groups, noise = (30, 0.002) if kind == "tight groups" else (60, 0.01)
+    x = directions(groups)[rng.integers(0, groups, n)] + noise * rng.normal(size=(n, 64))
+    if kind == "queries elsewhere":
+        x[::50] = directions(len(x[::50]))
+    if kind == "half in groups":
+        some = rng.random(n) < 0.5
+        x[some] = directions(some.sum())
+    return x
+
+
+@pytest.mark.parametrize("kind", ["tight groups", "queries elsewhere", "half in groups"])
+def test_recall_on_other_rows(spark, kind):
+    """Groups within which all codes are equal, and queries whose neighbours lie otherwise than those of most rows."""
+    x, ids = other_rows(kind, 6000), np.arange(6000)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(set)
+    for r in ann.neighbours(rows).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = exact(ids, x)
+    hits = np.array([len(got[q] & {a for a, _ in w}) for q, w in want.items()])
+    assert hits.mean() / 5 >= 0.95
+
+
+def test_a_block_misses_nothing():
+    """Whatever the codes say: here books that were fitted on other vectors, which give most rows the same codes."""
+    rng = np.random.default_rng(12)
+    index = ann.Index(rng.normal(size=(500, 64)), 1)
+    x = np.ones(64) + 0.01 * rng.normal(size=(3000, 64))
+    cell, codes = index.assign(x)
+    assert set(cell) == {0}
+    block = pa.table({"cell": pa.array(cell, pa.int32()), "hash": ann._hashes(x), "ids": [[i] for i in range(3000)], "v": ann._lists(x), "codes": [c.tobytes() for c in codes]})
+    found = ann._searching(index, 5)(block, pa.table({"hash": ann._hashes(x[:100]), "v": ann._lists(x[:100])})).to_pydict()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    place = {h: i for i, h in enumerate(ann._hashes(x[:100]).tolist())}
+    got = collections.defaultdict(set)
+    for h, v in zip(found["hash"], found["vec_id"], strict=True):
+        got[place[h]].add(v)
+    for i, near in enumerate(unit[:100] @ unit.T):
+        assert got[i] == set(np.argsort(-near)[:6].tolist())
