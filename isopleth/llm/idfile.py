@@ -21,9 +21,11 @@ import os
 import re
 import unicodedata
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +61,12 @@ class LibraryIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        # the same model for units that are normalised already and one pre-token each
+        # the same model for units that are normalised already, one pre-token each, and in the characters of their bytes
         self.normal = Tokenizer(self.library.model)
-        self.normal.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.normal.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        characters = bpe.byte_characters()
+        characters[32] = " "
+        self.characters = "".join(characters)
         suffix = self.library.model.end_of_word_suffix
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -87,7 +92,7 @@ class LibraryIds:
                 normal.append(low.encode())
             else:
                 odd.append(unit)
-        parts = [b" ".join(normal[i : i + 256]).decode() for i in range(0, len(normal), 256)]
+        parts = [b" ".join(normal[i : i + 256]).decode("latin-1").translate(self.characters) for i in range(0, len(normal), 256)]
         ids = np.array([i for x in self.normal.encode_batch_fast(parts, add_special_tokens=False) for i in x.ids], "<u4")
         cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(cuts) == len(letters):
@@ -113,44 +118,83 @@ class LibraryIds:
         return out
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text of a slab."""
+        """Ids of each text of a slab: units are looked up once for each distinct one of the slab."""
         raw, low = data.tobytes(), common.lowered(data).tobytes()
-        plain = np.ones(len(offs) - 1, bool)
-        if len(data):
-            stop = _STOP[data]
-            touched = np.zeros(len(data), bool)
-            touched[:-1] = (stop[:-1] & ~_MAY_FOLLOW[data[1:]]) | (stop[1:] & ~_MAY_PRECEDE[data[:-1]]) | ((data[:-1] == 60) & (data[1:] == 124))
-            plain = np.diff(np.concatenate([[0], np.cumsum(touched)])[offs]) == 0
-        split = []
-        for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-            own = low[a:b]
-            if plain[i]:
-                split.append(own.replace(b".", b" . ").replace(b",", b" , ").split())
-            else:  # runs of marks are units, but for contractions and special tokens
-                split.append(None if b"'" in own or b"<|" in own else _RUNS.findall(own))
+        n = len(offs) - 1
+        if not len(data):
+            return [np.zeros(0, "<u4")] * n
+        stop = _STOP[data]
+        touched = np.zeros(len(data), bool)
+        touched[:-1] = (stop[:-1] & ~_MAY_FOLLOW[data[1:]]) | (stop[1:] & ~_MAY_PRECEDE[data[:-1]]) | ((data[:-1] == 60) & (data[1:] == 124))
+        plain = np.diff(np.concatenate([[0], np.cumsum(touched)])[offs]) == 0
+        # plain texts are split together; stops and commas stand between blanks
+        spread = low.replace(b".", b" . ").replace(b",", b" , ")
+        ends = offs + 2 * np.concatenate([[0], np.cumsum(stop)])[offs]
+        texts = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(spread)])
+        split = pc.ascii_split_whitespace(texts.filter(pa.array(plain)))
+        counts, by_words = np.zeros(n, np.int64), np.zeros(n, bool)
+        counts[plain] = split.value_lengths().to_numpy(zero_copy_only=False)
+        units = [split.flatten().view(pa.large_binary())]
+        # of the others runs of marks are units, but for contractions and special tokens
+        runs = []
+        for i in np.flatnonzero(~plain).tolist():
+            own = low[offs[i] : offs[i + 1]]
+            if b"'" in own or b"<|" in own:
+                by_words[i] = True
+            else:
+                found = _RUNS.findall(own)
+                counts[i] = len(found)
+                runs += found
+        units = pa.concat_arrays([*units, pa.array(runs, pa.large_binary())]).dictionary_encode()
+        at = units.indices.to_numpy()
+        known, size, odd = self._known(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = np.frombuffer(b"".join(known), "<u4")
+        # the ids of unit after unit, and where each text's units and ids begin
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        cut = np.concatenate([[0], np.cumsum(counts[order])])
+        place = np.concatenate([[0], np.cumsum(size[at])])
+        ids = ids[np.repeat((np.cumsum(size) - size)[at] - place[:-1], size[at]) + np.arange(place[-1])]
+        # texts with a unit that may not be cut there
+        by_words[order] |= np.diff(np.concatenate([[0], np.cumsum(odd[at])])[cut]) > 0
+        out = [ids[:0]] * n
+        for i, a, b in zip(order.tolist(), place[cut[:-1]].tolist(), place[cut[1:]].tolist(), strict=True):
+            out[i] = self._by_words(raw[offs[i] : offs[i + 1]]) if by_words[i] else ids[a:b]
+        return out
+
+    def _known(self, found: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of each unit, their number, and which units may not be cut where they are."""
         if len(self.units) > UNITS:
             self.units, self.older = {}, self.units
-        units, older, new = self.units, self.older, []
-        for unit in set().union(*(own for own in split if own)).difference(units):
+        units, older = self.units, self.older
+        units[b""] = b""  # before and after the blanks at a text's ends
+        ids = list(map(units.get, found, repeat(_NEW)))
+        places = [i for i, x in enumerate(ids) if x is _NEW]
+        new = []
+        for i in places:
+            unit = found[i]
             if unit in older:
                 units[unit] = older[unit]
             else:
                 new.append(unit)
         if new:
             self._learn(new)
-        out = []
-        for i, own in enumerate(split):
-            try:
-                found = None if own is None else b"".join(map(units.__getitem__, own))
-            except TypeError:  # a unit that may not be cut here
-                found = None
-            a, b = int(offs[i]), int(offs[i + 1])
-            out.append(self._by_words(raw[a:b]) if found is None else np.frombuffer(found, "<u4"))
+        for i in places:
+            ids[i] = units[found[i]]
         for unit in new:
             if len(unit) > bpe.REMEMBERED_BYTES:
                 del units[unit]
-        return out
-
+        odd = np.zeros(len(ids), bool)
+        try:
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+        except TypeError:  # units without ids
+            odd[:] = [x is None for x in ids]
+            ids = [b"" if x is None else x for x in ids]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return ids, size // 4, odd
+
+
+#: Stands for a unit that is not known yet.
+_NEW = b"new"
 
 _RUNS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 _STOP = np.zeros(256, bool)

@@ -387,3 +387,20 @@ def test_private_is_native(spark, docs):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|ArrowEval|Exchange", plan)
     assert pii.replaced(docs.where(F.lit(False)), check=False).count() == 0
+
+
+def test_units_of_a_slab_are_looked_up_once(library, monkeypatch):
+    """Equal ids to the library's in a slab of all kinds of texts, and one look-up for each distinct unit of the slab."""
+    rng = random.Random(5)
+    words = ["alpha", "Beta", "gamma,", "delta.", "x1y2", "don't", "<|end|>", "été", "ÉTÉ", "ΣΑΣ", "a…b", "(c)", "1,000.5", "-.-", "日本", "\x1c", "\xa0", "q" * 60]
+    texts = [" ".join(rng.choice(words[: rng.choice([4, 8, 18])]) for _ in range(200)) for _ in range(60)]
+    texts += ["", " ", "\n\t alpha  \x0b", ".", ",", " . ", "alpha.", "été.", "…,", "'", "<|"]
+    column = pa.array(texts, pa.binary())
+    words = idfile.LibraryIds(bpe.tokenizer_path(None))
+    asked, known = [], words._known
+    monkeypatch.setattr(words, "_known", lambda found: asked.append(found) or known(found))
+    for _ in range(2):  # unknown, then known
+        (at, end, data, offs), = common.slabs(column)
+        got = words.encode(data, offs)
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(len(set(x)) == len(x) < 60 for x in asked) and len(asked) == 2
